@@ -50,3 +50,9 @@ def word_count(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, all else unchanged."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Arrow batches of few rows, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
