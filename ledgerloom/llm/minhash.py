@@ -9,8 +9,9 @@ exactly on the full sets of both texts.
 
 Scale: within a band's bucket no pairs are emitted at first: each member meets only the bucket's
 least member.  Components are formed of the verified links; then only members outside a bucket's
-largest component meet the others, so a group of copies of any size costs a number of pairs that
-is linear in it, and no candidate between components goes unverified.  All joins are on keys that
+largest component meet the others, and only where a filter on their rarest shingles lets the two
+sets reach the threshold.  So a group of copies of any size costs a number of pairs that is linear
+in it, and no candidate pair between components that could link goes unverified.  All joins are on keys that
 adaptive execution splits when hot; nothing grows on the driver.
 
 Defined results: null or blank texts have empty sets, link with nothing, and are kept; rows that
@@ -37,6 +38,8 @@ BANDS, ROWS = 32, 5
 PERMS = BANDS * ROWS
 STEP = 32
 MISS = 1e-6
+#: Size of the table of shingle counts.
+SLOTS = 1 << 18
 
 
 def shingle_set(data: bytes, k: int) -> np.ndarray:
@@ -160,30 +163,67 @@ def links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: i
     return cut(confirm(left.join(a, "u").join(b, "v").select("u", "v", "a", "b"), k, percent).distinct())
 
 
+def prefix_pairs(mixed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(u, v) of different components, one of them minor, that can reach the threshold: such
+    sets share one of their rarest shingles, at places that leave room for the overlap needed.
+
+    Members of a group of copies that were changed too much to link have rare shingles of their
+    own in front, so they meet few others.  Rarity is by counts in a table of fixed size."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).join(mixed.select("id"), "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x or b"", k).view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+
+    sets = cut(texts.mapInArrow(run, "id long, s array<long>"))
+    slots = sets.select(F.explode_outer("s").alias("x")).where("x is not null").groupBy(F.col("x").bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
+    counts = np.zeros(SLOTS, np.int64)
+    for row in slots.agg(F.count("*").alias("c")).collect():
+        counts[row["slot"]] = row["c"]
+
+    def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list = [[], [], [], []]
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s, n = np.array(s, np.int64), len(s)
+                most = n - (percent * n + 99) // 100 + 1
+                s = s[np.lexsort((s, counts[s & (SLOTS - 1)]))][:most]
+                for o, x in zip(out, (np.full(len(s), i), np.full(len(s), n), np.arange(len(s)), s), strict=True):
+                    o.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else np.empty(0), pa.int64()) for o in out], names=["id", "n", "pos", "x"])
+
+    p = cut(sets.mapInArrow(front, "id long, n long, pos long, x long").join(mixed, "id"))
+    a = p.where("minor").select("x", F.col("id").alias("i"), F.col("comp").alias("ci"), F.col("n").alias("ni"), F.col("pos").alias("pi"))
+    b = p.select("x", F.col("id").alias("j"), F.col("comp").alias("cj"), F.col("n").alias("nj"), F.col("pos").alias("pj"))
+    fits = (100 * F.least("ni", "nj") >= percent * F.greatest("ni", "nj")) & ((100 + percent) * (F.least("pi", "pj") + F.least(F.col("ni") - F.col("pi"), F.col("nj") - F.col("pj"))) >= percent * (F.col("ni") + F.col("nj")))
+    return a.join(b, (a["x"] == b["x"]) & (F.col("ci") != F.col("cj")) & fits).select(F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     sk = cut(sketch(docs, k))
     small = sk.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"))
     classes = cut(small)
-    reps = sk.where("n > 0").select(F.col("doc_id").alias("id"), "sig", "bands").join(classes.select("id").distinct(), "id", "left_semi")
-    keys = reps.select("id", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1")
-    members = cut(keys.join(buckets, "key").select("key", "id", "rep", "c"))
+    reps = sk.where("n > 0").select(F.col("doc_id").alias("id"), "n", "sig", "bands").join(classes.select("id").distinct(), "id", "left_semi")
+    keys = reps.select("id", "n", F.explode_outer("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("rep"), F.count("*").alias("c")).where("c > 1")
+    members = cut(keys.join(buckets, "key").select("key", "id", "n", F.col("rep.id").alias("rep"), F.col("rep.n").alias("nr"), "c"))
     sigs = cut(reps.select("id", "sig").join(members.select("id").distinct(), "id", "left_semi"))
 
-    star = members.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
+    star = members.where(f"id <> rep and 100 * least(n, nr) >= {percent} * greatest(n, nr)").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
     found = links(star, sigs, docs, k, percent, miss)
     comp = components(found)
 
-    # members outside a bucket's largest component meet those of its other components
-    m = members.where("c > 2").join(comp, "id", "left").select("key", "id", "rep", F.coalesce("comp", "id").alias("comp"))
+    # members outside a bucket's largest component meet those of other components
+    m = members.where("c > 2").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     m = cut(m)
     sizes = m.groupBy("key", "comp").agg(F.count("*").alias("size"))
     major = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = cut(m.join(major.select("key", F.col("top.comp").alias("major")), "key"))
-    minor = mixed.where("comp <> major").select("key", F.col("id").alias("i"), F.col("comp").alias("ci"), "rep")
-    rest = minor.join(mixed.select("key", F.col("id").alias("j"), F.col("comp").alias("cj")), "key").where("ci <> cj and i <> rep and j <> rep")
-    rest = cut(rest.select(F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).distinct().join(star, ["u", "v"], "left_anti"))
+    mixed = m.join(major.select("key", F.col("top.comp").alias("major")), "key")
+    mixed = cut(mixed.groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("major")).alias("minor")))
+    rest = cut(prefix_pairs(mixed, docs, k, percent).join(star, ["u", "v"], "left_anti"))
     more = links(rest, sigs, docs, k, percent, miss)
     comp = components(comp.select(F.col("id").alias("u"), F.col("comp").alias("v")).unionByName(more))
 

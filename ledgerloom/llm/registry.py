@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("minhash", "mixing")
+MODULES = ("decontaminate", "lines", "minhash", "mixing")
 
 
 def queries() -> dict:
