@@ -49,8 +49,11 @@ def seeds(toks: Column) -> Column:
 
 
 def _places(df: DataFrame, *keep: str) -> DataFrame:
-    """A row for each seed: keep, place, hash."""
-    x = df.select(*keep, "toks", F.posexplode_outer(seeds(F.col("toks"))).alias("i", "hash"))
+    """A row for each seed: keep, toks, place, hash.  The seeds are a column before they are exploded,
+    so that the explosion is compiled together with the join on the hash, and ``toks`` is copied only
+    into rows that the join lets through."""
+    x = df.select(*keep, "toks", seeds(F.col("toks")).alias("seeds"))
+    x = x.select(*keep, "toks", F.posexplode_outer("seeds").alias("i", "hash"))
     return x.where("hash is not null").withColumn("place", F.col("i") % F.size("toks")).drop("i")
 
 
@@ -63,18 +66,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = B
     if marks.count() <= broadcast_seeds:
         hits = _places(d, "doc_id").join(F.broadcast(marks), "hash")
         hits = hits.join(F.broadcast(items.select("item", F.col("toks").alias("b"), "n", "item_id")), "item")
-        hits = _aligned(hits).distinct()
+        hits = _aligned(hits)
     else:
         found = _places(d, "doc_id").select("doc_id", "hash", "place").join(marks, "hash")
         found = found.select("doc_id", "item", (F.col("place") - F.col("at")).alias("at"), F.lit(0).alias("place")).distinct()
         found = found.withColumn("at", -F.col("at"))
         hits = found.join(d, "doc_id").join(items.select("item", F.col("toks").alias("b"), "n", "item_id"), "item")
-        hits = _aligned(hits).distinct()
+        hits = _aligned(hits)
+    # written before it is used: an expression that stands in several lambdas would be worked out anew in each
+    hits = cut(hits.distinct())
     same = F.transform("b", lambda t, i: F.when(F.get("part", i) == t, 1).otherwise(0))
     width = F.least("n", F.lit(WINDOW))
     sums = F.transform(F.sequence(F.lit(1), F.col("n") - width + 1), lambda s: F.aggregate(F.slice("same", s, width), F.lit(0), lambda a, x: a + x))
     need = width - F.when(width >= 15, 3).when(width >= 11, 2).otherwise(1)
-    out = hits.withColumn("same", same).withColumn("matched", F.array_max(sums)).where(F.col("matched") >= need)
+    out = cut(hits.select("doc_id", "item_id", "n", same.alias("same"))).withColumn("matched", F.array_max(sums)).where(F.col("matched") >= need)
     return out.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"))
 
 
