@@ -9,9 +9,8 @@ exactly on the full sets of both texts.
 
 Scale: within a band's bucket no pairs are emitted at first: each member meets only the bucket's
 least member.  Components are formed of the verified links; then only members outside a bucket's
-largest component meet the others, and only where a filter on their rarest shingles lets the two
-sets reach the threshold.  So a group of copies of any size costs a number of pairs that is linear
-in it, and no candidate pair between components that could link goes unverified.  All joins are on keys that
+largest component meet the others, block by block.  So the rows that a group of copies costs are
+linear in it, and no candidate pair between components goes unverified.  All joins are on keys that
 adaptive execution splits when hot; nothing grows on the driver.
 
 Defined results: null or blank texts have empty sets, link with nothing, and are kept; rows that
@@ -38,8 +37,8 @@ BANDS, ROWS = 32, 5
 PERMS = BANDS * ROWS
 STEP = 32
 MISS = 1e-6
-#: Size of the table of shingle counts.
-SLOTS = 1 << 18
+#: Shingles in a block of members of a bucket.
+BLOCK = 65_536
 
 
 def shingle_set(data: bytes, k: int) -> np.ndarray:
@@ -157,48 +156,64 @@ def links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: i
     """The candidate pairs (u, v) that are links."""
     a, b = sigs.select(F.col("id").alias("u"), F.col("sig").alias("a")), sigs.select(F.col("id").alias("v"), F.col("sig").alias("b"))
     left = cut(prune(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), percent / 100, miss))
+    return confirmed(left, docs, k, percent)
+
+
+def confirmed(left: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of (u, v) those that are links, by the whole texts."""
     ids = left.select(F.col("u").alias("doc_id")).union(left.select("v")).distinct()
     texts = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left_semi"))
     a, b = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
     return cut(confirm(left.join(a, "u").join(b, "v").select("u", "v", "a", "b"), k, percent).distinct())
 
 
-def prefix_pairs(mixed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(u, v) of different components, one of them minor, that can reach the threshold: such
-    sets share one of their rarest shingles, at places that leave room for the overlap needed.
+def block_links(mixed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(u, v) of different components of a bucket, one of them minor, whose sets reach the threshold;
+    at most one for each u, component and pair of blocks, as more would connect nothing else.
 
-    Members of a group of copies that were changed too much to link have rare shingles of their
-    own in front, so they meet few others.  Rarity is by counts in a table of fixed size."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).join(mixed.select("id"), "id", "left_semi")
+    A bucket's members are packed into blocks of some ``BLOCK`` shingles (of 32 bits; the caller
+    confirms what is found on the whole ones), and each block of minor members meets all blocks of
+    its bucket.  So rows are blocks, not pairs, and a pair costs well below a microsecond."""
+    small_batches(docs.sparkSession, 16)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).join(mixed.select("id").distinct(), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x or b"", k).view(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+            sets = [np.unique((shingle_set(x or b"", k) >> np.uint64(32)).astype(np.uint32)).view(np.int32).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
-    sets = cut(texts.mapInArrow(run, "id long, s array<long>"))
-    slots = sets.select(F.explode_outer("s").alias("x")).where("x is not null").groupBy(F.col("x").bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
-    counts = np.zeros(SLOTS, np.int64)
-    for row in slots.agg(F.count("*").alias("c")).collect():
-        counts[row["slot"]] = row["c"]
+    sets = cut(texts.mapInArrow(run, "id long, s binary"))
+    parts = mixed.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    rows = mixed.join(parts, "key").join(sets, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    rows = cut(rows.select("key", "part", "minor", F.struct("id", "comp", "s").alias("m")))
+    whole = rows.groupBy("key", "part").agg(F.collect_list("m").alias("all"))
+    minor = rows.where("minor").groupBy("key", F.col("part").alias("own")).agg(F.collect_list("m").alias("few"))
 
-    def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list = [[], [], [], []]
-            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s, n = np.array(s, np.int64), len(s)
-                most = n - (percent * n + 99) // 100 + 1
-                s = s[np.lexsort((s, counts[s & (SLOTS - 1)]))][:most]
-                for o, x in zip(out, (np.full(len(s), i), np.full(len(s), n), np.arange(len(s)), s), strict=True):
-                    o.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else np.empty(0), pa.int64()) for o in out], names=["id", "n", "pos", "x"])
-
-    p = cut(sets.mapInArrow(front, "id long, n long, pos long, x long").join(mixed, "id"))
-    a = p.where("minor").select("x", F.col("id").alias("i"), F.col("comp").alias("ci"), F.col("n").alias("ni"), F.col("pos").alias("pi"))
-    b = p.select("x", F.col("id").alias("j"), F.col("comp").alias("cj"), F.col("n").alias("nj"), F.col("pos").alias("pj"))
-    fits = (100 * F.least("ni", "nj") >= percent * F.greatest("ni", "nj")) & ((100 + percent) * (F.least("pi", "pj") + F.least(F.col("ni") - F.col("pi"), F.col("nj") - F.col("pj"))) >= percent * (F.col("ni") + F.col("nj")))
-    return a.join(b, (a["x"] == b["x"]) & (F.col("ci") != F.col("cj")) & fits).select(F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).distinct()
+            us: list = []
+            vs: list = []
+            for few, block in zip(batch.column(0), batch.column(1), strict=True):
+                few, block = few.values, block.values
+                ids, comps = (np.asarray(block.field(i)) for i in (0, 1))
+                sets = [np.frombuffer(x, np.int32) for x in block.field(2).to_pylist()]
+                size = np.array([len(x) for x in sets])
+                starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+                names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+                for i, c, s in zip(few.field(0).to_pylist(), few.field(1).to_pylist(), few.field(2).to_pylist(), strict=True):
+                    s = np.frombuffer(s, np.int32)
+                    at = np.searchsorted(names, s)
+                    at = at[at < len(names)] if len(s) == 0 else at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == s)]
+                    mark = np.zeros(len(names), np.int32)
+                    mark[at] = 1
+                    both = np.add.reduceat(mark[flat], starts)
+                    good = (100 * both >= percent * (size + len(s) - both)) & (comps != c)
+                    _, first = np.unique(comps[good], return_index=True)
+                    for j in ids[good][first].tolist():
+                        us.append(max(i, j)), vs.append(min(i, j))
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return cut(minor.join(whole, "key").select("few", "all").mapInArrow(meet, "u long, v long").distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
@@ -217,14 +232,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     comp = components(found)
 
     # members outside a bucket's largest component meet those of other components
-    m = members.where("c > 2").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    m = members.where("c > 2").join(comp, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
     m = cut(m)
     sizes = m.groupBy("key", "comp").agg(F.count("*").alias("size"))
     major = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = m.join(major.select("key", F.col("top.comp").alias("major")), "key")
-    mixed = cut(mixed.groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("major")).alias("minor")))
-    rest = cut(prefix_pairs(mixed, docs, k, percent).join(star, ["u", "v"], "left_anti"))
-    more = links(rest, sigs, docs, k, percent, miss)
+    mixed = cut(m.join(major.select("key", F.col("top.comp").alias("major")), "key").select("key", "id", "n", "comp", (F.col("comp") != F.col("major")).alias("minor")))
+    more = confirmed(block_links(mixed, docs, k, percent), docs, k, percent)
     comp = components(comp.select(F.col("id").alias("u"), F.col("comp").alias("v")).unionByName(more))
 
     classes = classes.join(comp, "id", "left").select("h1", "h2", "n", F.coalesce("comp", "id").alias("comp"))
