@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "lines", "minhash", "mixing", "secrets", "tokencount")
+MODULES = ("decontaminate", "lines", "minhash", "mixing", "secrets", "tokencount", "toxicity")
 
 
 def queries() -> dict:
