@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "extract", "lines", "minhash", "mixing", "secrets", "tokencount", "toxicity")
+MODULES = ("decontaminate", "extract", "lines", "minhash", "mixing", "secrets", "suffix", "tokencount", "toxicity")
 
 
 def queries() -> dict:
