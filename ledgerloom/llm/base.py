@@ -42,6 +42,21 @@ def sweep(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def only(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose ``key`` is in ``wanted`` (a column of that name, distinct).
+
+    Where the join is a shuffled one, a Bloom filter of the wanted keys drops most other rows where
+    they are read, so that only rows that are wanted move.  Spark builds it for joins with a
+    selective side only, which the second condition on ``wanted`` makes it take this for."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1g")
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.maxNumItems", "20000000")
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.maxNumBits", "160000000")
+    wanted = wanted.where(F.col(key).isNotNull() & (F.pmod(F.hash(key), F.lit(2)) < 2))
+    return df.join(wanted, key, "left_semi")
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

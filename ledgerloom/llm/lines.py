@@ -1,16 +1,17 @@
 """Operator 8: line dedup by an exact set-similarity join.
 
-A line's set holds the 64-bit keys of its distinct words (A-Z lower-cased).  A key's top bits are
-the word's rarity class, from counts of all words of the corpus in a table of fixed size, so that
-sorted keys come in order of rarity.  Two sets with Jaccard similarity of 0.8 or more share one
-of their first ``n - ceil(0.8 n) + 1`` keys; pairs found so pass the length and positional
-filters, and the whole sets are compared.  A line goes if an earlier one, by (doc_id, line
-number), is that similar; blank lines stay.
+A line's set holds its distinct words (lower-cased, split at blanks).  Words are ordered by rarity,
+from counts of all words of the corpus in a table of fixed size, and then by hash.  Two sets with Jaccard similarity of 0.8 or more share one of their first
+``n - ceil(0.8 n) + 1`` words; pairs found so pass the length and positional filters, and the
+whole sets are compared.  A line goes if an earlier one, by (doc_id, line number), is that
+similar; lines without words stay.  Any order of the words gives the same lines; rarity only keeps
+the candidates few.
 
 Scale: equal sets are one class, known by its first line, before anything is joined.  Each set
-first meets only the earliest set of similar length with the same prefix key, which settles the
-members of large groups of copies in linear time; only sets not settled so go through the full
-join.  What goes to the driver is the table of word counts, of fixed size.
+first meets one other of similar length with the same prefix word, which settles the members of
+large groups of copies in linear time; only sets not settled so go through the full join.  Rows
+that are shuffled hold hashes and numbers, not words.  What goes to the driver is the
+table of word counts, of fixed size.
 
 Defined results: a null text has no lines and is null again; empty texts stay empty; texts
 of rows that share a doc_id are told apart by their content; a null doc_id comes first in order;
@@ -23,87 +24,108 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .base import GAP, ascii_lower, cut
+from .base import cut, only
 
-SLOTS = 16_384
-KEY_BITS = 58
+#: Size of the table of word counts.
+SLOTS = 1 << 15
 PERCENT = 80
+#: Bits of a word's hash that are shuffled; what is found is compared on the words themselves.
+KEY_BITS = 40
 BAND = 1.25
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(ascii_lower(line), GAP), lambda w: w != "")
+def _slot(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
 
 
 def rarity(docs: DataFrame) -> Column:
-    """A literal array of SLOTS classes: the binary logarithm of how often words of that slot occur,
-    by share of the corpus, so that it has the same meaning at every size."""
-    slots = docs.where("text is not null").select(F.explode_outer(F.transform(F.split(ascii_lower(F.col("text")), GAP), lambda w: F.xxhash64(w).bitwiseAND(F.lit(SLOTS - 1)))).alias("slot"))
-    counts = {r["slot"]: r["c"] for r in slots.groupBy("slot").agg(F.count("*").alias("c")).collect()}
+    """A literal array with the class of each slot: the binary logarithm of how often the words of that
+    slot occur in all documents, against the mean slot."""
+    words = docs.select(F.split(F.lower("text"), "[ \n]").alias("w")).select(F.explode_outer("w").alias("w")).where("w <> ''")
+    counts = {r["slot"]: r["c"] for r in words.groupBy(_slot(F.col("w")).alias("slot")).agg(F.count("*").alias("c")).collect()}
     mean = max(1.0, sum(counts.values()) / SLOTS)
-    classes = [min(15, max(0, int(8 * counts.get(s, 0) / mean).bit_length())) for s in range(SLOTS)]
+    classes = [min(30, int(64 * counts.get(s, 0) / mean).bit_length()) for s in range(SLOTS)]
     return F.expr(f"cast(split('{','.join(map(str, classes))}', ',') as array<int>)")
 
 
-def line_sets(docs: DataFrame, classes: Column) -> DataFrame:
-    """doc (128-bit name of the row as doc_id and text hash), line number, and keys."""
-    x = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode_outer(F.split("text", "\n")).alias("line", "words"))
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), line number and distinct words, of lines with words."""
+    x = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"))
+    x = x.select("doc_id", "th", F.posexplode_outer("lines").alias("line", "words"))
+    x = x.select("doc_id", "th", "line", F.array_distinct(F.array_remove(F.split(F.lower("words"), " "), "")).alias("words"))
+    return x.where(F.size("words") > 0)
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("long"), KEY_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - KEY_BITS))
 
-    x = x.withColumn("keys", F.sort_array(F.array_distinct(F.transform(_words(F.col("words")), key))))
-    return x.drop("words").where(F.size("keys") > 0)
+def _keys(words: Column, classes: Column) -> Column:
+    """Of each word its rarity class above 58 bits of its hash, sorted: the rarest words first."""
+    return F.sort_array(F.transform(words, lambda w: F.shiftleft(F.get(classes, _slot(w)).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 6))))
 
 
-def prefix(n: Column, percent: int) -> Column:
-    """How many of n sorted keys a similar set must share one of."""
-    return (n - F.ceil(n * percent / 100.0 - 1e-9) + 1).cast("int")
+def _named(keys: Column) -> list[Column]:
+    """128 bits that name a set."""
+    return [F.xxhash64(keys).alias("h1"), F.xxhash64(F.lit(1), keys).alias("h2")]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b) those whose sets are similar."""
-    x = pairs.join(sets.select(F.col("id").alias("a"), F.col("keys").alias("ka")), "a").join(sets.select(F.col("id").alias("b"), F.col("keys").alias("kb")), "b")
-    both = F.size(F.array_intersect("ka", "kb"))
-    return x.where(100 * both >= percent * (F.size("ka") + F.size("kb") - both)).select("a", "b")
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b) those whose sets are similar; the later one of each as ``id``."""
+    x = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.col("at").alias("ta")), "a")
+    x = x.join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb"), F.col("at").alias("tb")), "b")
+    both = F.size(F.array_intersect("wa", "wb"))
+    x = x.where(100 * both >= percent * (F.size("wa") + F.size("wb") - both))
+    return x.select(F.when(F.col("ta") > F.col("tb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+
+
+def _words_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, at and words of the classes asked for, read again from the texts.  Of the documents only
+    those that a Bloom filter of the ids lets through are shuffled."""
+    at = classes.select("id", "at").join(ids, "id", "left_semi")
+    want = cut(at.groupBy(F.col("at.th").alias("th")).agg(F.collect_list(F.struct("id", "at")).alias("want")))
+    x = only(docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines")), want.select("th"), "th").join(want, "th")
+    # the lines asked for only, before the rows are multiplied
+    x = x.select("doc_id", F.transform("want", lambda w: F.struct(w["id"].alias("id"), w["at"].alias("at"), F.get("lines", w["at"]["line"]).alias("text"))).alias("want"))
+    x = x.select("doc_id", F.explode_outer("want").alias("w")).where(F.col("doc_id").eqNullSafe(F.col("w.at.doc_id")))
+    words = F.array_distinct(F.array_remove(F.split(F.lower("w.text"), " "), ""))
+    return cut(x.select("w.id", "w.at", words.alias("words")).dropDuplicates(["id"]))
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, th and line of each line that goes."""
-    sets = cut(line_sets(docs, rarity(docs)))
-    name = ("h1", "h2")
-    named = sets.select("doc_id", "th", "line", F.xxhash64("keys").alias("h1"), F.hash("keys", F.size("keys")).alias("h2"), "keys")
-    first = named.groupBy(*name).agg(F.min(F.struct("doc_id", "th", "line")).alias("id"))
-    first = cut(first)
-    # each class by its first line
-    own = sets.select(F.struct("doc_id", "th", "line").alias("id"), "keys")
-    reps = cut(own.join(first.select("id"), "id", "left_semi").withColumn("n", F.size("keys")).where("n >= 4"))
-
-    pre = prefix(F.col("n"), percent)
-    p = reps.select("id", "n", F.posexplode_outer(F.slice("keys", F.lit(1), pre)).alias("pos", "key"))
-    p = p.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int"))
-    p = cut(p)
+    classes_of = rarity(docs)
+    x = lines_of(docs).select("doc_id", "th", "line", _keys(F.col("words"), classes_of).alias("keys"))
+    x = x.select("doc_id", "th", "line", *_named(F.col("keys")), F.size("keys").alias("n"), "keys")
+    most = (F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1).cast("int")
+    x = x.select(F.struct("doc_id", "th", "line").alias("at"), "h1", "h2", "n", F.when(F.col("n") >= 4, F.slice("keys", F.lit(1), most)).alias("pre"))
+    classes = x.groupBy("h1", "h2").agg(F.min(F.struct("at", "n", "pre")).alias("f"), F.count("*").alias("c"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "f.at", "f.n", "f.pre", "c"))
+
+    p = classes.select("id", "n", F.posexplode_outer("pre").alias("pos", "key")).where("key is not null")
+    p = p.select(F.col("key").bitwiseAND(F.lit((1 << KEY_BITS) - 1)).alias("key"), "id", F.shiftleft("n", 12).bitwiseOR(F.least("pos", F.lit(4095))).alias("np"))
+    # keys of one class only are of no use
+    p = p.alias("p").join(p.select(F.col("key").alias("k"), F.col("id").alias("o"), F.col("np").alias("m")), (F.col("key") == F.col("k")) & (F.col("id") != F.col("o")), "left_semi")
+    n = F.shiftright("np", 12)
+    p = cut(p.select("key", "id", n.alias("n"), F.col("np").bitwiseAND(F.lit(4095)).alias("pos"), F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND))).cast("int").alias("band")))
+
     heads = p.groupBy("key", "band").agg(F.min("id").alias("head"), F.count("*").alias("c")).where("c > 1")
-    star = p.join(heads, ["key", "band"]).where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    settled = cut(_verified(star, reps, percent).select(F.col("b").alias("id")).distinct())
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    star = cut(p.join(heads, ["key", "band"]).where("head <> id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    settled = _similar(star, _words_of(star.select(F.col("a").alias("id")).union(star.select("b")).distinct(), classes, docs), percent)
+    settled = cut(settled)
 
-    shared = p.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    p = cut(p.join(shared, "key", "left_semi"))
+    # unsettled sets meet all others with a common prefix word
     open_ = p.join(settled, "id", "left_anti")
-    a = p.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = open_.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    short, long_ = F.least("na", "nb"), F.greatest("na", "nb")
-    room = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (100 * short >= percent * long_))
-    # positional filter: what can still be shared from here on, with at most what lies before both
-    pairs = pairs.where((100 + percent) * (room + F.least("pa", "pb")) >= percent * (F.col("na") + F.col("nb")))
-    pairs = cut(pairs.select("a", "b").distinct())
-    gone = cut(settled.unionByName(_verified(pairs, reps, percent).select(F.col("b").alias("id"))).distinct().withColumn("gone", F.lit(True)))
+    a = p.select("key", F.col("id").alias("i"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    b = open_.select("key", F.col("id").alias("j"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    room = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    pairs = a.join(b, "key").where((F.col("i") != F.col("j")) & near & ((100 + percent) * room >= percent * (F.col("na") + F.col("nb"))))
+    pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    pairs = cut(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    more = _similar(pairs, _words_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), classes, docs), percent)
+    gone = settled.unionByName(more).distinct().withColumn("gone", F.lit(True))
 
-    verdict = first.join(gone, "id", "left")
-    out = named.drop("keys").join(verdict, list(name)).where(F.col("gone") | (F.struct("doc_id", "th", "line") != F.col("id")))
-    return out.select("doc_id", "th", "line")
+    # of a class that goes all lines, of another all but the first
+    verdict = cut(classes.select("id", "h1", "h2", "at", "c").join(gone, "id", "left").where("gone or c > 1").select("h1", "h2", F.col("at").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")))
+    out = lines_of(docs).select("doc_id", "th", "line", *_named(_keys(F.col("words"), classes_of))).join(verdict, ["h1", "h2"])
+    return out.where(F.col("gone") | (F.struct("doc_id", "th", "line") != F.col("first"))).select("doc_id", "th", "line")
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -128,7 +150,7 @@ def lines_sql(docs: str) -> str:
     """CTE ``kept_lines(doc_id, line, words)``: the lines that stay, by comparing all that share a word."""
     return f"""
 all_lines AS (SELECT doc_id, unnest(l) AS words, unnest(range(len(l))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {docs})),
-line_keys AS (SELECT doc_id, line, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(words, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS k FROM all_lines),
+line_keys AS (SELECT doc_id, line, list_sort(list_distinct(list_filter(string_split(lower(words), ' '), lambda x: x <> ''))) AS k FROM all_lines),
 line_class AS (SELECT k, len(k) AS n, min(doc_id * 10000000 + line) AS first, row_number() OVER () AS c FROM line_keys WHERE len(k) > 0 GROUP BY k),
 line_freq AS (SELECT tok, count(*) AS f FROM (SELECT unnest(k) AS tok FROM line_class) GROUP BY tok),
 line_tok AS (SELECT c, n, first, tok, row_number() OVER (PARTITION BY c ORDER BY f, tok) AS r FROM (SELECT c, n, first, unnest(k) AS tok FROM line_class) JOIN line_freq USING (tok)),
