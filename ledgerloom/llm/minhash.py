@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .base import cut, small_batches
+from .base import cut, only, small_batches
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -161,8 +161,8 @@ def links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: i
 
 def confirmed(left: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of (u, v) those that are links, by the whole texts."""
-    ids = left.select(F.col("u").alias("doc_id")).union(left.select("v")).distinct()
-    texts = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left_semi"))
+    ids = cut(left.select(F.col("u").alias("doc_id")).union(left.select("v")).distinct())
+    texts = cut(only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), ids, "doc_id"))
     a, b = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
     return cut(confirm(left.join(a, "u").join(b, "v").select("u", "v", "a", "b"), k, percent).distinct())
 
@@ -175,7 +175,8 @@ def block_links(mixed: DataFrame, docs: DataFrame, k: int, percent: int) -> Data
     confirms what is found on the whole ones), and each block of minor members meets all blocks of
     its bucket.  So rows are blocks, not pairs, and a pair costs well below a microsecond."""
     small_batches(docs.sparkSession, 16)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).join(mixed.select("id").distinct(), "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    texts = only(texts, cut(mixed.select("id").distinct()), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
