@@ -58,8 +58,13 @@ class Terms(dict):
     def __init__(self, known: dict[str, int]):
         super().__init__()
         self.known = known
+        # what a word begins with that can have known terms
+        self.heads = {t.lstrip("^")[:4] for t in known}
 
     def __missing__(self, token: str) -> tuple[int, ...]:
+        if token[:4] not in self.heads and (token.isalpha() or token[:-1].isalpha()):
+            if len(token) > 4 or token[:3] not in self.heads and token[:2] not in self.heads and token[:1] not in self.heads:
+                return ()
         out = tuple(self.known[t] for t in terms_of(token) if t in self.known)
         if len(self) >= 200_000:
             self.clear()
@@ -186,17 +191,29 @@ def train(docs: DataFrame, labels: DataFrame, examples: tuple[int, int] = EXAMPL
         picked = part if picked is None else picked.unionByName(part)
     sample = docs.select("doc_id", "text").join(F.broadcast(cut(picked)), "doc_id")  # at most sum(examples) rows
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [sorted({t for w in (x or "").lower().split() for t in terms_of(w)}) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sets, pa.list_(pa.string()))], names=["doc_id", "toxic", "text", "terms"])
-
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    sample = cut(sample.select("doc_id", "toxic", "text").mapInArrow(features, f"doc_id {kind}, toxic int, text string, terms array<string>"))
+    sample = cut(sample.select("doc_id", "toxic", "text"))
     size = {r["toxic"]: r["c"] for r in sample.groupBy("toxic").agg(F.count("*").alias("c")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
-    a = sample.select("toxic", F.explode_outer("terms").alias("term")).where("term is not null").groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *[pa.array([float(v[i]) for v in found.values()]) for i in (1, 0)]], names=["term", "a", "b"])
+            found.clear()
+            return out
+
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for t in {t for w in set((text or "").lower().split()) for t in terms_of(w)}:
+                    found.setdefault(t, [0, 0])[toxic] += 1
+            if len(found) > 200_000:
+                yield flush()
+        yield flush()
+
+    a = sample.select("toxic", "text").mapInArrow(features, "term string, a double, b double").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     a = cut(a.where("a + b >= 2"))
     share = n1 / max(1, n1 + n0)
     known: list[str] = []
