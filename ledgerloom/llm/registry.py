@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "extract", "lines", "minhash", "mixing", "secrets", "suffix", "tokencount", "toxicity")
+MODULES = ("suffix", "embeddings", "secrets", "mixing", "decontaminate", "tokencount", "minhash", "lines", "toxicity", "extract")
 
 
 def queries() -> dict:
