@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,12 +26,28 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared scratch folder and read it back: the lineage ends there,
-    so a lost executor costs only the tasks that read its files, not what made them."""
+    so a lost executor costs only the tasks that read its files, not what made them.
+
+    What was shuffled to make the table is of no more use; collecting the driver's garbage lets
+    Spark delete those files now instead of at some later time."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/loom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _made.remove(t.scratch_path)
 
 
 def sweep(spark: SparkSession) -> None:

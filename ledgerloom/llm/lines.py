@@ -8,9 +8,10 @@ similar; lines without words stay.  Any order of the words gives the same lines;
 the candidates few.
 
 Scale: equal sets are one class, known by its first line, before anything is joined.  Each set
-first meets one other of similar length with the same prefix word, which settles the members of
-large groups of copies in linear time; only sets not settled so go through the full join.  Rows
-that are shuffled hold hashes and numbers, not words.  What goes to the driver is the
+with a prefix word that many sets have first meets one other of similar length with that word, which
+settles the members of large groups of copies in linear time; only sets not settled so go through
+the full join.  Rows that are shuffled hold hashes and numbers, not words; a sketch of 64 bits
+among them rules out most pairs before any word is fetched.  What goes to the driver is the
 table of word counts, of fixed size.
 
 Defined results: a null text has no lines and is null again; empty texts stay empty; texts
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .base import cut, only
+from .base import cut, drop, only
 
 #: Size of the table of word counts.
 SLOTS = 1 << 15
@@ -32,6 +33,8 @@ PERCENT = 80
 #: Bits of a word's hash that are shuffled; what is found is compared on the words themselves.
 KEY_BITS = 40
 BAND = 1.25
+#: Keys of about HOT sets or more are hot, by one in SAMPLED sets.
+HOT, SAMPLED = 1024, 64
 
 
 def _slot(word: Column) -> Column:
@@ -48,22 +51,18 @@ def rarity(docs: DataFrame) -> Column:
     return F.expr(f"cast(split('{','.join(map(str, classes))}', ',') as array<int>)")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), line number and distinct words, of lines with words."""
-    x = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"))
-    x = x.select("doc_id", "th", F.posexplode_outer("lines").alias("line", "words"))
-    x = x.select("doc_id", "th", "line", F.array_distinct(F.array_remove(F.split(F.lower("words"), " "), "")).alias("words"))
-    return x.where(F.size("words") > 0)
-
+def _words(line: Column) -> Column:
+    return F.array_distinct(F.array_remove(F.split(F.lower(line), " "), ""))
 
-def _keys(words: Column, classes: Column) -> Column:
-    """Of each word its rarity class above 58 bits of its hash, sorted: the rarest words first."""
-    return F.sort_array(F.transform(words, lambda w: F.shiftleft(F.get(classes, _slot(w)).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 6))))
 
-
-def _named(keys: Column) -> list[Column]:
-    """128 bits that name a set."""
-    return [F.xxhash64(keys).alias("h1"), F.xxhash64(F.lit(1), keys).alias("h2")]
+def keys_of(docs: DataFrame, classes: Column) -> DataFrame:
+    """doc_id, th (hash of the text), line number and sorted keys of each line.  A word's key is its
+    rarity class above 58 bits of its hash, so the rarest words come first."""
+    x = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.split(F.lower("text"), "\n").alias("lines"))
+    x = x.select("doc_id", "th", F.posexplode_outer("lines").alias("line", "words"))
+    hashes = F.array_distinct(F.array_remove(F.transform(F.split("words", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    key = lambda h: F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
+    return x.select("doc_id", "th", "line", F.sort_array(F.transform(hashes, key)).alias("keys"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -84,48 +83,59 @@ def _words_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     # the lines asked for only, before the rows are multiplied
     x = x.select("doc_id", F.transform("want", lambda w: F.struct(w["id"].alias("id"), w["at"].alias("at"), F.get("lines", w["at"]["line"]).alias("text"))).alias("want"))
     x = x.select("doc_id", F.explode_outer("want").alias("w")).where(F.col("doc_id").eqNullSafe(F.col("w.at.doc_id")))
-    words = F.array_distinct(F.array_remove(F.split(F.lower("w.text"), " "), ""))
-    return cut(x.select("w.id", "w.at", words.alias("words")).dropDuplicates(["id"]))
+    return cut(x.select("w.id", "w.at", _words(F.col("w.text")).alias("words")).dropDuplicates(["id"]))
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, th and line of each line that goes."""
-    classes_of = rarity(docs)
-    x = lines_of(docs).select("doc_id", "th", "line", _keys(F.col("words"), classes_of).alias("keys"))
-    x = x.select("doc_id", "th", "line", *_named(F.col("keys")), F.size("keys").alias("n"), "keys")
-    most = (F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1).cast("int")
-    x = x.select(F.struct("doc_id", "th", "line").alias("at"), "h1", "h2", "n", F.when(F.col("n") >= 4, F.slice("keys", F.lit(1), most)).alias("pre"))
-    classes = x.groupBy("h1", "h2").agg(F.min(F.struct("at", "n", "pre")).alias("f"), F.count("*").alias("c"))
-    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "f.at", "f.n", "f.pre", "c"))
-
-    p = classes.select("id", "n", F.posexplode_outer("pre").alias("pos", "key")).where("key is not null")
-    p = p.select(F.col("key").bitwiseAND(F.lit((1 << KEY_BITS) - 1)).alias("key"), "id", F.shiftleft("n", 12).bitwiseOR(F.least("pos", F.lit(4095))).alias("np"))
-    # keys of one class only are of no use
-    p = p.alias("p").join(p.select(F.col("key").alias("k"), F.col("id").alias("o"), F.col("np").alias("m")), (F.col("key") == F.col("k")) & (F.col("id") != F.col("o")), "left_semi")
-    n = F.shiftright("np", 12)
-    p = cut(p.select("key", "id", n.alias("n"), F.col("np").bitwiseAND(F.lit(4095)).alias("pos"), F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND))).cast("int").alias("band")))
-
-    heads = p.groupBy("key", "band").agg(F.min("id").alias("head"), F.count("*").alias("c")).where("c > 1")
+    mask = F.lit((1 << KEY_BITS) - 1)
+    n = F.size("keys")
+    most = (n - F.ceil(n * percent / 100.0 - 1e-9) + 1).cast("int")
+    # the parity of how many words fall on each of 64 bits: two sets differ in as many words at least as bits
+    sketch = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    pre = F.when(n >= 4, F.transform(F.slice("keys", F.lit(1), most), lambda k: k.bitwiseAND(mask)))
+    x = keys_of(docs, rarity(docs))
+    lines = cut(x.select("doc_id", "th", "line", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), n.alias("n"), sketch.alias("sketch"), pre.alias("pre")))
+
+    classes = lines.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "line", "n", "sketch", "pre")).alias("f"), F.count("*").alias("c"))
+    at = F.struct("f.doc_id", "f.th", "f.line").alias("at")
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", at, "f.n", "f.sketch", "f.pre", "c"))
+    p = classes.select("id", "n", "sketch", F.posexplode_outer("pre").alias("pos", "key")).where("key is not null")
+    p = p.select("key", "id", F.shiftleft(F.col("n").cast("long"), 20).bitwiseOR(F.col("pos").cast("long")).alias("np"), "sketch")
+
+    def side(t: DataFrame, s: str) -> DataFrame:
+        return t.select("key", F.col("id").alias(f"i{s}"), F.shiftright("np", 20).cast("int").alias(f"n{s}"), F.col("np").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias(f"p{s}"), F.col("sketch").alias(f"s{s}"))
+
+    total = F.col("na") + F.col("nb")
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    star = cut(p.join(heads, ["key", "band"]).where("head <> id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
-    settled = _similar(star, _words_of(star.select(F.col("a").alias("id")).union(star.select("b")).distinct(), classes, docs), percent)
-    settled = cut(settled)
-
-    # unsettled sets meet all others with a common prefix word
-    open_ = p.join(settled, "id", "left_anti")
-    a = p.select("key", F.col("id").alias("i"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = open_.select("key", F.col("id").alias("j"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     room = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    pairs = a.join(b, "key").where((F.col("i") != F.col("j")) & near & ((100 + percent) * room >= percent * (F.col("na") + F.col("nb"))))
-    pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-    pairs = cut(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    near &= (100 + percent) * room >= percent * total
+    near &= (100 + percent) * F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= (100 - percent) * total
+
+    # keys that many sets have, by a sample of the sets; this decides on the order of work only
+    some = p.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("c"))
+    hot = cut(some.where(F.col("c") >= HOT // SAMPLED).select("key"))
+    band = F.floor(F.log(F.shiftright("np", 20).cast("double")) / F.log(F.lit(BAND))).cast("int")
+    many = cut(p.join(hot, "key", "left_semi").withColumn("band", band))
+    heads = many.groupBy("key", "band").agg(F.min(F.struct("id", "np", "sketch")).alias("h"))
+    heads = heads.select("key", "band", "h.*")
+    star = side(many.select("key", "band", "id", "np", "sketch"), "b").withColumn("band", F.floor(F.log(F.col("nb").cast("double")) / F.log(F.lit(BAND))).cast("int"))
+    star = star.join(side(heads, "a").withColumn("band", F.floor(F.log(F.col("na").cast("double")) / F.log(F.lit(BAND))).cast("int")), ["key", "band"]).where((F.col("ia") != F.col("ib")) & near)
+    star = cut(star.select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct())
+    settled = cut(_similar(star, _words_of(star.select(F.col("a").alias("id")).union(star.select("b")).distinct(), classes, docs), percent))
+
+    # sets that are not settled meet all others with a common prefix word
+    pairs = side(p, "a").join(side(p.join(settled, "id", "left_anti"), "b"), "key").where((F.col("ia") != F.col("ib")) & near)
+    pairs = cut(pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct())
     more = _similar(pairs, _words_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), classes, docs), percent)
     gone = settled.unionByName(more).distinct().withColumn("gone", F.lit(True))
 
     # of a class that goes all lines, of another all but the first
     verdict = cut(classes.select("id", "h1", "h2", "at", "c").join(gone, "id", "left").where("gone or c > 1").select("h1", "h2", F.col("at").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")))
-    out = lines_of(docs).select("doc_id", "th", "line", *_named(_keys(F.col("words"), classes_of))).join(verdict, ["h1", "h2"])
-    return out.where(F.col("gone") | (F.struct("doc_id", "th", "line") != F.col("first"))).select("doc_id", "th", "line")
+    out = lines.where("n > 0").select("doc_id", "th", "line", "h1", "h2").join(verdict, ["h1", "h2"])
+    out = cut(out.where(F.col("gone") | (F.struct("doc_id", "th", "line") != F.col("first"))).select("doc_id", "th", "line"))
+    drop(lines, classes, hot, many, star, settled, pairs, verdict)
+    return out
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
