@@ -3,7 +3,8 @@
 Terms are the words of the lower-cased text (runs of letters) and their first four and five
 letters.  Of the labelled examples (at most ``EXAMPLES`` of each class, those of least hash) those
 terms are kept that stand in toxic examples so often that chance would bring some ``FALSE`` terms
-at most to it (Chernoff's bound on the binomial tail, times the number of terms); their document
+at most to it (Chernoff's bound on the binomial tail, times the number of terms), and in toxic
+examples mostly (``LEAST_SHARE``); their document
 frequencies are counted over all documents.  A document's
 nearest examples come of an inverted index whose blocks carry each term's largest weight: blocks
 are visited in order of their bound, and the search ends, exactly, where no bound can reach the
@@ -35,6 +36,8 @@ from .base import cut, small_batches
 #: Most labelled examples of the classes 0 and 1, and most terms.
 EXAMPLES, TERMS = (12_000, 4_000), 2_000
 FALSE = 3.0
+#: Least share of toxic ones among the examples that hold a term, each class weighted to its share of the labels.
+LEAST_SHARE = 0.5
 #: What stands for the idf of the number of tokens.
 LENGTH_WEIGHT = 1.0
 NEAREST = 15
@@ -221,7 +224,8 @@ def train(docs: DataFrame, labels: DataFrame, examples: tuple[int, int] = EXAMPL
         q = F.col("a") / (F.col("a") + F.col("b"))
         other = F.when(F.col("b") > 0, (1 - q) * F.log((1 - q) / (1 - share))).otherwise(0.0)
         a = a.withColumn("x", (F.col("a") + F.col("b")) * (q * F.log(F.greatest(q, F.lit(1e-12)) / share) + other))
-        a = a.where((F.col("a") > 0) & (q > share) & (F.col("x") >= float(np.log(max(1, a.count()) / false))))
+        w1, w0 = (totals.get(c, 0) / max(1, size.get(c, 0)) for c in (1, 0))
+        a = a.where((F.col("a") > 0) & (q > share) & (F.col("a") * w1 >= LEAST_SHARE * (F.col("a") * w1 + F.col("b") * w0)) & (F.col("x") >= float(np.log(max(1, a.count()) / false))))
         known = sorted(r["term"] for r in a.orderBy(F.desc("x"), "term").limit(terms).collect())
     numbers = {t: i for i, t in enumerate(known)}
 
