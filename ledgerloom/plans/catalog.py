@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational  # noqa: F401
+from . import domain, relational, scalars  # noqa: F401
 from .base import ORACLES, QUERIES
 
 
