@@ -34,7 +34,7 @@ PERCENT = 80
 KEY_BITS = 40
 BAND = 1.25
 #: Keys of about HOT sets or more are hot, by one in SAMPLED sets.
-HOT, SAMPLED = 1024, 64
+HOT, SAMPLED = 256, 16
 
 
 def _slot(word: Column) -> Column:
@@ -65,17 +65,29 @@ def keys_of(docs: DataFrame, classes: Column) -> DataFrame:
     return x.select("doc_id", "th", "line", F.sort_array(F.transform(hashes, key)).alias("keys"))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b) those whose sets are similar; the later one of each as ``id``."""
-    x = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.col("at").alias("ta")), "a")
-    x = x.join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb"), F.col("at").alias("tb")), "b")
+def _parity(hashes: Column) -> Column:
+    """64 bits: of each the parity of how many hashes fall on it.  Two sets differ in as many
+    elements at least as their sketches differ in bits."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b), a the earlier one, the b of pairs whose sets are similar, as ``id``.  Sketches of 256
+    bits are compared first, so that words travel only with pairs that are all but similar."""
+    sets = _words_of(cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), classes, docs)
+    side = lambda s: sets.select(F.col("id").alias(s), F.size("words").alias(f"n{s}"), *[F.col(f"s{j}").alias(f"{s}{j}") for j in range(4)])
+    differ = sum((F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    total = F.col("na") + F.col("nb")
+    x = cut(pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * differ <= (100 - percent) * total).select("a", "b"))
+    y = x.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     both = F.size(F.array_intersect("wa", "wb"))
-    x = x.where(100 * both >= percent * (F.size("wa") + F.size("wb") - both))
-    return x.select(F.when(F.col("ta") > F.col("tb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+    out = cut(y.where(100 * both >= percent * (F.size("wa") + F.size("wb") - both)).select(F.col("b").alias("id")).distinct())
+    drop(sets, x)
+    return out
 
 
 def _words_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, at and words of the classes asked for, read again from the texts.  Of the documents only
+    """id and words of the classes asked for, read again from the texts.  Of the documents only
     those that a Bloom filter of the ids lets through are shuffled."""
     at = classes.select("id", "at").join(ids, "id", "left_semi")
     want = cut(at.groupBy(F.col("at.th").alias("th")).agg(F.collect_list(F.struct("id", "at")).alias("want")))
@@ -83,7 +95,10 @@ def _words_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     # the lines asked for only, before the rows are multiplied
     x = x.select("doc_id", F.transform("want", lambda w: F.struct(w["id"].alias("id"), w["at"].alias("at"), F.get("lines", w["at"]["line"]).alias("text"))).alias("want"))
     x = x.select("doc_id", F.explode_outer("want").alias("w")).where(F.col("doc_id").eqNullSafe(F.col("w.at.doc_id")))
-    return cut(x.select("w.id", "w.at", _words(F.col("w.text")).alias("words")).dropDuplicates(["id"]))
+    x = cut(x.select("w.id", _words(F.col("w.text")).alias("words")).dropDuplicates(["id"]))
+    x = x.select("id", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    part = lambda j: F.filter("h", lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(3)) == j)
+    return cut(x.select("id", "words", *[_parity(part(j)).alias(f"s{j}") for j in range(4)]))
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -91,15 +106,17 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     mask = F.lit((1 << KEY_BITS) - 1)
     n = F.size("keys")
     most = (n - F.ceil(n * percent / 100.0 - 1e-9) + 1).cast("int")
-    # the parity of how many words fall on each of 64 bits: two sets differ in as many words at least as bits
-    sketch = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    sketch = _parity(F.col("keys"))
     pre = F.when(n >= 4, F.transform(F.slice("keys", F.lit(1), most), lambda k: k.bitwiseAND(mask)))
     x = keys_of(docs, rarity(docs))
     lines = cut(x.select("doc_id", "th", "line", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), n.alias("n"), sketch.alias("sketch"), pre.alias("pre")))
 
     classes = lines.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "line", "n", "sketch", "pre")).alias("f"), F.count("*").alias("c"))
     at = F.struct("f.doc_id", "f.th", "f.line").alias("at")
-    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", at, "f.n", "f.sketch", "f.pre", "c"))
+    found = cut(classes.select("h1", "h2", at, "f.n", "f.sketch", "f.pre", "c"))
+    # ids in the order of the classes' first lines
+    classes = cut(found.repartitionByRange("at").sortWithinPartitions("at").select(F.monotonically_increasing_id().alias("id"), "*"))
+    drop(found)
     p = classes.select("id", "n", "sketch", F.posexplode_outer("pre").alias("pos", "key")).where("key is not null")
     p = p.select("key", "id", F.shiftleft(F.col("n").cast("long"), 20).bitwiseOR(F.col("pos").cast("long")).alias("np"), "sketch")
 
@@ -118,23 +135,27 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     band = F.floor(F.log(F.shiftright("np", 20).cast("double")) / F.log(F.lit(BAND))).cast("int")
     many = cut(p.join(hot, "key", "left_semi").withColumn("band", band))
     heads = many.groupBy("key", "band").agg(F.min(F.struct("id", "np", "sketch")).alias("h"))
-    heads = heads.select("key", "band", "h.*")
-    star = side(many.select("key", "band", "id", "np", "sketch"), "b").withColumn("band", F.floor(F.log(F.col("nb").cast("double")) / F.log(F.lit(BAND))).cast("int"))
-    star = star.join(side(heads, "a").withColumn("band", F.floor(F.log(F.col("na").cast("double")) / F.log(F.lit(BAND))).cast("int")), ["key", "band"]).where((F.col("ia") != F.col("ib")) & near)
+    heads = side(heads.select("key", "h.*"), "a").withColumn("band", F.floor(F.log(F.col("na").cast("double")) / F.log(F.lit(BAND))).cast("int"))
+    star = side(many, "b").withColumn("band", F.floor(F.log(F.col("nb").cast("double")) / F.log(F.lit(BAND))).cast("int"))
+    star = star.join(heads, ["key", "band"]).where((F.col("ia") < F.col("ib")) & near)
     star = cut(star.select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct())
-    settled = cut(_similar(star, _words_of(star.select(F.col("a").alias("id")).union(star.select("b")).distinct(), classes, docs), percent))
-
-    # sets that are not settled meet all others with a common prefix word
-    pairs = side(p, "a").join(side(p.join(settled, "id", "left_anti"), "b"), "key").where((F.col("ia") != F.col("ib")) & near)
-    pairs = cut(pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct())
-    more = _similar(pairs, _words_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), classes, docs), percent)
-    gone = settled.unionByName(more).distinct().withColumn("gone", F.lit(True))
+    settled = _similar(star, classes, docs, percent)
+
+    # sets that are not settled meet all earlier and later ones with a common prefix word
+    p2 = side(p, "a").join(side(p.join(settled, "id", "left_anti"), "b"), "key").where((F.col("ia") < F.col("ib")) & near)
+    pairs = cut(p2.select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct())
+    # one earlier match is enough, so each set is first held against its earliest candidate alone
+    first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    early = _similar(first, classes, docs, percent)
+    rest = cut(pairs.join(early.withColumnRenamed("id", "b"), "b", "left_anti").join(first, ["a", "b"], "left_anti").select("a", "b"))
+    late = _similar(rest, classes, docs, percent)
+    gone = settled.unionByName(early).unionByName(late).distinct().withColumn("gone", F.lit(True))
 
     # of a class that goes all lines, of another all but the first
     verdict = cut(classes.select("id", "h1", "h2", "at", "c").join(gone, "id", "left").where("gone or c > 1").select("h1", "h2", F.col("at").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")))
     out = lines.where("n > 0").select("doc_id", "th", "line", "h1", "h2").join(verdict, ["h1", "h2"])
     out = cut(out.where(F.col("gone") | (F.struct("doc_id", "th", "line") != F.col("first"))).select("doc_id", "th", "line"))
-    drop(lines, classes, hot, many, star, settled, pairs, verdict)
+    drop(lines, classes, hot, many, star, settled, pairs, first, early, rest, late, verdict)
     return out
 
 
