@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Patterns of the description normaliser, in the order in which they apply.
 POS_PREFIX = r"(?i)^(SQ\s*\*|TST\s*\*|PP\s*\*|PAYPAL\s*\*|VENMO\s*\*|ZELLE\s*\*|CKE\s*\*)"
@@ -104,13 +105,13 @@ def _jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * head * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """STR07: 0 where a side is empty or null."""
     return pd.Series([_jaro_winkler(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """STR08: Ratcliff and Obershelp's ratio of two texts, for small dimension tables."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

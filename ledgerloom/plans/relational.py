@@ -8,7 +8,8 @@ from pyspark.sql.window import Window as W
 from ..session import table
 from .base import account, line, money, query, txn
 
-CNT = F.count("*").alias("n")
+def count_rows():
+    return F.count("*").alias("n")
 
 
 # ---- projections and filters
@@ -86,7 +87,7 @@ def _(spark, sf):
 @query("FLT03_null_safe_equality", "SELECT count(*) AS n, count(*) FILTER (a.currency_code IS NULL) AS n_null FROM account a JOIN (SELECT DISTINCT currency_code FROM txn) t ON a.currency_code IS NOT DISTINCT FROM t.currency_code")
 def _(spark, sf):
     a, t = account(spark, sf), txn(spark, sf).select(F.col("currency_code").alias("cc")).distinct()
-    return a.join(t, a["currency_code"].eqNullSafe(t["cc"])).agg(CNT, F.count_if(F.col("currency_code").isNull()).alias("n_null"))
+    return a.join(t, a["currency_code"].eqNullSafe(t["cc"])).agg(count_rows(), F.count_if(F.col("currency_code").isNull()).alias("n_null"))
 
 
 @query("FLT04_array_membership", "WITH t AS (SELECT account_id, list(DISTINCT category) AS tags FROM txn GROUP BY account_id) SELECT account_id FROM t WHERE list_contains(tags, '1-URGENT')")
@@ -99,7 +100,7 @@ def _(spark, sf):
     d = F.datediff("ship_date", "transaction_date")
     x = line(spark, sf).select("transaction_id", "ship_date").join(txn(spark, sf).select("transaction_id", "transaction_date"), "transaction_id")
     band = F.when(d.between(6, 8), "weekly").when(d.between(13, 15), "biweekly").when(d.between(28, 33), "monthly").otherwise("irregular")
-    return x.groupBy(band.alias("cadence")).agg(CNT)
+    return x.groupBy(band.alias("cadence")).agg(count_rows())
 
 
 @query("FLT06_row_comparison", "SELECT a.account_id AS a, b.account_id AS b FROM account a JOIN account b ON a.balance = b.balance AND (a.institution_id, a.account_id) < (b.institution_id, b.account_id)")
@@ -124,7 +125,7 @@ def _(spark, sf):
 
 @query("FLT08_having", "SELECT account_id, count(*) AS n FROM txn GROUP BY account_id HAVING count(*) >= 12 AND count(DISTINCT category) > 2")
 def _(spark, sf):
-    return txn(spark, sf).groupBy("account_id").agg(CNT, F.countDistinct("category").alias("k")).where("n >= 12 and k > 2").drop("k")
+    return txn(spark, sf).groupBy("account_id").agg(count_rows(), F.countDistinct("category").alias("k")).where("n >= 12 and k > 2").drop("k")
 
 
 @query("FLT09_qualify", "SELECT account_id, transaction_id FROM txn QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY transaction_date DESC, transaction_id) = 1")
@@ -139,7 +140,7 @@ def _(spark, sf):
 @query("JON01_equi_inner", "SELECT n_name, count(*) AS n FROM txn t JOIN account a USING (account_id) JOIN nation ON institution_id = n_nationkey GROUP BY n_name")
 def _(spark, sf):
     x = txn(spark, sf).join(account(spark, sf).select("account_id", "institution_id"), "account_id")
-    return x.join(table(spark, sf, "nation"), F.col("institution_id") == F.col("n_nationkey")).groupBy("n_name").agg(CNT)
+    return x.join(table(spark, sf, "nation"), F.col("institution_id") == F.col("n_nationkey")).groupBy("n_name").agg(count_rows())
 
 
 @query("JON02_star", "SELECT l.transaction_id, l.line_number, t.transaction_date, p.p_brand, s.s_name, n.n_name, r.r_name FROM line l LEFT JOIN txn t USING (transaction_id) LEFT JOIN part p ON p.p_partkey = l.part_id LEFT JOIN supplier s ON s.s_suppkey = l.merchant_id LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey LEFT JOIN region r ON r.r_regionkey = n.n_regionkey")
@@ -295,7 +296,7 @@ def _(spark, sf):
     x = txn(spark, sf).select("account_id", "priority", "transaction_date")
     y = x.select(F.col("account_id").alias("r"), "priority", "transaction_date")
     c = x.join(y, ["priority", "transaction_date"]).where("account_id <> r").select(F.col("account_id").alias("l"), "r", "transaction_date").distinct()
-    return c.groupBy(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).agg(CNT).where("n >= 4")
+    return c.groupBy(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).agg(count_rows()).where("n >= 4")
 
 
 @query("JON21_code_preference", "WITH b AS (SELECT 'STANDARD#1-URGENT' AS code, 'x' AS target UNION ALL SELECT '1-URGENT', 'y' UNION ALL SELECT '2-HIGH', 'z'), c AS (SELECT transaction_id, target, row_number() OVER (PARTITION BY transaction_id ORDER BY (code LIKE '%#%') DESC, code) AS rn FROM txn JOIN b ON b.code IN (CASE WHEN status = 'O' THEN 'STANDARD#' || priority END, priority)) SELECT transaction_id, target FROM c WHERE rn = 1")
@@ -324,7 +325,7 @@ def _(spark, sf):
 
 @query("AGG01_group_by", "SELECT category, currency_code, CAST(sum(amount) AS DECIMAL(18,2)) AS total, count(*) AS n, min(amount) AS low, max(amount) AS high, round(avg(CAST(amount AS DOUBLE)), 4) AS mean FROM txn GROUP BY 1, 2")
 def _(spark, sf):
-    return txn(spark, sf).groupBy("category", "currency_code").agg(money(F.sum("amount")).alias("total"), CNT, F.min("amount").alias("low"), F.max("amount").alias("high"), F.round(F.avg(F.col("amount").cast("double")), 4).alias("mean"))
+    return txn(spark, sf).groupBy("category", "currency_code").agg(money(F.sum("amount")).alias("total"), count_rows(), F.min("amount").alias("low"), F.max("amount").alias("high"), F.round(F.avg(F.col("amount").cast("double")), 4).alias("mean"))
 
 
 @query("AGG02_conditional_sums", "SELECT account_id, CAST(sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS DECIMAL(18,2)) AS inflow, CAST(sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS DECIMAL(18,2)) AS outflow FROM txn GROUP BY 1")
@@ -411,7 +412,7 @@ def _(spark, sf):
 
 @query("AGG17_group_by_expression", "SELECT year(transaction_date)::BIGINT AS y, count(*) AS n FROM txn GROUP BY 1")
 def _(spark, sf):
-    return txn(spark, sf).groupBy(F.year("transaction_date").cast("long").alias("y")).agg(CNT)
+    return txn(spark, sf).groupBy(F.year("transaction_date").cast("long").alias("y")).agg(count_rows())
 
 
 @query("AGG18_golden_record", "SELECT transaction_id, arg_min(flag, (CASE flag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, line_number)) AS flag, arg_min(merchant_id, (line_number, merchant_id)) AS merchant_id, min(ship_date) AS first_date, max(ship_date) AS updated, bool_or(status = 'O') AS pending FROM line GROUP BY 1")
@@ -442,7 +443,7 @@ def _(spark, sf):
 @query("AGG21_coverage", "SELECT CASE WHEN category IS NULL THEN 'none' WHEN status = 'O' THEN 'rule' ELSE 'user' END AS source, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM txn), 2) AS pct FROM txn GROUP BY 1")
 def _(spark, sf):
     src = F.when(F.col("category").isNull(), "none").when(F.col("status") == "O", "rule").otherwise("user")
-    g = txn(spark, sf).groupBy(src.alias("source")).agg(CNT)
+    g = txn(spark, sf).groupBy(src.alias("source")).agg(count_rows())
     return g.withColumn("pct", F.round(F.col("n").cast("double") * 100 / F.sum("n").over(W.partitionBy()), 2))
 
 
@@ -454,7 +455,7 @@ def _(spark, sf):
 
 @query("AGG23_explode_count", "SELECT w, count(*) AS n FROM (SELECT unnest(string_split(replace(url, '?', '/'), '/')) AS w FROM pages) GROUP BY w")
 def _(spark, sf):
-    return table(spark, sf, "pages").select(F.explode(F.split(F.translate("url", "?", "/"), "/")).alias("w")).groupBy("w").agg(CNT)
+    return table(spark, sf, "pages").select(F.explode(F.split(F.translate("url", "?", "/"), "/")).alias("w")).groupBy("w").agg(count_rows())
 
 
 @query("AGG24_latest_cumulative", "SELECT user_id, event_type, event_id, value FROM events WHERE (user_id, event_type, ts) IN (SELECT user_id, event_type, max(ts) FROM events GROUP BY 1, 2)")
@@ -465,7 +466,7 @@ def _(spark, sf):
 
 @query("AGG25_filter_arms", "SELECT coalesce(currency_code, '(none)') AS currency_code, count(*) AS n, count(*) FILTER (archived) AS n_archived, count(*) FILTER (NOT archived) AS n_active FROM account GROUP BY 1")
 def _(spark, sf):
-    return account(spark, sf).groupBy(F.coalesce("currency_code", F.lit("(none)")).alias("currency_code")).agg(CNT, F.count_if("archived").alias("n_archived"), F.count_if(~F.col("archived")).alias("n_active"))
+    return account(spark, sf).groupBy(F.coalesce("currency_code", F.lit("(none)")).alias("currency_code")).agg(count_rows(), F.count_if("archived").alias("n_archived"), F.count_if(~F.col("archived")).alias("n_active"))
 
 
 # ---- windows
@@ -496,7 +497,7 @@ def _(spark, sf):
 
 @query("WIN05_order_by_window", "SELECT account_id, n FROM (SELECT account_id, currency_code, count(*) AS n FROM txn GROUP BY 1, 2) ORDER BY row_number() OVER (PARTITION BY currency_code ORDER BY n DESC, account_id), currency_code NULLS LAST LIMIT 40")
 def _(spark, sf):
-    x = txn(spark, sf).groupBy("account_id", "currency_code").agg(CNT)
+    x = txn(spark, sf).groupBy("account_id", "currency_code").agg(count_rows())
     x = x.withColumn("r", F.row_number().over(W.partitionBy("currency_code").orderBy(F.desc("n"), "account_id")))
     return x.orderBy("r", F.col("currency_code").asc_nulls_last()).limit(40).select("account_id", "n")
 
