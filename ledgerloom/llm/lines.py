@@ -42,13 +42,13 @@ def _slot(word: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """A literal array with the class of each slot: the binary logarithm of how often the words of that
+    """A literal array with the class of each slot, in the top bits of a long: the binary logarithm of how often the words of that
     slot occur in all documents, against the mean slot."""
     words = docs.select(F.split(F.lower("text"), "[ \n]").alias("w")).select(F.explode_outer("w").alias("w")).where("w <> ''")
     counts = {r["slot"]: r["c"] for r in words.groupBy(_slot(F.col("w")).alias("slot")).agg(F.count("*").alias("c")).collect()}
     mean = max(1.0, sum(counts.values()) / SLOTS)
     classes = [min(30, int(64 * counts.get(s, 0) / mean).bit_length()) for s in range(SLOTS)]
-    return F.expr(f"cast(split('{','.join(map(str, classes))}', ',') as array<int>)")
+    return F.expr(f"cast(split('{','.join(str(c << 58) for c in classes)}', ',') as array<bigint>)")
 
 
 def _words(line: Column) -> Column:
@@ -61,7 +61,7 @@ def keys_of(docs: DataFrame, classes: Column) -> DataFrame:
     x = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.split(F.lower("text"), "\n").alias("lines"))
     x = x.select("doc_id", "th", F.posexplode_outer("lines").alias("line", "words"))
     hashes = F.array_distinct(F.array_remove(F.transform(F.split("words", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
-    key = lambda h: F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
+    key = lambda h: F.get(classes, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 6))
     return x.select("doc_id", "th", "line", F.sort_array(F.transform(hashes, key)).alias("keys"))
 
 
@@ -117,33 +117,40 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # ids in the order of the classes' first lines
     classes = cut(found.repartitionByRange("at").sortWithinPartitions("at").select(F.monotonically_increasing_id().alias("id"), "*"))
     drop(found)
-    p = classes.select("id", "n", "sketch", F.posexplode_outer("pre").alias("pos", "key")).where("key is not null")
-    p = p.select("key", "id", F.shiftleft(F.col("n").cast("long"), 20).bitwiseOR(F.col("pos").cast("long")).alias("np"), "sketch")
+    def prefixes(t: DataFrame) -> DataFrame:
+        """key, id, np (set size, whether settled, and place, in one long), sketch for each prefix word."""
+        x = t.select("id", "n", "sketch", "done", F.posexplode_outer("pre").alias("pos", "key")).where("key is not null")
+        np = F.shiftleft(F.col("n").cast("long"), 21).bitwiseOR(F.shiftleft(F.col("done").cast("long"), 20)).bitwiseOR(F.col("pos").cast("long"))
+        return x.select("key", "id", np.alias("np"), "sketch")
 
     def side(t: DataFrame, s: str) -> DataFrame:
-        return t.select("key", F.col("id").alias(f"i{s}"), F.shiftright("np", 20).cast("int").alias(f"n{s}"), F.col("np").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias(f"p{s}"), F.col("sketch").alias(f"s{s}"))
+        return t.select("key", *[F.col(c).alias(f"{c}_{s}") for c in t.columns if c not in ("key", "band")], *[c for c in ("band",) if c in t.columns])
 
-    total = F.col("na") + F.col("nb")
-    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    room = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    near &= (100 + percent) * room >= percent * total
-    near &= (100 + percent) * F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= (100 - percent) * total
+    size = lambda s: F.shiftright(f"np_{s}", 21)
+    place = lambda s: F.col(f"np_{s}").bitwiseAND(F.lit((1 << 20) - 1))
+    total = size("a") + size("b")
+    near = 100 * F.least(size("a"), size("b")) >= percent * F.greatest(size("a"), size("b"))
+    near &= (100 + percent) * (F.least(place("a"), place("b")) + F.least(size("a") - place("a"), size("b") - place("b"))) >= percent * total
+    near &= (100 + percent) * F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= (100 - percent) * total
+    near &= F.col("id_a") < F.col("id_b")
 
+    p = prefixes(classes.withColumn("done", F.lit(0)))
     # keys that many sets have, by a sample of the sets; this decides on the order of work only
     some = p.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("c"))
     hot = cut(some.where(F.col("c") >= HOT // SAMPLED).select("key"))
-    band = F.floor(F.log(F.shiftright("np", 20).cast("double")) / F.log(F.lit(BAND))).cast("int")
+    band = F.floor(F.log(F.shiftright("np", 21).cast("double")) / F.log(F.lit(BAND))).cast("int")
     many = cut(p.join(hot, "key", "left_semi").withColumn("band", band))
-    heads = many.groupBy("key", "band").agg(F.min(F.struct("id", "np", "sketch")).alias("h"))
-    heads = side(heads.select("key", "h.*"), "a").withColumn("band", F.floor(F.log(F.col("na").cast("double")) / F.log(F.lit(BAND))).cast("int"))
-    star = side(many, "b").withColumn("band", F.floor(F.log(F.col("nb").cast("double")) / F.log(F.lit(BAND))).cast("int"))
-    star = star.join(heads, ["key", "band"]).where((F.col("ia") < F.col("ib")) & near)
-    star = cut(star.select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct())
+    heads = many.groupBy("key", "band").agg(F.min(F.struct("id", "np", "sketch")).alias("h")).select("key", "band", "h.*")
+    star = side(many, "b").join(side(heads, "a"), ["key", "band"]).where(near)
+    star = cut(star.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
     settled = _similar(star, classes, docs, percent)
 
-    # sets that are not settled meet all earlier and later ones with a common prefix word
-    p2 = side(p, "a").join(side(p.join(settled, "id", "left_anti"), "b"), "key").where((F.col("ia") < F.col("ib")) & near)
-    pairs = cut(p2.select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct())
+    # sets that are not settled meet all earlier ones with a common prefix word; both sides of the join
+    # are one shuffled table, as what is settled is told by a bit and asked only in the join
+    p = prefixes(classes.join(settled.withColumn("done", F.lit(1)), "id", "left").withColumn("done", F.coalesce("done", F.lit(0))))
+    open_ = (F.shiftright("np_b", 20).bitwiseAND(F.lit(1)) == 0) | (F.col("id_b") < F.col("id_a"))
+    pairs = side(p, "a").join(side(p, "b"), "key").where(near & open_)
+    pairs = cut(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
     # one earlier match is enough, so each set is first held against its earliest candidate alone
     first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     early = _similar(first, classes, docs, percent)
