@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import domain, operations, relational, scalars  # noqa: F401
+from . import checks, domain, operations, relational, scalars  # noqa: F401
 from .base import ORACLES, QUERIES
 
 

@@ -110,7 +110,7 @@ def _(spark, sf):
     return txn(spark, sf).select("transaction_id", T.sha16(F.lit("order"), F.col("account_id"), F.col("transaction_id")).alias("k"))
 
 
-@query("NUM01_arithmetic", "SELECT transaction_id, line_number, part_id, abs(discount - 0.05) AS a, CAST(round(amount, 0) AS DECIMAL(18,2)) AS r, greatest(amount, quantity) AS g, least(amount, quantity) AS l, NULLIF(line_number, 1) AS z, line_number % 3 AS m FROM line")
+@query("NUM01_arithmetic", "SELECT transaction_id, line_number, part_id, CAST(abs(discount - 0.05) AS DECIMAL(18,2)) AS a, CAST(round(amount, 0) AS DECIMAL(18,2)) AS r, greatest(amount, quantity) AS g, least(amount, quantity) AS l, NULLIF(line_number, 1) AS z, line_number % 3 AS m FROM line")
 def _(spark, sf):
     return line(spark, sf).select("transaction_id", "line_number", "part_id", F.abs(F.col("discount") - F.lit(0.05).cast("decimal(18,2)")).cast("decimal(18,2)").alias("a"), money(F.round("amount", 0)).alias("r"), F.greatest("amount", "quantity").alias("g"), F.least("amount", "quantity").alias("l"), F.nullif(F.col("line_number"), F.lit(1)).alias("z"), (F.col("line_number") % 3).alias("m"))
 
