@@ -71,10 +71,13 @@ def _parity(hashes: Column) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _ids(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of (a, b), a the earlier one, the b of pairs whose sets are similar, as ``id``.  Sketches of 256
     bits are compared first, so that words travel only with pairs that are all but similar."""
-    sets = _words_of(cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), classes, docs)
     side = lambda s: sets.select(F.col("id").alias(s), F.size("words").alias(f"n{s}"), *[F.col(f"s{j}").alias(f"{s}{j}") for j in range(4)])
     differ = sum((F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
     total = F.col("na") + F.col("nb")
@@ -82,7 +85,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     y = x.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     both = F.size(F.array_intersect("wa", "wb"))
     out = cut(y.where(100 * both >= percent * (F.size("wa") + F.size("wb") - both)).select(F.col("b").alias("id")).distinct())
-    drop(sets, x)
+    drop(x)
     return out
 
 
@@ -143,7 +146,9 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     heads = many.groupBy("key", "band").agg(F.min(F.struct("id", "np", "sketch")).alias("h")).select("key", "band", "h.*")
     star = side(many, "b").join(side(heads, "a"), ["key", "band"]).where(near)
     star = cut(star.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
-    settled = _similar(star, classes, docs, percent)
+    sets = _words_of(_ids(star), classes, docs)
+    settled = _similar(star, sets, percent)
+    drop(sets)
 
     # sets that are not settled meet all earlier ones with a common prefix word; both sides of the join
     # are one shuffled table, as what is settled is told by a bit and asked only in the join
@@ -153,9 +158,11 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = cut(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
     # one earlier match is enough, so each set is first held against its earliest candidate alone
     first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    early = _similar(first, classes, docs, percent)
+    sets = _words_of(_ids(pairs), classes, docs)
+    early = _similar(first, sets, percent)
     rest = cut(pairs.join(early.withColumnRenamed("id", "b"), "b", "left_anti").join(first, ["a", "b"], "left_anti").select("a", "b"))
-    late = _similar(rest, classes, docs, percent)
+    late = _similar(rest, sets, percent)
+    drop(sets)
     gone = settled.unionByName(early).unionByName(late).distinct().withColumn("gone", F.lit(True))
 
     # of a class that goes all lines, of another all but the first
