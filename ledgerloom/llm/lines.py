@@ -132,10 +132,11 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     size = lambda s: F.shiftright(f"np_{s}", 21)
     place = lambda s: F.col(f"np_{s}").bitwiseAND(F.lit((1 << 20) - 1))
     total = size("a") + size("b")
-    near = 100 * F.least(size("a"), size("b")) >= percent * F.greatest(size("a"), size("b"))
-    near &= (100 + percent) * (F.least(place("a"), place("b")) + F.least(size("a") - place("a"), size("b") - place("b"))) >= percent * total
+    near = F.col("id_a") < F.col("id_b")
+    # similar sets pass this at the first key they share: nothing before it is common, so what is left bounds the overlap
+    near &= (100 + percent) * F.least(size("a") - place("a"), size("b") - place("b")) >= percent * total
     near &= (100 + percent) * F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= (100 - percent) * total
-    near &= F.col("id_a") < F.col("id_b")
+    near &= 100 * F.least(size("a"), size("b")) >= percent * F.greatest(size("a"), size("b"))
 
     p = prefixes(classes.withColumn("done", F.lit(0)))
     # keys that many sets have, by a sample of the sets; this decides on the order of work only
