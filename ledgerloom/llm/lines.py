@@ -93,15 +93,20 @@ def _words_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """id and words of the classes asked for, read again from the texts.  Of the documents only
     those that a Bloom filter of the ids lets through are shuffled."""
     at = classes.select("id", "at").join(ids, "id", "left_semi")
-    want = cut(at.groupBy(F.col("at.th").alias("th")).agg(F.collect_list(F.struct("id", "at")).alias("want")))
-    x = only(docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines")), want.select("th"), "th").join(want, "th")
+    want = cut(at.groupBy(F.col("at.th").alias("t"), F.col("at.doc_id").alias("d")).agg(F.collect_list(F.struct("id", F.col("at.line").alias("line"))).alias("want")))
+    x = only(docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines")), want.select(F.col("t").alias("th")), "th")
+    # the ids are compared in the join but are no keys of it, as the texts are dealt by their hash already
+    same = F.hash("doc_id").cast("long") - F.hash("d").cast("long") == 0
+    x = x.join(want, (F.col("th") == F.col("t")) & same).where(F.col("doc_id").eqNullSafe(F.col("d")))
     # the lines asked for only, before the rows are multiplied
-    x = x.select("doc_id", F.transform("want", lambda w: F.struct(w["id"].alias("id"), w["at"].alias("at"), F.get("lines", w["at"]["line"]).alias("text"))).alias("want"))
-    x = x.select("doc_id", F.explode_outer("want").alias("w")).where(F.col("doc_id").eqNullSafe(F.col("w.at.doc_id")))
-    x = cut(x.select("w.id", _words(F.col("w.text")).alias("words")).dropDuplicates(["id"]))
-    x = x.select("id", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    x = x.select(F.transform("want", lambda w: F.struct(w["id"].alias("id"), F.get("lines", w["line"]).alias("text"))).alias("want"))
+    x = x.select(F.explode_outer("want").alias("w"))
+    got = cut(x.select("w.id", _words(F.col("w.text")).alias("words")).dropDuplicates(["id"]))
+    x = got.select("id", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     part = lambda j: F.filter("h", lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(3)) == j)
-    return cut(x.select("id", "words", *[_parity(part(j)).alias(f"s{j}") for j in range(4)]))
+    out = cut(x.select("id", "words", *[_parity(part(j)).alias(f"s{j}") for j in range(4)]))
+    drop(want, got, ids)
+    return out
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -119,7 +124,8 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = cut(classes.select("h1", "h2", at, "f.n", "f.sketch", "f.pre", "c"))
     # ids in the order of the classes' first lines
     classes = cut(found.repartitionByRange("at").sortWithinPartitions("at").select(F.monotonically_increasing_id().alias("id"), "*"))
-    drop(found)
+    named = cut(lines.where("n > 0").select("doc_id", "th", "line", "h1", "h2"))
+    drop(found, lines)
     def prefixes(t: DataFrame) -> DataFrame:
         """key, id, np (set size, whether settled, and place, in one long), sketch for each prefix word."""
         x = t.select("id", "n", "sketch", "done", F.posexplode_outer("pre").alias("pos", "key")).where("key is not null")
@@ -149,7 +155,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     star = cut(star.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
     sets = _words_of(_ids(star), classes, docs)
     settled = _similar(star, sets, percent)
-    drop(sets)
+    drop(sets, hot, many, star)
 
     # sets that are not settled meet all earlier ones with a common prefix word; both sides of the join
     # are one shuffled table, as what is settled is told by a bit and asked only in the join
@@ -157,20 +163,24 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     open_ = (F.shiftright("np_b", 20).bitwiseAND(F.lit(1)) == 0) | (F.col("id_b") < F.col("id_a"))
     pairs = side(p, "a").join(side(p, "b"), "key").where(near & open_)
     pairs = cut(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+    named_classes = cut(classes.select("id", "h1", "h2", "at", "c"))
+    drop(classes)
+    classes = named_classes
+
     # one earlier match is enough, so each set is first held against its earliest candidate alone
     first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     sets = _words_of(_ids(pairs), classes, docs)
     early = _similar(first, sets, percent)
     rest = cut(pairs.join(early.withColumnRenamed("id", "b"), "b", "left_anti").join(first, ["a", "b"], "left_anti").select("a", "b"))
     late = _similar(rest, sets, percent)
-    drop(sets)
+    drop(sets, pairs, first, rest)
     gone = settled.unionByName(early).unionByName(late).distinct().withColumn("gone", F.lit(True))
 
     # of a class that goes all lines, of another all but the first
     verdict = cut(classes.select("id", "h1", "h2", "at", "c").join(gone, "id", "left").where("gone or c > 1").select("h1", "h2", F.col("at").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")))
-    out = lines.where("n > 0").select("doc_id", "th", "line", "h1", "h2").join(verdict, ["h1", "h2"])
+    out = named.join(verdict, ["h1", "h2"])
     out = cut(out.where(F.col("gone") | (F.struct("doc_id", "th", "line") != F.col("first"))).select("doc_id", "th", "line"))
-    drop(lines, classes, hot, many, star, settled, pairs, first, early, rest, late, verdict)
+    drop(named, classes, settled, early, late, verdict)
     return out
 
 
