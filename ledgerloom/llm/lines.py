@@ -33,6 +33,8 @@ PERCENT = 80
 #: Bits of a word's hash that are shuffled; what is found is compared on the words themselves.
 KEY_BITS = 40
 BAND = 1.25
+#: Words from which a line's sketch has 128 bits.
+WIDE = 64
 #: Keys of about HOT sets or more are hot, by one in SAMPLED sets.
 HOT, SAMPLED = 256, 16
 
@@ -114,23 +116,26 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     mask = F.lit((1 << KEY_BITS) - 1)
     n = F.size("keys")
     most = (n - F.ceil(n * percent / 100.0 - 1e-9) + 1).cast("int")
-    sketch = _parity(F.col("keys"))
+    low, high = (_parity(F.filter("keys", lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(1)) == j)) for j in (0, 1))
     pre = F.when(n >= 4, F.transform(F.slice("keys", F.lit(1), most), lambda k: k.bitwiseAND(mask)))
     x = keys_of(docs, rarity(docs))
-    lines = cut(x.select("doc_id", "th", "line", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), n.alias("n"), sketch.alias("sketch"), pre.alias("pre")))
+    lines = cut(x.select("doc_id", "th", "line", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), n.alias("n"), low.alias("low"), high.alias("high"), pre.alias("pre")))
 
-    classes = lines.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "line", "n", "sketch", "pre")).alias("f"), F.count("*").alias("c"))
+    classes = lines.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "line", "n", "low", "high", "pre")).alias("f"), F.count("*").alias("c"))
     at = F.struct("f.doc_id", "f.th", "f.line").alias("at")
-    found = cut(classes.select("h1", "h2", at, "f.n", "f.sketch", "f.pre", "c"))
+    # a sketch of 64 bits, of 128 for long lines, whose second half is 0 for short ones
+    wide = F.col("f.n") >= WIDE
+    sketch = F.when(wide, F.col("f.low")).otherwise(F.col("f.low").bitwiseXOR(F.col("f.high"))).alias("sketch")
+    found = cut(classes.select("h1", "h2", at, "f.n", sketch, F.when(wide, F.col("f.high")).otherwise(F.lit(0).cast("long")).alias("more"), "f.pre", "c"))
     # ids in the order of the classes' first lines
     classes = cut(found.repartitionByRange("at").sortWithinPartitions("at").select(F.monotonically_increasing_id().alias("id"), "*"))
     named = cut(lines.where("n > 0").select("doc_id", "th", "line", "h1", "h2"))
     drop(found, lines)
     def prefixes(t: DataFrame) -> DataFrame:
-        """key, id, np (set size, whether settled, and place, in one long), sketch for each prefix word."""
-        x = t.select("id", "n", "sketch", "done", F.posexplode_outer("pre").alias("pos", "key")).where("key is not null")
+        """key, id, np (set size, whether settled, and place, in one long) and sketch for each prefix word."""
+        x = t.select("id", "n", "sketch", "more", "done", F.posexplode_outer("pre").alias("pos", "key")).where("key is not null")
         np = F.shiftleft(F.col("n").cast("long"), 21).bitwiseOR(F.shiftleft(F.col("done").cast("long"), 20)).bitwiseOR(F.col("pos").cast("long"))
-        return x.select("key", "id", np.alias("np"), "sketch")
+        return x.select("key", "id", np.alias("np"), "sketch", "more")
 
     def side(t: DataFrame, s: str) -> DataFrame:
         return t.select("key", *[F.col(c).alias(f"{c}_{s}") for c in t.columns if c not in ("key", "band")], *[c for c in ("band",) if c in t.columns])
@@ -141,7 +146,9 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     near = F.col("id_a") < F.col("id_b")
     # similar sets pass this at the first key they share: nothing before it is common, so what is left bounds the overlap
     near &= (100 + percent) * F.least(size("a") - place("a"), size("b") - place("b")) >= percent * total
-    near &= (100 + percent) * F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= (100 - percent) * total
+    folded = lambda s: F.col(f"sketch_{s}").bitwiseXOR(F.col(f"more_{s}"))
+    differ = F.when((size("a") >= WIDE) & (size("b") >= WIDE), F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) + F.bit_count(F.col("more_a").bitwiseXOR(F.col("more_b")))).otherwise(F.bit_count(folded("a").bitwiseXOR(folded("b"))))
+    near &= (100 + percent) * differ <= (100 - percent) * total
     near &= 100 * F.least(size("a"), size("b")) >= percent * F.greatest(size("a"), size("b"))
 
     p = prefixes(classes.withColumn("done", F.lit(0)))
@@ -150,7 +157,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     hot = cut(some.where(F.col("c") >= HOT // SAMPLED).select("key"))
     band = F.floor(F.log(F.shiftright("np", 21).cast("double")) / F.log(F.lit(BAND))).cast("int")
     many = cut(p.join(hot, "key", "left_semi").withColumn("band", band))
-    heads = many.groupBy("key", "band").agg(F.min(F.struct("id", "np", "sketch")).alias("h")).select("key", "band", "h.*")
+    heads = many.groupBy("key", "band").agg(F.min(F.struct("id", "np", "sketch", "more")).alias("h")).select("key", "band", "h.*")
     star = side(many, "b").join(side(heads, "a"), ["key", "band"]).where(near)
     star = cut(star.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
     sets = _words_of(_ids(star), classes, docs)

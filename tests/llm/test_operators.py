@@ -385,14 +385,15 @@ def test_line_dedup(spark, monkeypatch):
     monkeypatch.setattr(lines, "HOT", 8)
     monkeypatch.setattr(lines, "SAMPLED", 1)
     r = random.Random(7)
-    pool = [words(r, r.randint(1, 40), 150) for _ in range(50)] + ["", "a b c d", "a b c d e", "A  b c D", "   "]
+    pool = [words(r, r.randint(1, 40), 150) for _ in range(40)] + [words(r, r.randint(55, 140), 3000) for _ in range(12)] + ["", "a b c d", "a b c d e", "A  b c D", "   "]
     texts = []
     for _ in range(60):
         part = []
         for _ in range(r.randint(1, 6)):
             w = r.choice(pool).split(" ")
             if len(w) > 5 and r.random() < 0.5:
-                w[r.randrange(len(w))] = f"z{r.randrange(50)}"
+                for _ in range(r.randint(1, 1 + len(w) // 6)):
+                    w[r.randrange(len(w))] = f"z{r.randrange(50)}"
             part.append(" ".join(w))
         texts.append("\n".join(part))
     texts += [None, "", "\n\n", words(r, 5000)]
