@@ -36,7 +36,7 @@ BAND = 1.25
 #: Words from which a line's sketch has 128 bits.
 WIDE = 64
 #: Keys of about HOT sets or more are hot, by one in SAMPLED sets.
-HOT, SAMPLED = 4096, 64
+HOT, SAMPLED = 1024, 32
 
 
 def _slot(word: Column) -> Column:
