@@ -1,20 +1,19 @@
 """Operator 9: toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Terms are the words of the lower-cased text (runs of letters) and their first four and five
-letters.  Of the labelled examples (at most ``EXAMPLES`` of each class, those of least hash) those
-terms are kept that stand in toxic examples so often that chance would bring some ``FALSE`` terms
-at most to it (Chernoff's bound on the binomial tail, times the number of terms), and in toxic
-examples mostly (``LEAST_SHARE``); their document
-frequencies are counted over all documents.  A document's
-nearest examples come of an inverted index whose blocks carry each term's largest weight: blocks
-are visited in order of their bound, and the search ends, exactly, where no bound can reach the
-k-th best.  Votes are weighted by squared cosine and calibrated by isotonic regression on
+letters.  All terms of the labelled examples (at most ``EXAMPLES`` of each class, those of least
+hash) are indexed, with their document frequencies over all documents.  A document's nearest
+examples come of an inverted index read from rare to common terms: after each tier of terms what
+the rest can still add to an example is bounded by the norms of both rests (Cauchy and Schwarz),
+and only examples whose bound reaches the k-th best are worked out, exactly.  Terms of a document
+that no example holds would scale all its cosines alike and are left out of its norm.
+Votes are weighted by squared cosine and calibrated by isotonic regression on
 leave-one-out votes, with each class weighted back to its share of the labels.
 
 Scale: two passes over the documents, neither of which shuffles a text; the index is bounded by
-the sample and travels in the closure.
+the sample and is broadcast.
 
-Defined results: null and empty texts, and texts without any of the terms, score the share of
+Defined results: null and empty texts, and texts without a term of any example, score the share of
 toxic ones among such examples; without usable labels every score is 0; a label of null is no
 label; rows that share a doc_id are scored each by its own text; an empty table gives no rows.
 """
@@ -22,8 +21,10 @@ label; rows that share a doc_id are scored each by its own text; an empty table
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +34,13 @@ from pyspark.sql import functions as F
 from ..session import table
 from .base import cut, small_batches
 
-#: Most labelled examples of the classes 0 and 1, and most terms.
-EXAMPLES, TERMS = (12_000, 4_000), 2_000
-FALSE = 3.0
-#: Least share of toxic ones among the examples that hold a term, each class weighted to its share of the labels.
-LEAST_SHARE = 0.5
-#: What stands for the idf of the number of tokens.
-LENGTH_WEIGHT = 1.0
+#: Most labelled examples of the classes 0 and 1.
+EXAMPLES = (12_000, 4_000)
 NEAREST = 15
-BLOCK = 64
+#: Tiers of terms end at these shares of the examples; the last holds the rest.
+TIERS = (1 / 256, 1 / 64, 1 / 16, 1 / 4)
+#: More than rounding to single precision can change a cosine by.
+SLACK = 1e-5
 THRESHOLD = 0.7
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -61,13 +60,8 @@ class Terms(dict):
     def __init__(self, known: dict[str, int]):
         super().__init__()
         self.known = known
-        # what a word begins with that can have known terms
-        self.heads = {t.lstrip("^")[:4] for t in known}
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        if token[:4] not in self.heads and (token.isalpha() or token[:-1].isalpha()):
-            if len(token) > 4 or token[:3] not in self.heads and token[:2] not in self.heads and token[:1] not in self.heads:
-                return ()
         out = tuple(self.known[t] for t in terms_of(token) if t in self.known)
         if len(self) >= 200_000:
             self.clear()
@@ -75,66 +69,132 @@ class Terms(dict):
             self[token] = out
         return out
 
-    def count(self, text: str | None) -> Counter:
-        """Of the known terms; where there are any, of all tokens under a number of its own, so that the
-        cosine tells one such word in a long text from many in a short one."""
-        got: Counter = Counter()
-        if text:
-            tokens = text.lower().split()
-            for ids in map(self.__getitem__, tokens):
-                if ids:
-                    got.update(ids)
-            if got:
-                got[len(self.known)] = len(tokens)
-        return got
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the known terms in a text, ascending, and how often each stands in it."""
+        ids = np.fromiter(chain.from_iterable(map(self.__getitem__, text.lower().split())) if text else (), np.int32)
+        return np.unique(ids, return_counts=True)
+
+
+class Vocabulary:
+    """The known terms; travels as one string, and is made into a dict once a process."""
+
+    def __init__(self, joined: str):
+        self.joined, self.terms = joined, None
+
+    def __reduce__(self):
+        return Vocabulary, (self.joined,)
+
+    def find(self) -> Terms:
+        if self.terms is None:
+            self.terms = Terms({t: i for i, t in enumerate(self.joined.split())})
+        return self.terms
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1 and so on, size[0] of them, then those of start[1]."""
+    end = np.cumsum(size)
+    return np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)
 
 
 class BlockMaxIndex:
-    """Examples' unit vectors as postings in blocks, with the largest weight of each term in each block."""
+    """Examples' vectors by example and, in single precision, by term; with the norms of what each
+    example holds beyond each tier of terms."""
 
     def __init__(self, rows: list[Counter], idf: np.ndarray):
-        self.idf = idf
-        vectors = [self.vector(r) for r in rows]
-        # examples whose heaviest term is the same stand together, which keeps the bounds tight
-        self.order = sorted(range(len(rows)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, i))
-        self.blocks = -(-len(rows) // BLOCK)
-        self.top = np.zeros((len(idf), max(1, self.blocks)))
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for b in range(self.blocks):
-            lists: dict[int, tuple[list, list]] = {}
-            for at, i in enumerate(self.order[b * BLOCK : (b + 1) * BLOCK]):
-                for t, w in zip(vectors[i][0].tolist(), vectors[i][1].tolist(), strict=True):
-                    lists.setdefault(t, ([], []))
-                    lists[t][0].append(at), lists[t][1].append(w)
-                    self.top[t, b] = max(self.top[t, b], w)
-            self.postings.append({t: (np.array(p), np.array(w)) for t, (p, w) in lists.items()})
-        self.order = np.array(self.order, np.int64)
-
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[i] for i in ids.tolist()], float))) * self.idf[ids] if len(ids) else np.zeros(0)
-        n = np.sqrt((w * w).sum())
-        return ids, w / n if n else w
-
-    def nearest(self, counts: Counter, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        rows = [sorted(r.items()) for r in rows]
+        self._fill(np.cumsum([0, *map(len, rows)]), np.array([t for r in rows for t, _ in r], np.int32), np.array([c for r in rows for _, c in r], np.int32), idf)
+
+    @classmethod
+    def of(cls, start: np.ndarray, ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> BlockMaxIndex:
+        """Example i holds the terms ids[start[i] : start[i + 1]], each so often as counts says."""
+        out = cls.__new__(cls)
+        out._fill(start, ids, counts, idf)
+        return out
+
+    def _fill(self, start: np.ndarray, ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> None:
+        self.idf, self.start, self.ids = idf, start.astype(np.int64), ids
+        self.counts = counts.astype(np.min_scalar_type(counts.max(initial=1)))
+        self.size = len(start) - 1
+        row = np.repeat(np.arange(self.size, dtype=np.min_scalar_type(self.size)), np.diff(start))
+        held = np.bincount(ids, minlength=len(idf))
+        self.tier = np.searchsorted(np.array(TIERS) * self.size, held, side="left").astype(np.int8)
+        w = (1 + np.log(self.counts.astype(float))) * idf[ids]
+        self.norm = np.sqrt(np.bincount(row, w * w, self.size))
+        w /= self.norm[row]
+        at = self.tier[ids]
+        self.rest = [np.sqrt(np.bincount(row[at > k], w[at > k] ** 2, self.size)) for k in range(len(TIERS))]
+        order = np.argsort(ids, kind="stable")
+        self.first = np.concatenate([[0], np.cumsum(held)])
+        self.who, self.weight = row[order], w[order].astype(np.float32)
+        self.query = None
+
+    def __reduce__(self):
+        """Travels as the gaps between an example's terms, packed, and is built anew once a process."""
+        gaps = np.diff(self.ids, prepend=np.int32(0)).astype(np.int32)
+        planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T)
+        return _unpack, (self.start, zlib.compress(planes.tobytes(), 1), zlib.compress(self.counts.tobytes(), 1), self.counts.dtype.str, self.idf)
+
+    def vector(self, counts: Counter | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(counts, dict):
+            counts = np.array(sorted(counts), np.int64), np.array([counts[i] for i in sorted(counts)], float)
+        ids, n = counts
+        w = (1 + np.log(n)) * self.idf[ids] if len(ids) else np.zeros(0)
+        norm = np.sqrt((w * w).sum())
+        return ids, w / norm if norm else w
+
+    def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.start[i : i + 2]
+        return self.ids[a:b], self.counts[a:b].astype(float)
+
+    def nearest(self, counts: Counter | tuple[np.ndarray, np.ndarray], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k best by cosine, then number; ``but`` is left out."""
         ids, w = self.vector(counts)
-        bound = w @ self.top[ids]
-        who, how = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(how) >= k and bound[b] < how[-1] - 1e-12:
+        tier, first, held = self.tier[ids], self.first[ids], self.first[ids + 1] - self.first[ids]
+        got = np.zeros(self.size)
+        for level in range(len(TIERS) + 1):
+            own = tier == level
+            if level <= 1:
+                at = _runs(first[own], held[own])
+                got += np.bincount(self.who[at], self.weight[at] * np.repeat(w[own], held[own]), self.size)
+            else:
+                for a, n, x in zip(first[own].tolist(), held[own].tolist(), w[own].tolist(), strict=True):
+                    got[self.who[a : a + n]] += x * self.weight[a : a + n]
+            if but >= 0:
+                got[but] = 0
+            more = tier > level
+            bound = got + np.sqrt((w[more] ** 2).sum()) * self.rest[level] if more.any() else got
+            least = np.partition(got, -k)[-k] if self.size > k else 0.0
+            hit = np.nonzero((bound > 0) & (bound >= least - SLACK))[0]
+            # what is left of the postings is read only where that is less than the examples themselves
+            if not more.any() or (self.start[hit + 1] - self.start[hit]).sum() < held[more].sum():
                 break
-            score, lists = np.zeros(BLOCK), self.postings[b]
-            for t, x in zip(ids.tolist(), w.tolist(), strict=True):
-                if t in lists:
-                    score[lists[t][0]] += x * lists[t][1]
-            hit = np.nonzero(score)[0]
-            own = self.order[b * BLOCK + hit]
-            own, got = own[own != but], score[hit][own != but]
-            who, how = np.concatenate([who, own]), np.concatenate([how, got])
-            best = np.lexsort((who, -how))[:k]
-            who, how = who[best], how[best]
-        return who, how
+        hit = hit[hit != but]
+        score = self._exact(hit, ids, w)
+        hit, score = hit[score > 0], score[score > 0]
+        best = np.lexsort((hit, -score))[:k]
+        return hit[best], score[best]
+
+    def _exact(self, rows: np.ndarray, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
+        if not len(rows):
+            return np.zeros(0)
+        if self.query is None:
+            self.query = np.zeros(len(self.idf))
+        size = self.start[rows + 1] - self.start[rows]
+        at = _runs(self.start[rows], size)
+        own = self.ids[at]
+        self.query[ids] = w
+        x = self.query[own]
+        self.query[ids] = 0
+        both = x != 0
+        x, own = x[both], own[both]
+        x = x * (1 + np.log(self.counts[at[both]].astype(float))) * self.idf[own]
+        return np.bincount(np.repeat(np.arange(len(rows)), size)[both], x, len(rows)) / self.norm[rows]
+
+
+def _unpack(start: np.ndarray, gaps: bytes, counts: bytes, kind: str, idf: np.ndarray) -> BlockMaxIndex:
+    planes = np.frombuffer(zlib.decompress(gaps), np.uint8).reshape(4, -1)
+    ids = np.cumsum(np.ascontiguousarray(planes.T).view(np.int32).ravel(), dtype=np.int64).astype(np.int32)
+    return BlockMaxIndex.of(start, ids, np.frombuffer(zlib.decompress(counts), np.dtype(kind)), idf)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,28 +211,23 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
-    """Terms, index, labels and calibration; small enough for a closure."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, rows: list[tuple[int, int, Counter]], weights: tuple[float, float]):
-        self.terms = {t: i for i, t in enumerate(terms)}
-        full = [r for r in rows if r[2]]
-        none = [r for r in rows if not r[2]]
-        toxic, clean = (sum(weights[y] for _, y, _ in none if y == c) for c in (1, 0))
-        self.rest = toxic / (toxic + clean + 1) if rows else 0.0
-        self.ids, self.labels = [r[0] for r in full], np.array([r[1] for r in full], float)
-        self.index = BlockMaxIndex([r[2] for r in full], idf)
-        votes = np.array([self.vote(*self.index.nearest(r[2], NEAREST, i)) for i, r in enumerate(full)])
-        self.steps = isotonic(votes, self.labels, np.array([weights[r[1]] for r in full])) if full else (np.zeros(1), np.zeros(1))
+    """Index, labels and calibration."""
+
+    def __init__(self, index: BlockMaxIndex, ids: list[int], labels: np.ndarray, rest: float):
+        self.index, self.ids, self.labels, self.rest = index, ids, labels, rest
+        self.steps = np.zeros(1), np.zeros(1)
 
     def vote(self, who: np.ndarray, how: np.ndarray) -> float:
         w = how * how
         return float((w * self.labels[who]).sum() / w.sum()) if len(who) else 0.0
 
-    def score(self, counts: Counter) -> tuple[float, list[tuple[int, float, int]]]:
+    def left_out(self, i: int) -> float:
+        """The vote on example i by the others."""
+        return self.vote(*self.index.nearest(self.index.example(i), NEAREST, i))
+
+    def score(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[tuple[int, float, int]]]:
         """The calibrated score, and the examples that gave it."""
-        if not counts:
-            return self.rest, []
-        who, how = self.index.nearest(counts, NEAREST)
+        who, how = self.index.nearest(counts, NEAREST) if len(counts[0]) else ((), ())
         if not len(who):
             return self.rest, []
         at = np.searchsorted(self.steps[0], self.vote(who, how) + 1e-12, side="right") - 1
@@ -183,8 +238,8 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, examples: tuple[int, int] = EXAMPLES, terms: int = TERMS, false: float = FALSE) -> Model:
-    """Labels are learnt from rows outside the held-out fold only."""
+def train(docs: DataFrame, labels: DataFrame, examples: tuple[int, int] = EXAMPLES) -> tuple:
+    """Broadcast vocabulary and model, and the steps of the calibration.  Labels are learnt from rows outside the held-out fold only."""
     y = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     y = cut(y)
     totals = {r["toxic"]: r["c"] for r in y.groupBy("toxic").agg(F.count("*").alias("c")).collect()}
@@ -198,71 +253,95 @@ def train(docs: DataFrame, labels: DataFrame, examples: tuple[int, int] = EXAMPL
     kind = dict(docs.dtypes)["doc_id"]
     sample = cut(sample.select("doc_id", "toxic", "text"))
     size = {r["toxic"]: r["c"] for r in sample.groupBy("toxic").agg(F.count("*").alias("c")).collect()}
-    n1, n0 = size.get(1, 0), size.get(0, 0)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[int]] = {}
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *[pa.array([float(v[i]) for v in found.values()]) for i in (1, 0)]], names=["term", "a", "b"])
-            found.clear()
-            return out
+    weights = tuple(totals.get(c, 0) / max(1, size.get(c, 0)) for c in (0, 1))
+    context = docs.sparkSession.sparkContext
 
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
         for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for t in {t for w in set((text or "").lower().split()) for t in terms_of(w)}:
-                    found.setdefault(t, [0, 0])[toxic] += 1
+            for text in batch.column(0).to_pylist():
+                found.update(t for w in set((text or "").lower().split()) for t in terms_of(w))
             if len(found) > 200_000:
-                yield flush()
-        yield flush()
-
-    a = sample.select("toxic", "text").mapInArrow(features, "term string, a double, b double").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    a = cut(a.where("a + b >= 2"))
-    share = n1 / max(1, n1 + n0)
-    known: list[str] = []
-    if n1 and n0:
-        q = F.col("a") / (F.col("a") + F.col("b"))
-        other = F.when(F.col("b") > 0, (1 - q) * F.log((1 - q) / (1 - share))).otherwise(0.0)
-        a = a.withColumn("x", (F.col("a") + F.col("b")) * (q * F.log(F.greatest(q, F.lit(1e-12)) / share) + other))
-        w1, w0 = (totals.get(c, 0) / max(1, size.get(c, 0)) for c in (1, 0))
-        a = a.where((F.col("a") > 0) & (q > share) & (F.col("a") * w1 >= LEAST_SHARE * (F.col("a") * w1 + F.col("b") * w0)) & (F.col("x") >= float(np.log(max(1, a.count()) / false))))
-        known = sorted(r["term"] for r in a.orderBy(F.desc("x"), "term").limit(terms).collect())
-    numbers = {t: i for i, t in enumerate(known)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["term"])
+                found.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["term"])
+
+    # terms are runs of letters, so that blanks keep them apart
+    known = sample.select("text").mapInArrow(terms, "term string").distinct().toArrow()["term"].to_pylist()
+    vocabulary, width = Vocabulary(" ".join(sorted(known))), len(known)
+    del known
+    shared = context.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, n, df = Terms(numbers), 0, Counter()
+        find, n, df = shared.value.find(), 0, np.zeros(width, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                df.update(t for t in find.count(text) if t < len(numbers))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *df], pa.int32()), pa.array([n, *df.values()], pa.int64())], names=["term", "n"])
-
-    counts = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()} if known else {}
-    n = counts.get(-1, 0)
-    idf = np.array([np.log((n + 1) / (counts.get(i, 0) + 0.5)) for i in range(len(known))] + [LENGTH_WEIGHT])
+                df[find.count(text)[0]] += 1
+        at = np.nonzero(df)[0]
+        for a in range(0, max(1, len(at)), 65_536):
+            part = at[a : a + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(df[part], pa.int64())], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64())], names=["term", "n"])
+
+    counts = np.zeros(width + 1)  # the last is the number of documents
+    if width:
+        got = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        counts[got["term"].to_numpy()] = got["n"].to_numpy()
+    idf = np.log((counts[-1] + 1) / (counts[:-1] + 0.5))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Terms(numbers)
+        find = shared.value.find()
         for batch in batches:
             got = [find.count(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in got], pa.list_(pa.int32())), pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))], names=["doc_id", "toxic", "ids", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c for c, _ in got], pa.list_(pa.int32())), pa.array([n for _, n in got], pa.list_(pa.int32()))], names=["doc_id", "toxic", "ids", "n"])
+
+    got = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, ids array<int>, n array<int>").toArrow().combine_chunks()
+    ids, y = got["doc_id"].to_pylist(), got["toxic"].to_numpy()
+    rows = [(got["ids"].combine_chunks(), got["n"].combine_chunks())] if len(ids) else []
+    take = []
+    start, flat, often = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    if rows:
+        at = rows[0][0].offsets.to_numpy()
+        all_ids, all_n = rows[0][0].values.to_numpy(), rows[0][1].values.to_numpy()
+        of = lambda x, i: x[at[i] : at[i + 1]]
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], y[i], of(all_ids, i).tobytes(), of(all_n, i).tobytes()))
+        take = [i for i in order if at[i] < at[i + 1]]
+        start = np.cumsum([0, *(at[i + 1] - at[i] for i in take)])
+        if take:
+            flat, often = (np.concatenate([of(x, i) for i in take]) for x in (all_ids, all_n))
+        del all_ids, all_n
+    toxic, clean = (sum(weights[c] for i in set(range(len(ids))) - set(take) if y[i] == c) for c in (1, 0))
+    model = Model(BlockMaxIndex.of(start, flat, often, idf), [ids[i] for i in take], y[take].astype(float) if take else np.zeros(0), toxic / (toxic + clean + 1) if rows else 0.0)
+    del got, rows
+    if not take:
+        return shared, context.broadcast(model), model.steps
+    first = context.broadcast(model)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([first.value.left_out(x) for x in i], pa.float64())], names=["id", "vote"])
 
-    got = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, ids array<int>, n array<int>").collect()
-    rows = sorted(((r["doc_id"], r["toxic"], Counter(dict(zip(r["ids"], r["n"], strict=True)))) for r in got), key=lambda r: (r[0], r[1], sorted(r[2].items())))
-    return Model(known, idf, rows, tuple(totals.get(c, 0) / max(1, size.get(c, 0)) for c in (0, 1)))
+    got = docs.sparkSession.range(0, len(take), 1, 48).mapInArrow(left_out, "id long, vote double").toArrow()
+    votes = np.zeros(len(take))
+    votes[got["id"].to_numpy()] = got["vote"].to_numpy()
+    steps = isotonic(votes, model.labels, np.array(weights)[model.labels.astype(int)])
+    return shared, first, steps
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, evidence: bool = False) -> DataFrame:
     """All columns of docs with toxic_score, and where asked for the examples that gave it."""
-    model = train(docs, labels)
+    vocabulary, model, steps = train(docs, labels)
     cols = [c for c in docs.columns if c not in ("toxic_score", "toxic_evidence")]
     add = "toxic_score double" + (", toxic_evidence array<struct<doc_id:long,cosine:double,toxic:int>>" if evidence else "")
     at = cols.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Terms(model.terms)
+        find, m = vocabulary.value.find(), model.value
+        m.steps = steps
         for batch in batches:
-            got = [model.score(find.count(x)) for x in batch.column(at).to_pylist()]
+            got = [m.score(find.count(x)) for x in batch.column(at).to_pylist()]
             more = [pa.array([s for s, _ in got], pa.float64())]
             if evidence:
                 more.append(pa.array([[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in e] for _, e in got], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))))

@@ -434,6 +434,34 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.where("false"), labels).count() == 0
 
 
+def test_toxicity_reads_all_terms(spark):
+    """Neighbours by rare words, and by words that stand in clean examples mostly, against brute force."""
+    import zlib
+
+    r = random.Random(21)
+    many = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    texts = [" ".join(r.choice(many) for _ in range(r.randint(1, 40))) for _ in range(120)]
+    docs = frame(spark, texts)
+    marks = {i: int(i % 3 == 0) for i in range(90)}
+    labels = spark.createDataFrame([(i, 1, y) for i, y in marks.items()], "doc_id long, quality int, toxic int")
+    counts = [Counter(t for w in x.split() for t in toxicity.terms_of(w)) for x in texts]
+    own = [i for i in marks if zlib.crc32(str(i).encode()) % 3 != 1]
+    known = {t for i in own for t in counts[i]}
+    df = Counter(t for c in counts for t in c)
+    vector = lambda c: {t: (1 + np.log(n)) * np.log((len(texts) + 1) / (df[t] + 0.5)) for t, n in c.items() if t in known}
+    for x in toxicity.toxicity(docs, labels, evidence=True).collect():
+        q = vector(counts[x["doc_id"]])
+        want = []
+        for i in own:
+            v = vector(counts[i])
+            dot = sum(a * v.get(t, 0) for t, a in q.items())
+            want.append(dot / np.sqrt(sum(a * a for a in q.values()) * sum(a * a for a in v.values())) if dot else 0)
+        got = x["toxic_evidence"]
+        best = [s for s in sorted(want, reverse=True)[: toxicity.NEAREST] if s > 0]
+        assert np.allclose([e["cosine"] for e in got], best)
+        assert all(np.isclose(want[own.index(e["doc_id"])], e["cosine"]) for e in got)
+
+
 def test_block_max_search_is_exact():
     r = random.Random(3)
     rows = [Counter(r.randrange(40) for _ in range(r.randint(1, 12))) for _ in range(500)]
