@@ -1,6 +1,7 @@
 """Operator 10: main text of HTML pages by gradient-boosted trees over DOM-node features.
 
-A page becomes a tree of its block elements; inline markup belongs to the block around it.  Each
+A page becomes a tree of its block elements; inline markup belongs to the block around it, and a
+run of bare text under body is a block without a name.  Each
 block has features of its subtree (text, link and punctuation density, counts of paragraphs, list
 items and headings), its attributes' tokens, its depth and its siblings.  Boosted trees give the
 chance that it belongs to the main text; a dynamic program over the tree then takes the likeliest
@@ -37,6 +38,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of a page.
 SILENT = frozenset("script style template title textarea select noscript svg iframe object canvas math audio video head button".split())
+#: Elements that leave the head open; any other, or text, closes it.
+IN_HEAD = frozenset("head html base basefont bgsound link meta title style script noscript template".split())
+#: The tag of a run of bare text under body.
+RUN = "#run"
 RAW = frozenset("script style textarea title noscript iframe template".split())
 CLOSED_BY_BLOCK = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
@@ -57,7 +62,7 @@ TOKENS = {
 }
 TOKENS = {k: frozenset(v.split()) for k, v in TOKENS.items()}
 KINDS = tuple(TOKENS)
-TAG_KINDS = {"p": 0, "div": 1, "section": 2, "article": 3, "main": 4, "nav": 5, "header": 6, "footer": 7, "aside": 8, "form": 9, "ul": 10, "ol": 10, "menu": 10, "dl": 10, "li": 11, "dt": 11, "dd": 11, "h1": 12, "h2": 13, "h3": 13, "h4": 13, "h5": 13, "h6": 13, "table": 14, "tbody": 14, "tr": 14, "thead": 14, "td": 15, "th": 15, "blockquote": 16, "pre": 17, "figure": 18, "figcaption": 18, "body": 19, "html": 19}
+TAG_KINDS = {"p": 0, RUN: 0, "div": 1, "section": 2, "article": 3, "main": 4, "nav": 5, "header": 6, "footer": 7, "aside": 8, "form": 9, "ul": 10, "ol": 10, "menu": 10, "dl": 10, "li": 11, "dt": 11, "dd": 11, "h1": 12, "h2": 13, "h3": 13, "h4": 13, "h5": 13, "h6": 13, "table": 14, "tbody": 14, "tr": 14, "thead": 14, "td": 15, "th": 15, "blockquote": 16, "pre": 17, "figure": 18, "figcaption": 18, "body": 19, "html": 19}
 
 
 class Node:
@@ -91,15 +96,34 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     nodes, pieces = [Node("html", -1, 0, 0, None)], []
     stack: list[tuple[str, int]] = [("html", 0)]
     at, anchors, silent = 0, 0, 0
+    run = 0  # the open run of bare text
     size = len(page)
 
+    def add(name: str, bits: int, mark) -> int:
+        nonlocal run
+        up = stack[-1][1]
+        node = Node(name, up, nodes[up].depth + 1, bits, mark)
+        node.place = len(nodes[up].kids)
+        nodes[up].kids.append(len(nodes))
+        nodes.append(node)
+        run = 0
+        return len(nodes) - 1
+
     def text(a: int, b: int) -> None:
+        nonlocal run
+        if a < b and stack[-1][0] == "head" and page[a:b].strip():
+            pop(len(stack) - 1)
         if a < b and not silent:
             s = page[a:b]
             if "&" in s:
                 s = _html.unescape(s)
-            n, node = len(s.split()), nodes[stack[-1][1]]
-            pieces.append((stack[-1][1], s))
+            n, own = len(s.split()), stack[-1][1]
+            if not own:
+                if n and not run:
+                    run = add(RUN, 0, None)
+                own = run
+            node = nodes[own]
+            pieces.append((own, s))
             if n:
                 long_ = len(s.strip())
                 node.own += long_
@@ -133,6 +157,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
         if not name:
             continue
         name = name.lower()
+        if not close and stack[-1][0] == "head" and name not in IN_HEAD:
+            pop(len(stack) - 1)
         if close:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
@@ -153,6 +179,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             if name == "body":
                 pop(1)
             continue
+        if name == "head" and len(nodes) > 1:
+            continue
         if name in CLOSED_BY_BLOCK:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
@@ -179,11 +207,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             anchors += name == "a"
             continue
         bits, mark, hidden = _kinds(attrs) if attrs.strip() else (0, None, False)
-        up = stack[-1][1]
-        node = Node(name, up, nodes[up].depth + 1, bits, mark)
-        node.place = len(nodes[up].kids)
-        nodes[up].kids.append(len(nodes))
-        nodes.append(node)
+        add(name, bits, mark)
         pieces.append((0, None))
         if name in SILENT:
             silent += 1
@@ -204,7 +228,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     """A row for each block."""
     for n in nodes:
         n.chars, n.links, n.puncts, n.tags = n.own, n.link, n.punct, 1
-        n.blocks, n.items, n.heads = int(n.tag == "p"), int(n.tag == "li"), int(n.tag in ("h1", "h2", "h3", "h4"))
+        n.blocks, n.items, n.heads = int(n.tag in ("p", RUN)), int(n.tag == "li"), int(n.tag in ("h1", "h2", "h3", "h4"))
     for n in reversed(nodes[1:]):
         p = nodes[n.parent]
         p.chars += n.chars
@@ -473,8 +497,9 @@ def extract_batch(trees: Boosted, pages: list[str | None]) -> list[str]:
             continue
         z = odds[at : at + len(nodes)]
         at += len(nodes)
-        # bare text of the body counts only where there are no blocks at all
-        out.append(assemble(pieces, decode(nodes, z), len(nodes) == 1))
+        # there is nothing to tell bare text from where the body has no other blocks
+        bare = all(n.tag in (RUN, "head") for n in nodes[1:])
+        out.append(assemble(pieces, [True] * len(nodes) if bare else decode(nodes, z), bare))
     return out
 
 

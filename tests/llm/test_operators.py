@@ -506,6 +506,23 @@ def test_html_extraction_on_the_pages(spark, sf):
         assert r["text"] == want and r["n_chars"] == len(want)
 
 
+def test_html_bare_text_and_open_heads():
+    prose = "Long text of an article, with commas, and more than a few words in it. " * 6
+    p, trees = " ".join(prose.split()), extract.model()
+    pages = [
+        f"<html><head><title>x</title></head><body>{prose}<br>{prose}</body></html>",
+        f"<title>x</title><p>{prose}</p>",
+        f"<head><title>x</title><meta name=a><p>{prose}</p>",
+        f"<head><title>x</title>{prose}",
+        f"<head><title>x</title></head><body><nav><a href=x>menu</a></nav>{prose}<b>{prose}</b><br>{prose}<footer>copyright</footer></body>",
+        f"<head><title>x</title></head><body><h1>Some title here</h1>{prose}<br><br>{prose}<div class=footer>legal</div></body>",
+    ]
+    got = extract.extract_batch(trees, pages)
+    assert got[:4] == [f"{p} {p}", p, p, p]
+    assert p in got[4] and got[4].count(p) == 3 and "menu" not in got[4] and "copyright" not in got[4]
+    assert got[5].count(p) == 2 and "legal" not in got[5]
+
+
 def test_html_oddities(spark):
     prose = "Long text of an article, with commas, and more than a few words in it. " * 4
     pages = [None, "", "no tags at all", "<p>", "<<>><p", f"<article><p>{prose}&amp; &eacute;&#32;x<script>no</script><p>{prose}</article>", "<nav><a href=x>menu</a></nav>", "<div>" * 3000, f"<body><article><h1>T</h1><p>{prose}</p></article><!-- open", "<p a='>' b=\">\">" + prose]
