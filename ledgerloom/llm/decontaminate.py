@@ -10,7 +10,7 @@ substitutions, each leaves some mask a clean stretch (see the tests).
 
 Scale: the documents are read once and never shuffled; only hits move.  Seeds are broadcast only
 while their number, which is counted, is at most ``BROADCAST_SEEDS``; beyond that hits come of a
-shuffled join on the hash, and the texts of documents with hits are joined back by id.
+shuffled join on the hash, and the texts of documents with hits are joined back by id and words.
 
 Defined results: null or blank texts are never contaminated; words are compared with A-Z
 lower-cased; rows that share a doc_id count as one document; a row without doc_id is reported
@@ -68,10 +68,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = B
         hits = hits.join(F.broadcast(items.select("item", F.col("toks").alias("b"), "n", "item_id")), "item")
         hits = _aligned(hits)
     else:
-        found = _places(d, "doc_id").select("doc_id", "hash", "place").join(marks, "hash")
-        found = found.select("doc_id", "item", (F.col("place") - F.col("at")).alias("at"), F.lit(0).alias("place")).distinct()
+        # rows are found again by id, which may be null, and words; these also part the rows without id
+        d = d.withColumn("row", F.xxhash64("toks"))
+        found = _places(d, "doc_id", "row").select("doc_id", "row", "hash", "place").join(marks, "hash")
+        found = found.select("doc_id", "row", "item", (F.col("place") - F.col("at")).alias("at"), F.lit(0).alias("place")).distinct()
         found = found.withColumn("at", -F.col("at"))
-        hits = found.join(d, "doc_id").join(items.select("item", F.col("toks").alias("b"), "n", "item_id"), "item")
+        d = d.select(F.col("doc_id").alias("id"), F.col("row").alias("own"), "toks")
+        hits = found.join(d, (F.col("row") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id"))).join(items.select("item", F.col("toks").alias("b"), "n", "item_id"), "item")
         hits = _aligned(hits)
     # written before it is used: an expression that stands in several lambdas would be worked out anew in each
     hits = cut(hits.distinct())

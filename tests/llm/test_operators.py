@@ -293,6 +293,15 @@ def test_decontaminate(spark, corpus, bound):
     assert decontaminate.contaminated(odd(spark, texts), bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_SEEDS, 0])
+def test_decontaminate_reports_rows_without_id(spark, bound):
+    passage = words(random.Random(7), 20, 3000)
+    docs = spark.createDataFrame([(None, f"so {passage} on"), (None, "quite another text"), (3, passage)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"], x["matched"]) for x in decontaminate.contaminated(docs, bench, bound).collect()}
+    assert got == {(None, 1, 16), (3, 1, 16)}
+
+
 # ---- 6
 
 
