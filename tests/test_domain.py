@@ -169,3 +169,11 @@ def test_stream_state(spark, sf, tmp_path):
     q = streaming.running_state(s).writeStream.outputMode("update").format("memory").queryName("st").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n) from st").first()[0] == e.count()
+
+
+def test_lots_of_all_accounts(spark, sf):
+    from ledgerloom.plans import catalog
+
+    want = {r[0] for r in spark.read.parquet(f"{sf}/lineitem.parquet").join(spark.read.parquet(f"{sf}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey").distinct().collect()}
+    got = catalog.queries()["DOM30_lots_fifo"](spark, sf).select("account_id").distinct().collect()
+    assert {r[0] for r in got} == want
