@@ -1,14 +1,19 @@
 """Operator 9: toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are the words of the lower-cased text (runs of letters) and their first four and five
-letters.  All terms of the labelled examples (at most ``EXAMPLES`` of each class, those of least
-hash) are indexed, with their document frequencies over all documents.  A document's nearest
-examples come of an inverted index read from rare to common terms: after each tier of terms what
-the rest can still add to an example is bounded by the norms of both rests (Cauchy and Schwarz),
-and only examples whose bound reaches the k-th best are worked out, exactly.  Terms of a document
-that no example holds would scale all its cosines alike and are left out of its norm.
-Votes are weighted by squared cosine and calibrated by isotonic regression on
-leave-one-out votes, with each class weighted back to its share of the labels.
+Terms are the words of the lower-cased text (runs of letters), cut to their first five letters,
+which takes inflected forms together.  All terms of the labelled examples (at most ``EXAMPLES`` of
+each class, those of least hash) are indexed.  A term's weight is ``(1 + ln tf) * idf * relevance``:
+document frequencies are over all documents, and the relevance factor (Lan and others, 2009) is
+``log2(2 + a / max(1, c))`` for a term that a toxic and c clean examples hold, c in the labels'
+proportions.
+
+A document's nearest examples come of a block-max inverted index: similar examples stand side by
+side in blocks of ``BLOCK``, each term has its largest weight in each block, and the sums of these
+bound the cosine of all examples of a block.  The blocks of the highest bounds are scored first;
+after that only blocks whose bound reaches the k-th best.  What is within rounding of the k-th best
+is worked out anew in double precision.  Terms of a document that no example holds would scale all
+its cosines alike and are left out of its norm.  Votes are weighted by squared cosine and by the
+class's share of the labels, and calibrated by isotonic regression on leave-one-out votes.
 
 Scale: two passes over the documents, neither of which shuffles a text; the index is bounded by
 the sample and is broadcast.
@@ -21,10 +26,8 @@ label; rows that share a doc_id are scored each by its own text; an empty table
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,59 +38,39 @@ from ..session import table
 from .base import cut, small_batches
 
 #: Most labelled examples of the classes 0 and 1.
-EXAMPLES = (12_000, 4_000)
+EXAMPLES = (4_000, 2_000)
 NEAREST = 15
-#: Tiers of terms end at these shares of the examples; the last holds the rest.
-TIERS = (1 / 256, 1 / 64, 1 / 16, 1 / 4)
+#: Examples in a block; blocks that are scored before the bounds are asked.
+BLOCK, FIRST = 64, 8
+#: Terms and rounds by which similar examples are brought together, and into how many groups.
+COMMON, ROUNDS, GROUPS = 256, 6, 16
 #: More than rounding to single precision can change a cosine by.
 SLACK = 1e-5
 THRESHOLD = 0.7
 
-LETTERS = re.compile(r"[^\W\d_]+")
+STEMS = re.compile(r"([^\W\d_]{1,5})[^\W\d_]*")
 
 
-def terms_of(token: str) -> list[str]:
-    out = []
-    for x in LETTERS.findall(token):
-        out.append(x)
-        out += ["^" + x[:k] for k in (4, 5) if len(x) > k]
-    return out
-
-
-class Terms(dict):
-    """Token to the numbers of the known terms in it; works out what it has not got."""
-
-    def __init__(self, known: dict[str, int]):
-        super().__init__()
-        self.known = known
-
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        out = tuple(self.known[t] for t in terms_of(token) if t in self.known)
-        if len(self) >= 200_000:
-            self.clear()
-        if len(token) <= 48:
-            self[token] = out
-        return out
-
-    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the known terms in a text, ascending, and how often each stands in it."""
-        ids = np.fromiter(chain.from_iterable(map(self.__getitem__, text.lower().split())) if text else (), np.int32)
-        return np.unique(ids, return_counts=True)
+def terms_of(text: str | None) -> list[str]:
+    return STEMS.findall(text.lower()) if text else []
 
 
 class Vocabulary:
     """The known terms; travels as one string, and is made into a dict once a process."""
 
     def __init__(self, joined: str):
-        self.joined, self.terms = joined, None
+        self.joined, self.known = joined, None
 
     def __reduce__(self):
         return Vocabulary, (self.joined,)
 
-    def find(self) -> Terms:
-        if self.terms is None:
-            self.terms = Terms({t: i for i, t in enumerate(self.joined.split())})
-        return self.terms
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the known terms in a text, ascending, and how often each stands in it."""
+        if self.known is None:
+            self.known = {t: i for i, t in enumerate(self.joined.split())}
+        got = terms_of(text)
+        ids, n = np.unique(np.fromiter(map(self.known.get, got, repeat(-1)), np.int32, len(got)), return_counts=True)
+        return (ids[1:], n[1:]) if len(ids) and ids[0] < 0 else (ids, n)
 
 
 def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -96,81 +79,99 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)
 
 
+def alike(x: np.ndarray, groups: int = GROUPS, rounds: int = ROUNDS) -> np.ndarray:
+    """An order of the rows of x in which similar ones stand together: by the nearest of some
+    centroids, then by how near."""
+    n = len(x)
+    if n <= BLOCK:
+        return np.arange(n)
+    x = x / np.maximum(1e-12, np.sqrt((x * x).sum(axis=1, keepdims=True)))
+    centre = x[np.linspace(0, n - 1, min(groups, n)).astype(int)]
+    for _ in range(rounds):
+        own = np.argmax(x @ centre.T, axis=1)
+        centre = np.stack([x[own == g].sum(axis=0) if (own == g).any() else centre[g] for g in range(len(centre))])
+        centre = centre / np.maximum(1e-12, np.sqrt((centre * centre).sum(axis=1, keepdims=True)))
+    near = x @ centre.T
+    own = np.argmax(near, axis=1)
+    return np.lexsort((np.arange(n), -near[np.arange(n), own], own))
+
+
 class BlockMaxIndex:
-    """Examples' vectors by example and, in single precision, by term; with the norms of what each
-    example holds beyond each tier of terms."""
-
-    def __init__(self, rows: list[Counter], idf: np.ndarray):
-        rows = [sorted(r.items()) for r in rows]
-        self._fill(np.cumsum([0, *map(len, rows)]), np.array([t for r in rows for t, _ in r], np.int32), np.array([c for r in rows for _, c in r], np.int32), idf)
-
-    @classmethod
-    def of(cls, start: np.ndarray, ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> BlockMaxIndex:
-        """Example i holds the terms ids[start[i] : start[i + 1]], each so often as counts says."""
-        out = cls.__new__(cls)
-        out._fill(start, ids, counts, idf)
-        return out
-
-    def _fill(self, start: np.ndarray, ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> None:
-        self.idf, self.start, self.ids = idf, start.astype(np.int64), ids
-        self.counts = counts.astype(np.min_scalar_type(counts.max(initial=1)))
-        self.size = len(start) - 1
-        row = np.repeat(np.arange(self.size, dtype=np.min_scalar_type(self.size)), np.diff(start))
-        held = np.bincount(ids, minlength=len(idf))
-        self.tier = np.searchsorted(np.array(TIERS) * self.size, held, side="left").astype(np.int8)
-        w = (1 + np.log(self.counts.astype(float))) * idf[ids]
+    """Examples' vectors by example, and by term in blocks of examples.
+
+    Example i holds the terms ids[start[i] : start[i + 1]], each so often as counts says; ``weight``
+    is what a term's part in a vector is multiplied with (idf and relevance)."""
+
+    def __init__(self, start: np.ndarray, ids: np.ndarray, counts: np.ndarray, weight: np.ndarray):
+        self.size, self.factor = len(start) - 1, weight
+        row = np.repeat(np.arange(self.size), np.diff(start))
+        held = np.bincount(ids, minlength=len(weight))
+        common = np.full(len(weight), -1)
+        top = np.argsort(-held, kind="stable")[:COMMON]
+        common[top] = np.arange(len(top))
+        dense = np.zeros((self.size, len(top)))
+        seen = common[ids] >= 0
+        dense[row[seen], common[ids[seen]]] = (1 + np.log(counts[seen].astype(float))) * weight[ids[seen]]
+        # place[i]: where example i stands among the blocks
+        self.order = alike(dense)
+        self.place = np.empty(self.size, np.int64)
+        self.place[self.order] = np.arange(self.size)
+
+        at = _runs(start[self.order], np.diff(start)[self.order]) if self.size else np.zeros(0, np.int64)
+        self.ids, self.counts = ids[at].astype(np.int32), counts[at].astype(np.int32)
+        self.start = np.concatenate([[0], np.cumsum(np.diff(start)[self.order])]).astype(np.int64)
+        row = np.repeat(np.arange(self.size), np.diff(self.start))
+        w = (1 + np.log(self.counts.astype(float))) * weight[self.ids]
         self.norm = np.sqrt(np.bincount(row, w * w, self.size))
         w /= self.norm[row]
-        at = self.tier[ids]
-        self.rest = [np.sqrt(np.bincount(row[at > k], w[at > k] ** 2, self.size)) for k in range(len(TIERS))]
-        order = np.argsort(ids, kind="stable")
-        self.first = np.concatenate([[0], np.cumsum(held)])
-        self.who, self.weight = row[order], w[order].astype(np.float32)
+        by = np.argsort(self.ids, kind="stable")
+        self.who, self.part = row[by].astype(np.int32), w[by].astype(np.float32)
+        term, block = self.ids[by].astype(np.int64), row[by] // BLOCK
+        # postings of one term in one block
+        new = np.nonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))[0]
+        self.cell = np.append(new, len(term)).astype(np.int64)
+        self.block = block[new].astype(np.int32)
+        self.most = np.maximum.reduceat(self.part, new) if len(new) else np.zeros(0, np.float32)
+        self.first = np.searchsorted(term[new], np.arange(len(weight) + 1)).astype(np.int64)
+        self.blocks = -(-self.size // BLOCK)
         self.query = None
 
-    def __reduce__(self):
-        """Travels as the gaps between an example's terms, packed, and is built anew once a process."""
-        gaps = np.diff(self.ids, prepend=np.int32(0)).astype(np.int32)
-        planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T)
-        return _unpack, (self.start, zlib.compress(planes.tobytes(), 1), zlib.compress(self.counts.tobytes(), 1), self.counts.dtype.str, self.idf)
-
-    def vector(self, counts: Counter | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        if isinstance(counts, dict):
-            counts = np.array(sorted(counts), np.int64), np.array([counts[i] for i in sorted(counts)], float)
+    def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         ids, n = counts
-        w = (1 + np.log(n)) * self.idf[ids] if len(ids) else np.zeros(0)
+        w = (1 + np.log(n)) * self.factor[ids] if len(ids) else np.zeros(0)
         norm = np.sqrt((w * w).sum())
         return ids, w / norm if norm else w
 
     def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.start[i : i + 2]
+        a, b = self.start[self.place[i] : self.place[i] + 2]
         return self.ids[a:b], self.counts[a:b].astype(float)
 
-    def nearest(self, counts: Counter | tuple[np.ndarray, np.ndarray], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, counts: tuple[np.ndarray, np.ndarray], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k best by cosine, then number; ``but`` is left out."""
         ids, w = self.vector(counts)
-        tier, first, held = self.tier[ids], self.first[ids], self.first[ids + 1] - self.first[ids]
-        got = np.zeros(self.size)
-        for level in range(len(TIERS) + 1):
-            own = tier == level
-            if level <= 1:
-                at = _runs(first[own], held[own])
-                got += np.bincount(self.who[at], self.weight[at] * np.repeat(w[own], held[own]), self.size)
-            else:
-                for a, n, x in zip(first[own].tolist(), held[own].tolist(), w[own].tolist(), strict=True):
-                    got[self.who[a : a + n]] += x * self.weight[a : a + n]
+        n = self.first[ids + 1] - self.first[ids]
+        cells = _runs(self.first[ids], n)
+        q = np.repeat(w.astype(np.float32), n)
+        block = self.block[cells]
+        bound = np.bincount(block, q * self.most[cells], self.blocks)
+        but = int(self.place[but]) if but >= 0 else -1
+        got = np.zeros(self.blocks * BLOCK)
+        todo = np.zeros(self.blocks, bool)
+        todo[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        least = 0.0
+        for last in (False, True):
+            if last:
+                todo = ~todo & (bound > 0) & (bound >= least - SLACK)
+            use = np.nonzero(todo[block])[0]
+            size = self.cell[cells[use] + 1] - self.cell[cells[use]]
+            at = _runs(self.cell[cells[use]], size)
+            got += np.bincount(self.who[at], self.part[at] * np.repeat(q[use], size), len(got))
             if but >= 0:
                 got[but] = 0
-            more = tier > level
-            bound = got + np.sqrt((w[more] ** 2).sum()) * self.rest[level] if more.any() else got
-            least = np.partition(got, -k)[-k] if self.size > k else 0.0
-            hit = np.nonzero((bound > 0) & (bound >= least - SLACK))[0]
-            # what is left of the postings is read only where that is less than the examples themselves
-            if not more.any() or (self.start[hit + 1] - self.start[hit]).sum() < held[more].sum():
-                break
-        hit = hit[hit != but]
+            least = np.partition(got, -k)[-k] if len(got) > k else 0.0
+        hit = np.nonzero((got > 0) & (got >= least - SLACK))[0]
         score = self._exact(hit, ids, w)
-        hit, score = hit[score > 0], score[score > 0]
+        hit, score = self.order[hit[score > 0]], score[score > 0]
         best = np.lexsort((hit, -score))[:k]
         return hit[best], score[best]
 
@@ -178,7 +179,7 @@ class BlockMaxIndex:
         if not len(rows):
             return np.zeros(0)
         if self.query is None:
-            self.query = np.zeros(len(self.idf))
+            self.query = np.zeros(len(self.factor))
         size = self.start[rows + 1] - self.start[rows]
         at = _runs(self.start[rows], size)
         own = self.ids[at]
@@ -187,16 +188,10 @@ class BlockMaxIndex:
         self.query[ids] = 0
         both = x != 0
         x, own = x[both], own[both]
-        x = x * (1 + np.log(self.counts[at[both]].astype(float))) * self.idf[own]
+        x = x * (1 + np.log(self.counts[at[both]].astype(float))) * self.factor[own]
         return np.bincount(np.repeat(np.arange(len(rows)), size)[both], x, len(rows)) / self.norm[rows]
 
 
-def _unpack(start: np.ndarray, gaps: bytes, counts: bytes, kind: str, idf: np.ndarray) -> BlockMaxIndex:
-    planes = np.frombuffer(zlib.decompress(gaps), np.uint8).reshape(4, -1)
-    ids = np.cumsum(np.ascontiguousarray(planes.T).view(np.int32).ravel(), dtype=np.int64).astype(np.int32)
-    return BlockMaxIndex.of(start, ids, np.frombuffer(zlib.decompress(counts), np.dtype(kind)), idf)
-
-
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Steps (least x, value) of the weighted monotone fit, by pooling adjacent violators."""
     out: list[list[float]] = []
@@ -211,14 +206,14 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
-    """Index, labels and calibration."""
+    """Index, labels with their weights, and calibration."""
 
-    def __init__(self, index: BlockMaxIndex, ids: list[int], labels: np.ndarray, rest: float):
-        self.index, self.ids, self.labels, self.rest = index, ids, labels, rest
+    def __init__(self, index: BlockMaxIndex, ids: list[int], labels: np.ndarray, weights: np.ndarray, rest: float):
+        self.index, self.ids, self.labels, self.weights, self.rest = index, ids, labels, weights, rest
         self.steps = np.zeros(1), np.zeros(1)
 
     def vote(self, who: np.ndarray, how: np.ndarray) -> float:
-        w = how * how
+        w = how * how * self.weights[who]
         return float((w * self.labels[who]).sum() / w.sum()) if len(who) else 0.0
 
     def left_out(self, i: int) -> float:
@@ -234,6 +229,12 @@ class Model:
         return float(min(1.0, max(0.0, self.steps[1][max(0, at)]))), [(self.ids[i], s, int(self.labels[i])) for i, s in zip(who.tolist(), how.tolist(), strict=True)]
 
 
+def relevance(ids: np.ndarray, labels: np.ndarray, weights: tuple[float, float], width: int) -> np.ndarray:
+    """The factor of each term, from the labels of the example that each posting is of."""
+    held = [np.bincount(ids[labels == c], minlength=width) for c in (0, 1)]
+    return np.log2(2 + held[1] * weights[1] / np.maximum(1.0, held[0] * weights[0]))
+
+
 def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
@@ -260,10 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: tuple[int, int] = EXAMPL
         found: set[str] = set()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found.update(t for w in set((text or "").lower().split()) for t in terms_of(w))
-            if len(found) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["term"])
-                found.clear()
+                found.update(terms_of(text))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["term"])
 
     # terms are runs of letters, so that blanks keep them apart
@@ -273,11 +271,11 @@ def train(docs: DataFrame, labels: DataFrame, examples: tuple[int, int] = EXAMPL
     shared = context.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, n, df = shared.value.find(), 0, np.zeros(width, np.int64)
+        n, df = 0, np.zeros(width, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                df[find.count(text)[0]] += 1
+                df[shared.value.count(text)[0]] += 1
         at = np.nonzero(df)[0]
         for a in range(0, max(1, len(at)), 65_536):
             part = at[a : a + 65_536]
@@ -291,30 +289,21 @@ def train(docs: DataFrame, labels: DataFrame, examples: tuple[int, int] = EXAMPL
     idf = np.log((counts[-1] + 1) / (counts[:-1] + 0.5))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = shared.value.find()
         for batch in batches:
-            got = [find.count(x) for x in batch.column(2).to_pylist()]
+            got = [shared.value.count(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c for c, _ in got], pa.list_(pa.int32())), pa.array([n for _, n in got], pa.list_(pa.int32()))], names=["doc_id", "toxic", "ids", "n"])
 
-    got = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, ids array<int>, n array<int>").toArrow().combine_chunks()
-    ids, y = got["doc_id"].to_pylist(), got["toxic"].to_numpy()
-    rows = [(got["ids"].combine_chunks(), got["n"].combine_chunks())] if len(ids) else []
-    take = []
-    start, flat, often = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    if rows:
-        at = rows[0][0].offsets.to_numpy()
-        all_ids, all_n = rows[0][0].values.to_numpy(), rows[0][1].values.to_numpy()
-        of = lambda x, i: x[at[i] : at[i + 1]]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], y[i], of(all_ids, i).tobytes(), of(all_n, i).tobytes()))
-        take = [i for i in order if at[i] < at[i + 1]]
-        start = np.cumsum([0, *(at[i + 1] - at[i] for i in take)])
-        if take:
-            flat, often = (np.concatenate([of(x, i) for i in take]) for x in (all_ids, all_n))
-        del all_ids, all_n
-    toxic, clean = (sum(weights[c] for i in set(range(len(ids))) - set(take) if y[i] == c) for c in (1, 0))
-    model = Model(BlockMaxIndex.of(start, flat, often, idf), [ids[i] for i in take], y[take].astype(float) if take else np.zeros(0), toxic / (toxic + clean + 1) if rows else 0.0)
+    got = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, ids array<int>, n array<int>").collect()
+    rows = sorted((r["doc_id"], r["toxic"], r["ids"], r["n"]) for r in got)
+    toxic, clean = (sum(weights[c] for r in rows if not r[2] and r[1] == c) for c in (1, 0))
+    some = [r for r in rows if r[2]]
+    start = np.cumsum([0, *(len(r[2]) for r in some)])
+    flat, often = (np.concatenate([np.zeros(0, np.int32), *(np.array(r[i], np.int32) for r in some)]) for i in (2, 3))
+    y = np.array([r[1] for r in some], int)
+    factor = idf * relevance(flat, np.repeat(y, np.diff(start)), weights, width)
+    model = Model(BlockMaxIndex(start, flat, often, factor), [r[0] for r in some], y.astype(float), np.array(weights)[y], toxic / (toxic + clean + 1))
     del got, rows
-    if not take:
+    if not some:
         return shared, context.broadcast(model), model.steps
     first = context.broadcast(model)
 
@@ -323,11 +312,10 @@ def train(docs: DataFrame, labels: DataFrame, examples: tuple[int, int] = EXAMPL
             i = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([first.value.left_out(x) for x in i], pa.float64())], names=["id", "vote"])
 
-    got = docs.sparkSession.range(0, len(take), 1, 48).mapInArrow(left_out, "id long, vote double").toArrow()
-    votes = np.zeros(len(take))
+    got = docs.sparkSession.range(0, len(some), 1, 24).mapInArrow(left_out, "id long, vote double").toArrow()
+    votes = np.zeros(len(some))
     votes[got["id"].to_numpy()] = got["vote"].to_numpy()
-    steps = isotonic(votes, model.labels, np.array(weights)[model.labels.astype(int)])
-    return shared, first, steps
+    return shared, first, isotonic(votes, model.labels, model.weights)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, evidence: bool = False) -> DataFrame:
@@ -338,10 +326,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, evidence: bool = False) -> Data
     at = cols.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, m = vocabulary.value.find(), model.value
+        words, m = vocabulary.value, model.value
         m.steps = steps
         for batch in batches:
-            got = [m.score(find.count(x)) for x in batch.column(at).to_pylist()]
+            got = [m.score(words.count(x)) for x in batch.column(at).to_pylist()]
             more = [pa.array([s for s, _ in got], pa.float64())]
             if evidence:
                 more.append(pa.array([[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in e] for _, e in got], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))))

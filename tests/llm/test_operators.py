@@ -453,11 +453,12 @@ def test_toxicity_reads_all_terms(spark):
     docs = frame(spark, texts)
     marks = {i: int(i % 3 == 0) for i in range(90)}
     labels = spark.createDataFrame([(i, 1, y) for i, y in marks.items()], "doc_id long, quality int, toxic int")
-    counts = [Counter(t for w in x.split() for t in toxicity.terms_of(w)) for x in texts]
+    counts = [Counter(w[:5] for w in x.split()) for x in texts]
     own = [i for i in marks if zlib.crc32(str(i).encode()) % 3 != 1]
-    known = {t for i in own for t in counts[i]}
+    held = [Counter(t for i in own if marks[i] == c for t in counts[i]) for c in (0, 1)]
     df = Counter(t for c in counts for t in c)
-    vector = lambda c: {t: (1 + np.log(n)) * np.log((len(texts) + 1) / (df[t] + 0.5)) for t, n in c.items() if t in known}
+    factor = {t: np.log((len(texts) + 1) / (df[t] + 0.5)) * np.log2(2 + held[1][t] / max(1, held[0][t])) for t in df if held[0][t] + held[1][t]}
+    vector = lambda c: {t: (1 + np.log(n)) * factor[t] for t, n in c.items() if t in factor}
     for x in toxicity.toxicity(docs, labels, evidence=True).collect():
         q = vector(counts[x["doc_id"]])
         want = []
@@ -471,22 +472,36 @@ def test_toxicity_reads_all_terms(spark):
         assert all(np.isclose(want[own.index(e["doc_id"])], e["cosine"]) for e in got)
 
 
-def test_block_max_search_is_exact():
+def packed(rows):
+    start = np.cumsum([0, *map(len, rows)])
+    return start, np.array([t for c in rows for t in sorted(c)], np.int32), np.array([c[t] for c in rows for t in sorted(c)], np.int32)
+
+
+def counted(c):
+    return np.array(sorted(c), np.int32), np.array([c[t] for t in sorted(c)])
+
+
+@pytest.mark.parametrize("n", [1, 60, 900])
+def test_block_max_search_is_exact(n):
     r = random.Random(3)
-    rows = [Counter(r.randrange(40) for _ in range(r.randint(1, 12))) for _ in range(500)]
-    idf = np.array([1 + r.random() * 4 for _ in range(40)])
-    index = toxicity.BlockMaxIndex(rows, idf)
-    dense = np.zeros((500, 40))
+    rows = [Counter(min(299, int(r.expovariate(1 / 40))) for _ in range(r.randint(1, 25))) for _ in range(n)]
+    factor = np.array([0.2 + r.random() * 4 for _ in range(300)])
+    index = toxicity.BlockMaxIndex(*packed(rows), factor)
+    dense = np.zeros((n, 300))
     for i, c in enumerate(rows):
-        ids, w = index.vector(c)
+        ids, w = index.vector(counted(c))
         dense[i, ids] = w
-    for _ in range(60):
-        q = Counter(r.randrange(40) for _ in range(6))
-        ids, w = index.vector(q)
+        assert np.array_equal(index.example(i)[0], ids)
+    for t in range(60):
+        c = counted(Counter(min(299, int(r.expovariate(1 / 40))) for _ in range(12)))
+        ids, w = index.vector(c)
         score = dense[:, ids] @ w
-        who, how = index.nearest(q, 15)
+        but = t % n if t % 2 else -1
+        if but >= 0:
+            score[but] = 0
+        who, how = index.nearest(c, 15, but)
         best = np.sort(score)[::-1][:15]
-        assert np.allclose(np.pad(how, (0, 15 - len(how))), np.where(best > 0, best, 0))
+        assert np.allclose(how, best[best > 0])
         assert np.allclose(score[who], how)
 
 
