@@ -38,7 +38,7 @@ from ..session import table
 from .base import cut, small_batches
 
 #: Most labelled examples of the classes 0 and 1.
-EXAMPLES = (4_000, 2_000)
+EXAMPLES = (2_500, 1_500)
 NEAREST = 15
 #: Examples in a block; blocks that are scored before the bounds are asked.
 BLOCK, FIRST = 64, 8
