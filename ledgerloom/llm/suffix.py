@@ -233,7 +233,7 @@ def sort_blocks(segments: DataFrame, length: int) -> DataFrame:
         if block:
             yield close()
 
-    small_batches(segments.sparkSession, 1024)
+    small_batches(segments.sparkSession)
     return segments.select("m", "h", "c", "text").repartition("m").sortWithinPartitions("m", "h").mapInArrow(run, FOUND)
 
 
@@ -247,7 +247,7 @@ def count_windows(segments: DataFrame, length: int) -> DataFrame:
                 digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[i : i + length]) for i in range(n)), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, m)), pa.array(np.full(n, h)), pa.array(np.arange(n, dtype=np.int32)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(np.full(n, c))], names=["m", "h", "w", "x", "y", "c"])
 
-    small_batches(segments.sparkSession, 256)
+    small_batches(segments.sparkSession)
     w = cut(segments.select("m", "h", "c", "text").mapInArrow(run, "m long, h long, w int, x long, y long, c long"))
     often = w.groupBy("x", "y").agg(F.sum("c").alias("n")).where("n > 1").select("x", "y")
     hit = w.where("c = 1").join(often, ["x", "y"], "left_semi").groupBy("m", "h").agg(F.sort_array(F.collect_set("w")).alias("ws"))
@@ -347,7 +347,11 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False, hot
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strip_repeats(table(spark, sf_dir, "documents"))
+    """The digests, and behind them the text that is left and its code points; a character of which
+    only a part is left is replaced by U+FFFD there."""
+    x = strip_repeats(table(spark, sf_dir, "documents"), text=True)
+    left = F.decode("kept", "UTF-8")
+    return x.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", left.alias("text"), F.length(left).cast("long").alias("n_chars"))
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
