@@ -3,13 +3,13 @@
 Three fixed patterns find the base spans.  Credentials that they label (at most ``SAMPLE`` of
 each kind, those of least hash) make a prefix tree each, over character classes; statistically
 compatible states are merged (Hoeffding bound, the red and blue fringe of ALERGIA) into a
-probabilistic automaton.  Every other candidate, a run of 16 or more credential characters with
-a letter and a digit, is scored by its log-likelihood per character under the best automaton
-against that of ordinary candidates' classes; what scores like the labelled ones is added with
-kind ``grammar``.
+probabilistic automaton.  Every other candidate, a run of ``LEAST`` or more credential characters
+outside the base spans (a span that crosses a run cuts it), is scored by its log-likelihood per
+character under the best automaton against that of an automaton of ordinary candidates; what scores
+like the labelled ones is added with kind ``grammar``.  Whole credentials are fitted and scored.
 
-Scale: the texts are read in one pass that leaves only spans and candidates; fitting takes a
-bounded sample and scoring the small remainder.  Nothing is shuffled but the sample.
+Scale: the texts are read twice, to gather the bounded samples and to scan; nothing is shuffled
+but the samples, which each task bounds before it sends them.
 
 Defined results: null and empty texts have no spans; rows stand alone, so repeated rows and
 clashing columns change nothing; with no labelled credentials nothing is added; an empty table
@@ -24,23 +24,28 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .base import cut, small_batches
+from .base import cut, drop, small_batches
 
 KINDS = ("assign", "access", "hex", "grammar")
-#: Most credentials of a kind that an automaton is fitted to, and most characters of each.
-SAMPLE, SAMPLE_CHARS = 400, 64
+#: Most credentials of a kind that an automaton is fitted to.
+SAMPLE = 400
+#: Characters of the shortest candidate, as of the shortest labelled credential.
+LEAST = 6
 ALPHA = 0.05
+#: Most other candidates that the ordinary automaton is fitted to; answers that a worker keeps.
+ORDINARY, CACHED = 2_000, 400_000
 #: Share of the labelled credentials that may score below the threshold.
 TAIL = 0.02
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -55,24 +60,24 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def candidates(text: str, base: list) -> list[tuple[int, int, str]]:
-    """Runs of credential characters outside the base spans."""
-    out, spans = [], iter(base)
-    span = next(spans, None)
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        while span is not None and span[2] <= a:
-            span = next(spans, None)
-        if span is not None and span[0] < b:
-            continue
-        s = m[0]
-        if re.search("[0-9]", s) and re.search("[A-Za-z]", s):
-            out.append((a, b, s))
+    """Runs of credential characters outside the base spans; a span that a run meets cuts it."""
+    if not base:
+        return [(*m.span(), m[0]) for m in CANDIDATE.finditer(text)]
+    out, at = [], 0
+    for a, b in [*((x[0], x[2]) for x in base), (len(text), len(text))]:
+        if a > at:
+            out += [(*m.span(), m[0]) for m in CANDIDATE.finditer(text, at, a)]
+        at = max(at, b)
     return out
 
 
+#: Digits to 0, a-f to a, g-z to z, A-F to A, G-Z to Z; others stay as they are.
+CLASSES = {ord(c): k for k, cs in {"0": "0123456789", "a": "abcdef", "z": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "Z": "GHIJKLMNOPQRSTUVWXYZ"}.items() for c in cs}
+
+
 def classes(s: str) -> str:
-    """A character class for each character: 0, a (a-f), z (g-z), A (A-F), Z (G-Z); others as they are."""
-    return "".join("0" if "0" <= c <= "9" else "a" if "a" <= c <= "f" else "z" if "a" <= c <= "z" else "A" if "A" <= c <= "F" else "Z" if "A" <= c <= "Z" else c for c in s)
+    """A character class for each character."""
+    return s.translate(CLASSES)
 
 
 class Automaton:
@@ -93,6 +98,7 @@ class Automaton:
                 self.next.setdefault(at, {})
                 self.total[at] += 1
             self.ends[at] += 1
+        self.most = max(1, len(sample))
         self._merge()
 
     def _differ(self, x: int, n: int, y: int, m: int) -> bool:
@@ -100,7 +106,12 @@ class Automaton:
             return False
         return abs(x / n - y / m) > math.sqrt(0.5 * math.log(2 / self.alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
+    def _open(self, n: int) -> bool:
+        """Whether a state seen n times can differ from any other by the bound at all; one seen less often can't either."""
+        return math.sqrt(0.5 * math.log(2 / self.alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(self.most)) < 1
+
     def _fits(self, p: int, q: int) -> bool:
+        """q is the root of a tree, so this ends; what lies below a state that can't differ can't either."""
         todo = [(p, q)]
         while todo:
             p, q = todo.pop()
@@ -111,11 +122,8 @@ class Automaton:
                 a, b = self.next[p].get(c), self.next[q].get(c)
                 if self._differ(a[1] if a else 0, n, b[1] if b else 0, m):
                     return False
-                # states seen a few times can't differ by the bound
-                if a and b and a[1] > 8 and b[1] > 8 and (a[0], b[0]) != (p, q):
+                if a and b and self._open(b[1]):
                     todo.append((a[0], b[0]))
-            if len(todo) > 10_000:
-                break
         return True
 
     def _fold(self, p: int, q: int) -> None:
@@ -124,6 +132,7 @@ class Automaton:
         while todo:
             p, q = todo.pop()
             self.total[p] += self.total[q]
+            self.most = max(self.most, self.total[p])
             self.ends[p] += self.ends[q]
             for c, (to, n) in self.next.pop(q).items():
                 if c in self.next[p]:
@@ -133,7 +142,7 @@ class Automaton:
                     self.next[p][c] = [to, n]
 
     def _merge(self) -> None:
-        red = [0]
+        red = {0: None}
         while True:
             blue = [(r, c) for r in red for c, (to, _) in sorted(self.next[r].items()) if to not in red]
             if not blue:
@@ -146,7 +155,7 @@ class Automaton:
                     self._fold(p, q)
                     break
             else:
-                red.append(q)
+                red[q] = None
 
     def score(self, s: str) -> float:
         """Log-likelihood per symbol and end, smoothed by one over 40 symbols."""
@@ -160,77 +169,92 @@ class Automaton:
 
 
 class Grammar:
-    """Automata by kind, the background of ordinary candidates, and the threshold of each automaton."""
+    """Automata by kind with the threshold of each, and the automaton of ordinary candidates."""
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
-        self.automata = [Automaton([classes(s)[:SAMPLE_CHARS] for s in labelled[k]]) for k in sorted(labelled) if len(labelled[k]) >= 5]
-        counts: dict[str, int] = defaultdict(int)
-        for s in ordinary:
-            for c in classes(s):
-                counts[c] += 1
-        n = sum(counts.values())
-        self.ground = defaultdict(lambda n=n: math.log(1 / (n + 40)), {c: math.log((k + 1) / (n + 40)) for c, k in counts.items()})
-        self.ground = dict(self.ground) | {"": math.log(1 / (n + 40))}
+        self.automata = [Automaton(list(map(classes, labelled[k]))) for k in sorted(labelled) if labelled[k]]
+        self.ground = Automaton(list(map(classes, ordinary)))
         self.least = []
-        for a, k in zip(self.automata, [k for k in sorted(labelled) if len(labelled[k]) >= 5], strict=True):
+        for a, k in zip(self.automata, [k for k in sorted(labelled) if labelled[k]], strict=True):
             own = sorted(a.score(classes(s)) for s in labelled[k])
             self.least.append(own[int(TAIL * len(own))])
+        self.known: dict[str, bool] = {}
 
     def accepts(self, s: str) -> bool:
         x = classes(s)
-        ground = sum(self.ground.get(c, self.ground[""]) for c in x) / max(1, len(x))
-        return any((got := a.score(x)) >= least and got > ground for a, least in zip(self.automata, self.least, strict=True))
-
-
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans with their credentials, and candidates of each text, in one pass."""
+        out = self.known.get(x)
+        if out is None:
+            got = max((y for a, least in zip(self.automata, self.least, strict=True) if (y := a.score(x)) >= least), default=None)
+            out = got is not None and got > self.ground.score(x)
+            if len(self.known) >= CACHED:
+                self.known.clear()
+            if len(x) <= 256:
+                self.known[x] = out
+        return out
+
+
+class Least:
+    """The ``size`` different values of least hash of those offered."""
+
+    def __init__(self, size: int):
+        self.size, self.found, self.bound = size, {}, 2**64
+
+    def offer(self, value: str) -> None:
+        h = xxhash.xxh64_intdigest(value)
+        if h < self.bound:
+            self.found[value] = h
+            if len(self.found) >= 2 * self.size:
+                self.shrink()
+
+    def shrink(self) -> None:
+        best = sorted(self.found.items(), key=lambda x: (x[1], x[0]))[: self.size]
+        self.found = dict(best)
+        if len(best) == self.size:
+            self.bound = best[-1][1] + 1
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, ordinary: int = ORDINARY) -> Grammar:
+    """Of at most ``sample`` credentials of each kind and ``ordinary`` other candidates, those of least
+    hash of all texts; each task sends no more than that."""
+    sizes = (sample, sample, sample, ordinary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = [Least(n) for n in sizes]
         for batch in batches:
-            spans, more = [], []
-            for text in batch.column(1).to_pylist():
-                base = base_spans(text) if text else []
-                spans.append([{"start": a, "kind": k, "end": b, "value": v} for a, k, b, v in base])
-                more.append([{"start": a, "end": b, "value": v} for a, b, v in candidates(text, base)] if text else [])
-            span = [("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct(span))), pa.array(more, pa.list_(pa.struct([x for x in span if x[0] != "kind"])))], names=["doc_id", "spans", "more"])
+            for text in batch.column(0).to_pylist():
+                if text:
+                    base = base_spans(text)
+                    for _, k, _, v in base:
+                        least[k].offer(v)
+                    for _, _, v in candidates(text, base):
+                        least[3].offer(v)
+        for k, x in enumerate(least):
+            x.shrink()
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(x.found), pa.int32()), pa.array([h - 2**63 for h in x.found.values()], pa.int64()), pa.array(list(x.found), pa.string())], names=["kind", "hash", "value"])
 
     small_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<start:long,kind:int,end:long,value:string>>, more array<struct<start:long,end:long,value:string>>")
-
-
-def fit(found: DataFrame, sample: int = SAMPLE) -> Grammar:
-    """Of at most ``sample`` credentials of each kind and as many other candidates."""
-    x = found.select(F.explode_outer("spans").alias("s")).where("s is not null").select("s.kind", F.substring("s.value", 1, SAMPLE_CHARS).alias("value"))
-    y = found.select(F.explode_outer("more").alias("s")).where("s is not null").select(F.lit(len(KINDS)).alias("kind"), F.substring("s.value", 1, SAMPLE_CHARS).alias("value"))
-    labelled: dict[str, list[str]] = {}
-    ordinary: list[str] = []
-    for k in (0, 1, 2, len(KINDS)):
-        part = (y if k == len(KINDS) else x.where(F.col("kind") == k)).select("value").distinct()
-        values = [r["value"] for r in part.orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
-        if k == len(KINDS):
-            ordinary = values
-        else:
-            labelled[KINDS[k]] = values
-    return Grammar(labelled, ordinary)
+    found = cut(docs.select("text").mapInArrow(run, "kind int, hash long, value string").distinct())
+    values = [[r["value"] for r in found.where(F.col("kind") == k).orderBy("hash", "value").limit(n).collect()] for k, n in enumerate(sizes)]
+    drop(found)
+    return Grammar(dict(zip(KINDS[:3], values[:3], strict=True)), values[3])
 
 
 def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, found: an array of kind, start and end for all spans, the base ones and what was added."""
-    found = cut(scan(docs))
-    grammar = fit(found, sample)
+    grammar = fit(docs, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for base, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                spans = [(s["start"], s["kind"], s["end"]) for s in base] + [(s["start"], 3, s["end"]) for s in more if grammar.accepts(s["value"])]
+            for text in batch.column(1).to_pylist():
+                base = base_spans(text) if text else []
+                spans = [x[:3] for x in base] + [(a, 3, b) for a, b, v in candidates(text or "", base) if grammar.accepts(v)]
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "found"])
 
-    kind = dict(found.dtypes)["doc_id"]
-    return found.mapInArrow(run, f"doc_id {kind}, found array<struct<kind:string,start:long,end:long>>")
+    small_batches(docs.sparkSession)
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, found array<struct<kind:string,start:long,end:long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
