@@ -9,8 +9,9 @@ exactly on the full sets of both texts.
 
 Scale: within a band's bucket no pairs are emitted at first: each member meets only the bucket's
 least member.  Components are formed of the verified links; then only members outside a bucket's
-largest component meet the others, block by block.  So the rows that a group of copies costs are
-linear in it, and no candidate pair between components goes unverified.  All joins are on keys that
+largest component meet the others, block by block, and go through the same test and verification.
+So the rows that a group of copies costs are linear in it, and every candidate pair between
+components is tested.  All joins are on keys that
 adaptive execution splits when hot; nothing grows on the driver.
 
 Defined results: null or blank texts have empty sets, link with nothing, and are kept; rows that
@@ -156,63 +157,63 @@ def links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: i
     """The candidate pairs (u, v) that are links."""
     a, b = sigs.select(F.col("id").alias("u"), F.col("sig").alias("a")), sigs.select(F.col("id").alias("v"), F.col("sig").alias("b"))
     left = cut(prune(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), percent / 100, miss))
-    return confirmed(left, docs, k, percent)
-
-
-def confirmed(left: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of (u, v) those that are links, by the whole texts."""
     ids = cut(left.select(F.col("u").alias("doc_id")).union(left.select("v")).distinct())
     texts = cut(only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), ids, "doc_id"))
     a, b = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
     return cut(confirm(left.join(a, "u").join(b, "v").select("u", "v", "a", "b"), k, percent).distinct())
 
 
-def block_links(mixed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(u, v) of different components of a bucket, one of them minor, whose sets reach the threshold;
-    at most one for each u, component and pair of blocks, as more would connect nothing else.
+def block_links(mixed: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
+    """(u, v) of different components of a bucket, one of them minor, that are links; at most one for
+    each u, component and pair of blocks, as more would connect nothing else.
 
-    A bucket's members are packed into blocks of some ``BLOCK`` shingles (of 32 bits; the caller
-    confirms what is found on the whole ones), and each block of minor members meets all blocks of
-    its bucket.  So rows are blocks, not pairs, and a pair costs well below a microsecond."""
-    small_batches(docs.sparkSession, 16)
+    A bucket's members are packed into blocks of some ``BLOCK`` shingles, and each block of minor
+    members meets all blocks of its bucket.  There each pair goes through the sequential test on the
+    signatures, and what passes is verified on the full sets.  So rows are blocks, not pairs."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     texts = only(texts, cut(mixed.select("id").distinct()), "id")
+    steps = least_matches(percent / 100, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique((shingle_set(x or b"", k) >> np.uint64(32)).astype(np.uint32)).view(np.int32).tobytes() for x in batch.column(1).to_pylist()]
+            sets = [shingle_set(x or b"", k).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
-    sets = cut(texts.mapInArrow(run, "id long, s binary"))
+    sets = cut(texts.mapInArrow(run, "id long, s binary").dropDuplicates(["id"]))
     parts = mixed.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
-    rows = mixed.join(parts, "key").join(sets, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    rows = cut(rows.select("key", "part", "minor", F.struct("id", "comp", "s").alias("m")))
+    rows = mixed.join(parts, "key").join(sets, "id").join(sigs, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    rows = cut(rows.select("key", "part", "minor", F.struct("id", "comp", "s", "sig").alias("m")))
     whole = rows.groupBy("key", "part").agg(F.collect_list("m").alias("all"))
     minor = rows.where("minor").groupBy("key", F.col("part").alias("own")).agg(F.collect_list("m").alias("few"))
 
+    def pairs_of(few: list[dict], block: list[dict]) -> Iterator[tuple[int, int]]:
+        ids, comps = (np.array([m[c] for m in block], np.int64) for c in ("id", "comp"))
+        flat = [np.frombuffer(m["s"], np.uint64) for m in block]
+        size = np.array([len(x) for x in flat])
+        sig = np.frombuffer(b"".join(m["sig"] for m in block), np.uint32).reshape(-1, PERMS)
+        for m in few:
+            s, own = np.frombuffer(m["s"], np.uint64), np.frombuffer(m["sig"], np.uint32)
+            live = np.nonzero((comps != m["comp"]) & (100 * np.minimum(size, len(s)) >= percent * np.maximum(size, len(s))))[0]
+            same, done = np.zeros(len(live), np.int64), 0
+            for n, least in steps:
+                if not len(live):
+                    break
+                same = same + (sig[live, done:n] == own[done:n]).sum(axis=1)
+                keep = same >= least
+                live, same, done = live[keep], same[keep], n
+            linked: set[int] = set()
+            for j in live[np.argsort(-same, kind="stable")].tolist():
+                if int(comps[j]) not in linked:
+                    both = len(np.intersect1d(s, flat[j], assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(flat[j]) - both):
+                        linked.add(int(comps[j]))
+                        yield max(m["id"], int(ids[j])), min(m["id"], int(ids[j]))
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us: list = []
-            vs: list = []
-            for few, block in zip(batch.column(0), batch.column(1), strict=True):
-                few, block = few.values, block.values
-                ids, comps = (np.asarray(block.field(i)) for i in (0, 1))
-                sets = [np.frombuffer(x, np.int32) for x in block.field(2).to_pylist()]
-                size = np.array([len(x) for x in sets])
-                starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-                names, flat = np.unique(np.concatenate(sets), return_inverse=True)
-                for i, c, s in zip(few.field(0).to_pylist(), few.field(1).to_pylist(), few.field(2).to_pylist(), strict=True):
-                    s = np.frombuffer(s, np.int32)
-                    at = np.searchsorted(names, s)
-                    at = at[at < len(names)] if len(s) == 0 else at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == s)]
-                    mark = np.zeros(len(names), np.int32)
-                    mark[at] = 1
-                    both = np.add.reduceat(mark[flat], starts)
-                    good = (100 * both >= percent * (size + len(s) - both)) & (comps != c)
-                    _, first = np.unique(comps[good], return_index=True)
-                    for j in ids[good][first].tolist():
-                        us.append(max(i, j)), vs.append(min(i, j))
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+            found = [p for few, block in zip(batch.column(0), batch.column(1), strict=True) for p in pairs_of(few.as_py(), block.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
 
     return cut(minor.join(whole, "key").select("few", "all").mapInArrow(meet, "u long, v long").distinct())
 
@@ -238,7 +239,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     sizes = m.groupBy("key", "comp").agg(F.count("*").alias("size"))
     major = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     mixed = cut(m.join(major.select("key", F.col("top.comp").alias("major")), "key").select("key", "id", "n", "comp", (F.col("comp") != F.col("major")).alias("minor")))
-    more = confirmed(block_links(mixed, docs, k, percent), docs, k, percent)
+    more = block_links(mixed, sigs, docs, k, percent, miss)
     comp = components(comp.select(F.col("id").alias("u"), F.col("comp").alias("v")).unionByName(more))
 
     classes = classes.join(comp, "id", "left").select("h1", "h2", "n", F.coalesce("comp", "id").alias("comp"))
