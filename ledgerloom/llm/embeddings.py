@@ -3,13 +3,14 @@
 Equal vectors of a label are one class.  Classes are dealt to cluster shards, each to its two nearest
 centroids (centroids are a bounded sample), and shards that are still too large are dealt again.
 In each shard every vector's nearest others are pruned to a graph whose edges lead in different
-directions; the adjacency lists of a vector from all its shards are united.  Each vector is then
-searched for in its shards' united graphs: a greedy search with a beam from the shard's medoid,
-and from what it finds near the threshold the range is expanded along the edges until nothing new
-is near.  Pairs are verified by cosine in double precision.  ``audit`` measures recall against
+directions; the adjacency lists of a vector from all its shards are united.  A shard is joined by
+the vectors of other shards that its members' united lists lead to, with their own lists, and each
+member is searched for in that part of the united graph: a greedy search with a beam from the
+shard's medoid, and from what it finds near the threshold the range is expanded along the edges,
+over the shard's border too, until nothing new is near.  Pairs are verified by cosine in double precision.  ``audit`` measures recall against
 brute force for the vectors whose id is divisible by 100.
 
-Scale: a task holds one shard of at most ``LIMIT`` vectors.  Shards that no centroid divides (a
+Scale: a task holds one shard of at most ``LIMIT`` vectors and what their lists lead to.  Shards that no centroid divides (a
 ball of near copies) are compared block by block, exactly.  Centroids that are broadcast are
 bounded by ``CENTROIDS`` a round; whole copies are counted, never paired.
 
@@ -149,7 +150,7 @@ def _deal(rows: DataFrame, level: int) -> DataFrame:
             kept = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), kept.column(1), kept.column(2)], names=["grp", "cid", "vec"])
 
-    small_batches(rows.sparkSession, 1024)
+    small_batches(rows.sparkSession)
     return cut(rows.mapInArrow(run, "grp string, cid long, vec array<double>").dropDuplicates(["grp", "cid"]))
 
 
@@ -164,7 +165,7 @@ def _graphs(rows: DataFrame) -> DataFrame:
 
 
 def _search(rows: DataFrame, threshold: float) -> DataFrame:
-    """(grp, cid, vec, edges) to the pairs found in each shard."""
+    """(grp, cid, vec, edges, own) to the pairs found for each shard's own members."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cid")
@@ -175,9 +176,10 @@ def _search(rows: DataFrame, threshold: float) -> DataFrame:
             e = np.asarray(e, np.int64)
             at = np.searchsorted(ids, e)
             graph.append(at[(at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == e)])
-        medoid = int(np.argmax(x @ x.mean(axis=0)))
+        own = np.nonzero(pdf["own"].to_numpy())[0]
+        medoid = int(own[np.argmax(x[own] @ x[own].mean(axis=0))])
         us, vs = [], []
-        for i in range(len(ids)):
+        for i in own.tolist():
             for j in range_search(x, graph, medoid, x[i], threshold):
                 if j != i:
                     us.append(i), vs.append(j)
@@ -232,13 +234,17 @@ def pairs_found(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
     fit = rows.join(sizes.where(F.col("n") <= LIMIT).select("grp"), "grp", "left_semi")
     large = sizes.where(F.col("n") > LIMIT)
     edges = cut(_graphs(fit).groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")))
-    pairs = _search(fit.join(edges, "cid"), threshold).unionByName(_blocks(rows, large, threshold)).distinct()
+    # the border: what members' lists lead to outside their shard
+    inside = fit.join(edges, "cid").select("grp", "cid", "vec", "edges", F.lit(True).alias("own"))
+    out = inside.select("grp", F.explode_outer("edges").alias("cid")).where("cid is not null").distinct().join(fit.select("grp", "cid"), ["grp", "cid"], "left_anti")
+    border = out.join(fit.select("cid", "vec").dropDuplicates(["cid"]).join(edges, "cid"), "cid").select("grp", "cid", "vec", "edges", F.lit(False).alias("own"))
+    pairs = _search(inside.unionByName(border), threshold).unionByName(_blocks(rows, large, threshold)).distinct()
     return classes, cut(pairs)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
-    small_batches(vectors.sparkSession, 1024)
+    small_batches(vectors.sparkSession)
     classes, pairs = pairs_found(vectors, threshold)
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     n = both.join(classes.select(F.col("cid").alias("v"), "c"), "v").groupBy("u").agg(F.sum("c").alias("others"))
