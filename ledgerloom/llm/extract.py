@@ -34,15 +34,15 @@ from .base import small_batches
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|data-main|style|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 TOKEN = re.compile(r"[a-z]+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("math mi mo mn ms mtext mspace mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mtable mtr mtd semantics a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of a page.
-SILENT = frozenset("script style template title textarea select noscript svg iframe object canvas math audio video head button".split())
+SILENT = frozenset("script style template title textarea select svg iframe head button annotation annotation-xml".split())
 #: Elements that leave the head open; any other, or text, closes it.
 IN_HEAD = frozenset("head html base basefont bgsound link meta title style script noscript template".split())
 #: The tag of a run of bare text under body.
 RUN = "#run"
-RAW = frozenset("script style textarea title noscript iframe template".split())
+RAW = frozenset("script style textarea title iframe template".split())
 CLOSED_BY_BLOCK = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 
@@ -58,6 +58,7 @@ TOKENS = {
     "share": "share sharing social follow tweet facebook subscribe newsletter signup",
     "form": "form search login register input contact",
     "main": "article content main post entry story body text page blog news prose maincontent articlebody",
+    "hidden": "hidden visuallyhidden collapsed invisible offscreen",
     "meta": "meta byline author date tags tag category categories caption timestamp info",
 }
 TOKENS = {k: frozenset(v.split()) for k, v in TOKENS.items()}
@@ -74,21 +75,23 @@ class Node:
         self.own = self.link = self.punct = self.place = 0
 
 
-def _kinds(attrs: str) -> tuple[int, str | None, bool]:
-    """Bits of the token groups in class, id and role; the label of a made page; whether hidden."""
-    bits, mark, hidden = 0, None, False
+def _kinds(attrs: str) -> tuple[int, str | None]:
+    """Bits of the token groups in class, id and role, and for what is not displayed; the label of a
+    made page."""
+    bits, mark = 0, None
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "data-main":
             mark = value
         elif name == "hidden" or name == "style":
-            hidden |= name == "hidden" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+            if name == "hidden" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                bits |= 1 << KINDS.index("hidden")
         else:
             for t in TOKEN.findall(value):
                 for i, k in enumerate(KINDS):
                     if t in TOKENS[k]:
                         bits |= 1 << i
-    return bits, mark, hidden
+    return bits, mark
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
@@ -136,7 +139,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
         while len(stack) > n:
             name = stack.pop()[0]
             anchors -= name == "a"
-            silent -= name in SILENT or name == "#hidden"
+            silent -= name in SILENT
             if name not in INLINE:
                 pieces.append((0, None))
 
@@ -164,9 +167,6 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
                 if stack[k][0] == name:
                     pop(k)
                     break
-                if stack[k][0] == "#hidden" and nodes[stack[k][1]].tag == name:
-                    pop(k)
-                    break
             else:
                 if name in ("p", "br"):
                     pieces.append((0, None))
@@ -206,17 +206,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             stack.append((name, stack[-1][1]))
             anchors += name == "a"
             continue
-        bits, mark, hidden = _kinds(attrs) if attrs.strip() else (0, None, False)
+        bits, mark = _kinds(attrs) if attrs.strip() else (0, None)
         add(name, bits, mark)
         pieces.append((0, None))
-        if name in SILENT:
-            silent += 1
-            stack.append((name, len(nodes) - 1))
-        elif hidden:
-            silent += 1
-            stack.append(("#hidden", len(nodes) - 1))
-        else:
-            stack.append((name, len(nodes) - 1))
+        silent += name in SILENT
+        stack.append((name, len(nodes) - 1))
     text(at, size)
     return nodes, pieces
 
@@ -403,6 +397,15 @@ def make_page(seed: int) -> str:
         inner = r.choice([f"&copy; {word()} {r.randint(1999, 2026)} &middot; {sentence(2, 8)}", f"<p>{sentence(3, 12)}</p><ul>{links(4)}</ul>", f"<p>{prose(2)}</p>"])
         return r.choice([f"<footer data-main=0>{inner}</footer>"] * 2 + [f'<div{attr("footer", "copyright", "legal", "colophon")} data-main=0>{inner}</div>'])
 
+    def unseen() -> str:
+        t = r.choice(["div", "div", "p", "section", "span"])
+        t = "div" if t == "span" else t
+        mark = r.choice([" hidden", ' style="display:none"', ' style="visibility: hidden"', ' class="hidden"', ' class="visuallyhidden"'])
+        return f"<{t}{mark} data-main=0>{r.choice([prose(r.randint(1, 3)), f'<b>{word()}</b> {sentence()}'])}</{t}>"
+
+    def fallback() -> str:
+        return r.choice([f"<noscript data-main=0><p>{sentence(4, 10)}</p></noscript>", f"<noscript data-main=0><img src=x>{sentence(3, 8)}</noscript>", f"<object data-main=0>{sentence(2, 8)}</object>", f"<canvas data-main=0>{sentence(2, 8)}</canvas>", f"<video data-main=0>{sentence(3, 8)}</video>"])
+
     def ad() -> str:
         inner = r.choice([prose(r.randint(1, 3)), f"<p>{prose(r.randint(1, 3))}</p>", f'<a href="/{word()}">{sentence(3, 8)}</a>', f"<h3>{sentence(2, 4)}</h3><p>{prose(2)}</p>"])
         return f'<{(t := r.choice(["div", "div", "aside", "section"]))}{attr("ad", "ads", "advert", "sponsored", "promo", "advertisement", p=0.97)} data-main=0>{inner}</{t}>'
@@ -431,7 +434,7 @@ def make_page(seed: int) -> str:
     def article() -> str:
         head = r.choice([f"<h1>{sentence(2, 9)}</h1>"] * 4 + [f"<h2>{sentence(2, 9)}</h2>", "", f"<header><h1>{sentence(2, 9)}</h1></header>"])
         body = [block() for _ in range(r.choice([1, 2, 3, 4, 6, 9, 14, 25]))]
-        for f in (ad, share, side, notice, form):
+        for f in (ad, share, side, notice, form, unseen, fallback):
             if r.random() < 0.12:
                 body.insert(r.randint(0, len(body)), f())
         inner = head + "".join(body)
@@ -449,7 +452,7 @@ def make_page(seed: int) -> str:
 
     main = article()
     before = [f() for f, q in ((notice, 0.15), (header, 0.5), (nav, 0.75), (form, 0.12), (ad, 0.5)) if r.random() < q]
-    after = [f() for f, q in ((share, 0.15), (ad, 0.2), (talk, 0.35), (side, 0.35), (form, 0.15), (notice, 0.15)) if r.random() < q]
+    after = [f() for f, q in ((unseen, 0.1), (fallback, 0.1), (share, 0.15), (ad, 0.2), (talk, 0.35), (side, 0.35), (form, 0.15), (notice, 0.15)) if r.random() < q]
     if r.random() < 0.2:
         r.shuffle(after)
     if r.random() < 0.1:
@@ -513,7 +516,7 @@ def main_text(pages: DataFrame, column: str = "html", into: str = "text") -> Dat
             got = extract_batch(trees, batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(got, pa.string())], names=[*batch.schema.names[1:], into])
 
-    small_batches(pages.sparkSession, 64)
+    small_batches(pages.sparkSession)
     schema = ", ".join(f"`{c}` {t}" for c, t in pages.select(*cols).dtypes)
     return pages.select(column, *cols).mapInArrow(run, f"{schema + ', ' if schema else ''}`{into}` string")
 
