@@ -15,8 +15,8 @@ among them rules out most pairs before any word is fetched.  What goes to the dr
 table of word counts, of fixed size.
 
 Defined results: a null text has no lines and is null again; empty texts stay empty; texts
-of rows that share a doc_id are told apart by their content; a null doc_id comes first in order;
-an empty table gives no rows.
+of rows that share a doc_id are told apart by their content; rows that share doc_id and text are one
+document and all come out the same; a null doc_id comes first in order; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -134,14 +134,14 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def prefixes(t: DataFrame) -> DataFrame:
         """key, id, np (set size, whether settled, and place, in one long) and sketch for each prefix word."""
         x = t.select("id", "n", "sketch", "more", "done", F.posexplode_outer("pre").alias("pos", "key")).where("key is not null")
-        np = F.shiftleft(F.col("n").cast("long"), 21).bitwiseOR(F.shiftleft(F.col("done").cast("long"), 20)).bitwiseOR(F.col("pos").cast("long"))
+        np = F.shiftleft(F.col("n").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("done").cast("long"), 32)).bitwiseOR(F.col("pos").cast("long"))
         return x.select("key", "id", np.alias("np"), "sketch", "more")
 
     def side(t: DataFrame, s: str) -> DataFrame:
         return t.select("key", *[F.col(c).alias(f"{c}_{s}") for c in t.columns if c not in ("key", "band")], *[c for c in ("band",) if c in t.columns])
 
-    size = lambda s: F.shiftright(f"np_{s}", 21)
-    place = lambda s: F.col(f"np_{s}").bitwiseAND(F.lit((1 << 20) - 1))
+    size = lambda s: F.shiftright(f"np_{s}", 33)
+    place = lambda s: F.col(f"np_{s}").bitwiseAND(F.lit((1 << 32) - 1))
     total = size("a") + size("b")
     near = F.col("id_a") < F.col("id_b")
     # similar sets pass this at the first key they share: nothing before it is common, so what is left bounds the overlap
@@ -155,7 +155,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # keys that many sets have, by a sample of the sets; this decides on the order of work only
     some = p.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("c"))
     hot = cut(some.where(F.col("c") >= HOT // SAMPLED).select("key"))
-    band = F.floor(F.log(F.shiftright("np", 21).cast("double")) / F.log(F.lit(BAND))).cast("int")
+    band = F.floor(F.log(F.shiftright("np", 33).cast("double")) / F.log(F.lit(BAND))).cast("int")
     many = cut(p.join(hot, "key", "left_semi").withColumn("band", band))
     heads = many.groupBy("key", "band").agg(F.min(F.struct("id", "np", "sketch", "more")).alias("h")).select("key", "band", "h.*")
     star = side(many, "b").join(side(heads, "a"), ["key", "band"]).where(near)
@@ -167,7 +167,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # sets that are not settled meet all earlier ones with a common prefix word; both sides of the join
     # are one shuffled table, as what is settled is told by a bit and asked only in the join
     p = prefixes(classes.join(settled.withColumn("done", F.lit(1)), "id", "left").withColumn("done", F.coalesce("done", F.lit(0))))
-    open_ = (F.shiftright("np_b", 20).bitwiseAND(F.lit(1)) == 0) | (F.col("id_b") < F.col("id_a"))
+    open_ = (F.shiftright("np_b", 32).bitwiseAND(F.lit(1)) == 0) | (F.col("id_b") < F.col("id_a"))
     pairs = side(p, "a").join(side(p, "b"), "key").where(near & open_)
     pairs = cut(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
     named_classes = cut(classes.select("id", "h1", "h2", "at", "c"))
