@@ -38,7 +38,7 @@ from ..session import table
 from .base import cut, small_batches
 
 #: Most labelled examples of the classes 0 and 1.
-EXAMPLES = (2_500, 1_500)
+EXAMPLES = (1_500, 1_000)
 NEAREST = 15
 #: Examples in a block; blocks that are scored before the bounds are asked.
 BLOCK, FIRST = 64, 8
@@ -124,6 +124,7 @@ class BlockMaxIndex:
         w = (1 + np.log(self.counts.astype(float))) * weight[self.ids]
         self.norm = np.sqrt(np.bincount(row, w * w, self.size))
         w /= self.norm[row]
+        self.exact = w
         by = np.argsort(self.ids, kind="stable")
         self.who, self.part = row[by].astype(np.int32), w[by].astype(np.float32)
         term, block = self.ids[by].astype(np.int64), row[by] // BLOCK
@@ -162,13 +163,14 @@ class BlockMaxIndex:
         for last in (False, True):
             if last:
                 todo = ~todo & (bound > 0) & (bound >= least - SLACK)
-            use = np.nonzero(todo[block])[0]
-            size = self.cell[cells[use] + 1] - self.cell[cells[use]]
-            at = _runs(self.cell[cells[use]], size)
-            got += np.bincount(self.who[at], self.part[at] * np.repeat(q[use], size), len(got))
+            use = cells[todo[block]], q[todo[block]]
+            size = self.cell[use[0] + 1] - self.cell[use[0]]
+            at = _runs(self.cell[use[0]], size)
+            got += np.bincount(self.who[at], self.part[at] * np.repeat(use[1], size), len(got))
             if but >= 0:
                 got[but] = 0
-            least = np.partition(got, -k)[-k] if len(got) > k else 0.0
+            seen = got[got > 0] if last else got.reshape(-1, BLOCK)[todo].ravel()
+            least = np.partition(seen, -k)[-k] if len(seen) > k else 0.0
         hit = np.nonzero((got > 0) & (got >= least - SLACK))[0]
         score = self._exact(hit, ids, w)
         hit, score = self.order[hit[score > 0]], score[score > 0]
@@ -182,14 +184,11 @@ class BlockMaxIndex:
             self.query = np.zeros(len(self.factor))
         size = self.start[rows + 1] - self.start[rows]
         at = _runs(self.start[rows], size)
-        own = self.ids[at]
         self.query[ids] = w
-        x = self.query[own]
+        x = self.query[self.ids[at]]
         self.query[ids] = 0
-        both = x != 0
-        x, own = x[both], own[both]
-        x = x * (1 + np.log(self.counts[at[both]].astype(float))) * self.factor[own]
-        return np.bincount(np.repeat(np.arange(len(rows)), size)[both], x, len(rows)) / self.norm[rows]
+        x *= self.exact[at]
+        return np.add.reduceat(x, np.cumsum(size) - size)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
