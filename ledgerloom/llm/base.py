@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -17,9 +19,12 @@ _made: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share, or a temporary one where none is named (local tests)."""
+    """The folder all executors share.  Where none is named, local sessions take a temporary one; on a
+    cluster no folder of one machine will do, so that it has to be named there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"{tempfile.gettempdir()}/ledgerloom-scratch"
     return found.rstrip("/")
 
@@ -33,6 +38,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/loom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _made:
+        atexit.register(_last_sweep, spark)
     _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
@@ -59,6 +66,12 @@ def sweep(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def _last_sweep(spark: SparkSession) -> None:
+    """What is left when the process ends goes, if its session still stands."""
+    with contextlib.suppress(Exception):
+        sweep(spark)
+
+
 def only(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """The rows of df whose ``key`` is in ``wanted`` (a column of that name, distinct).
 
@@ -84,7 +97,8 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows, as texts may be long.  The setting is the session's and plans run
+    later than they are made, so all operators set the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")

@@ -204,10 +204,37 @@ def test_secrets(spark):
 def test_grammar_tells_credentials_from_words():
     r = random.Random(8)
     keys = ["sk_" + "".join(r.choice("0123456789abcdef") for _ in range(32)) for _ in range(200)]
-    plain = [f"mail{r.randrange(99)}.example.com" for _ in range(50)] + [f"part-{r.randrange(9)}-of-the-list" for _ in range(50)]
+    plain = [f"mail{r.randrange(99)}.example.com" for _ in range(50)] + [f"part-{r.randrange(9)}-of-the-list" for _ in range(50)] + [f"{r.randrange(10**9, 10**12)}" for _ in range(50)] + ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(6, 14))) for _ in range(300)]
     g = secrets.Grammar({"assign": keys[:150], "access": [], "hex": []}, plain)
     assert sum(map(g.accepts, keys[150:])) >= 45
     assert sum(map(g.accepts, plain)) <= 2
+    long_ = ["".join(r.choice("ABCDEFGHIJKLMNOP0123456789") for _ in range(116)) for _ in range(90)]
+    g = secrets.Grammar({"assign": long_[:60]}, plain)
+    assert sum(map(g.accepts, long_[60:])) >= 27 and not any(map(g.accepts, plain))
+
+
+def test_grammar_adds_spans(spark):
+    """Credentials of the labelled format that no fixed pattern finds, one of them beside a base span."""
+    r = random.Random(14)
+    key = lambda: "sk_" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(30))
+    prose = lambda: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 12))) for _ in range(40))
+    loose = [key() for _ in range(20)]
+    texts = [f"{prose()} token={key()} {prose()}" for _ in range(80)] + [f"{prose()} {x} {prose()}" for x in loose] + [prose() for _ in range(60)]
+    got = {x["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in x["found"]] for x in secrets.find_secrets(frame(spark, texts)).collect()}
+    hit = sum(("grammar", texts[80 + i].index(x), texts[80 + i].index(x) + len(x)) in got[80 + i] for i, x in enumerate(loose))
+    assert hit >= 18
+    assert sum(bool(got[i]) for i in range(100, 160)) <= 1
+    assert secrets.candidates("aaaaaa=bbbbbbb", [(0, 0, 3, "x"), (2, 2, 9, "y")]) == []
+    assert secrets.candidates("xxxxxxx-abcdefgh", [(0, 0, 8, "x")]) == [(8, 16, "abcdefgh")]
+
+
+def test_states_seen_a_few_times_are_compared():
+    """States that can't differ by the bound are passed over, those that can are not."""
+    a = secrets.Automaton(["x"] * 40 + ["y"] * 40)
+    for n in range(1, 12):
+        for m in range(1, 200):
+            a.most = m
+            assert a._open(n) or not any(a._differ(x, n, y, m) for x in (0, n) for y in (0, m))
     assert not secrets.Grammar({"assign": []}, []).accepts("anything1234567890")
 
 
@@ -257,7 +284,7 @@ def test_mixing_empty(spark):
 
 
 def test_masks_catch_every_window():
-    for n in range(decontaminate.LEAST_WORDS, decontaminate.WINDOW + 1):
+    for n in range(decontaminate.SPACED_WORDS, decontaminate.WINDOW + 1):
         allowed = 3 if n >= 15 else 2 if n >= 11 else 1
         for off in itertools.combinations(range(n), allowed):
             assert any(not {s + o for o in m} & set(off) for m in decontaminate.MASKS for s in range(n - m[-1]))
@@ -266,8 +293,9 @@ def test_masks_catch_every_window():
 @pytest.mark.parametrize("bound", [decontaminate.BROADCAST_SEEDS, 0])
 def test_decontaminate(spark, corpus, bound):
     r = random.Random(6)
-    items = [words(r, n, 3000) for n in (8, 10, 12, 15, 16, 30, 50)] + ["too short", None, ""]
+    items = [words(r, n, 3000) for n in (8, 10, 12, 15, 16, 30, 50)] + ["too short", "w1", "One two", words(r, 7, 3000), None, ""]
     texts = list(corpus)
+    texts += ["this is Too  Short\tto say", "too long", f"a {items[10]}", f"{items[10]}x", "short too"]
     for t in items[:7]:
         for off in (0, 1, 2, 3, 6):
             w = t.upper().split()
@@ -279,10 +307,10 @@ def test_decontaminate(spark, corpus, bound):
     want = {}
     for (i, t), (j, b) in itertools.product(enumerate(texts), enumerate(items)):
         x, y = (t or "").lower().split(), (b or "").lower().split()
-        if len(y) < 8:
+        if not y:
             continue
         w = min(16, len(y))
-        need = w - (3 if w >= 15 else 2 if w >= 11 else 1)
+        need = w - (3 if w >= 15 else 2 if w >= 11 else 1 if w >= 8 else 0)
         for shift in range(-len(y) + 1, len(x)):
             same = [0 <= shift + k < len(x) and x[shift + k] == y[k] for k in range(len(y))]
             top = max(sum(same[s : s + w]) for s in range(len(y) - w + 1))
@@ -413,6 +441,14 @@ def test_line_dedup(spark, monkeypatch):
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_repeated_rows(spark):
+    """Rows that share id and text are one document."""
+    text = "one two three four five\nsix seven eight nine ten"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, "alpha beta gamma"), (None, "delta beta gamma")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"], r["n_removed"]) for r in lines.dedup_lines(docs).collect())
+    assert got == [(0, "alpha beta gamma", 0), (0, "delta beta gamma", 0), (1, text, 0), (1, text, 0), (2, "", 2)]
+
+
 # ---- 9
 
 
@@ -558,6 +594,31 @@ def test_html_oddities(spark):
     assert extract.main_text(df.where("false")).count() == 0
 
 
+PROSE = "Long text of an article, with commas, and more than a few words in it, so that it reads as such. " * 5
+
+
+@pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<section class="post">', "</section>"), ("<div><div>", "</div></div>"), ("", "")])
+def test_html_layouts(open_, close):
+    p, trees = " ".join(PROSE.split()), extract.model()
+    menu = "<nav><ul><li><a href=a>First menu</a><li><a href=b>Second menu</a><li><a href=c>Third menu</a></ul></nav>"
+    talk = '<section class="comments"><h3>3 comments</h3><div class="comment"><p>Nonsense, said a reader, who had much to say.</p></div><div class="comment"><p>Agreed, said the next one.</p></div></section>'
+    page = f"<html><head><title>x</title></head><body>{menu}{open_}<h1>A title of some words</h1><p>{PROSE}</p><p>{PROSE}</p>{close}{talk}<footer>Copyright, all rights</footer></body></html>"
+    got = extract.extract_batch(trees, [page])[0]
+    assert got.count(p) == 2
+    assert not any(x in got for x in ("menu", "Copyright"))
+    if close:
+        assert "Nonsense" not in got
+
+
+def test_html_formulas_and_hidden_parts():
+    p, trees = " ".join(PROSE.split()), extract.model()
+    page = f"<article><h1>A title of some words</h1><p>{PROSE}<math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>tex</annotation></math> {PROSE}</p><div style='display:none'>Not to be seen by anyone.</div><p>{PROSE}</p></article>"
+    got = extract.extract_batch(trees, [page])[0]
+    assert got.count(p) == 3 and "E=m" in got and "tex " not in got and "Not to be seen" not in got
+    bare = f"<nav><a href=x>menu one</a><a href=y>menu two</a></nav>{PROSE}{PROSE}"
+    assert extract.extract_batch(trees, [bare])[0].count(p) == 2
+
+
 def test_decoding_never_keeps_below_what_it_drops():
     r = random.Random(2)
     for s in range(40):
@@ -567,6 +628,36 @@ def test_decoding_never_keeps_below_what_it_drops():
         assert all(not kept[i] or kept[n.parent] for i, n in enumerate(nodes) if i)
 
 
+# ---- null and repeated ids
+
+
+def test_null_and_repeated_ids(spark):
+    """Every operator takes rows without id and rows that repeat an id, with the same text or another one."""
+    r = random.Random(31)
+    a, b, c = (words(r, 90, 5000) for _ in range(3))
+    rows = [(None, a), (None, b), (None, a), (7, a), (7, b), (7, b), (8, c), (9, None), (None, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    out = suffix.strip_repeats(docs).collect()
+    size = Counter(t for _, t in rows)
+    assert sorted(x["n_removed"] for x in out) == sorted(len(t or "") if size[t] > 1 else 0 for _, t in rows)
+    assert secrets.find_secrets(docs).count() == len(rows)
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == len(rows) and sum(x["taken"] for x in mixed) == int(mixed[0]["target"])
+    bench = spark.createDataFrame([(1, b)], "item_id long, text string")
+    for bound in (decontaminate.BROADCAST_SEEDS, 0):
+        assert {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs, bench, bound).collect()} == {(None, 1), (7, 1)}
+    assert tokencount.token_counts(docs, tokencount.vocabulary()).count() == len(rows)
+    near = minhash.near_duplicates(docs, 2).collect()
+    assert len(near) == len(rows) and {x["component_id"] for x in near if x["doc_id"] == 7} == {7}
+    assert lines.dedup_lines(docs).count() == len(rows)
+    labels = spark.createDataFrame([(7, 1, 1), (8, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(docs, labels).count() == len(rows)
+    vectors = spark.createDataFrame([(None, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (3, [1.0, 0.01], 1), (3, [0.0, 1.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert embeddings.near_duplicates(vectors).count() == 4
+    pages = spark.createDataFrame([(None, None, "<p>x</p>"), (None, None, "<p>x</p>"), (1, "u", None)], "page_id long, url string, html string")
+    assert extract.main_text(pages).count() == 3
+
+
 # ---- scratch
 
 
