@@ -340,9 +340,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, evidence: bool = False) -> Data
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score, and behind it its evidence: example:cosine:label of the nearest, comma-joined."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    x = toxicity(docs, table(spark, sf_dir, "labels"))
-    return x.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), F.when(F.col("toxic_score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    x = toxicity(docs, table(spark, sf_dir, "labels"), evidence=True)
+    one = lambda e: F.concat_ws(":", e["doc_id"].cast("string"), F.format_number(e["cosine"], 4), e["toxic"].cast("string"))
+    evidence = F.array_join(F.transform("toxic_evidence", one), ",").alias("evidence")
+    return x.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), F.when(F.col("toxic_score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), evidence)
 
 
 QUERIES = {"op9_toxicity": op9_toxicity}
