@@ -37,6 +37,8 @@ from .components import components
 BANDS, ROWS = 32, 5
 PERMS = BANDS * ROWS
 STEP = 32
+#: Words of a shingle and the least similarity of a link that operator 7 is given.
+WORDS, PERCENT = 2, 80
 MISS = 1e-6
 #: Shingles in a block of members of a bucket.
 BLOCK = 65_536
@@ -249,7 +251,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=WORDS, percent=PERCENT)
 
 
 QUERIES = {"op7_minhash_near_dedup": op7_minhash_near_dedup}
