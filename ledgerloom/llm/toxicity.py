@@ -11,7 +11,7 @@ A document's nearest examples come of a block-max inverted index: similar exampl
 side in blocks of ``BLOCK``, each term has its largest weight in each block, and the sums of these
 bound the cosine of all examples of a block.  The blocks of the highest bounds are scored first;
 after that only blocks whose bound reaches the k-th best.  What is within rounding of the k-th best
-is worked out anew in double precision.  Terms of a document that no example holds would scale all
+is worked out anew, term by term.  Terms of a document that no example holds would scale all
 its cosines alike and are left out of its norm.  Votes are weighted by squared cosine and by the
 class's share of the labels, and calibrated by isotonic regression on leave-one-out votes.
 
@@ -44,15 +44,17 @@ NEAREST = 15
 BLOCK, FIRST = 64, 8
 #: Terms and rounds by which similar examples are brought together, and into how many groups.
 COMMON, ROUNDS, GROUPS = 256, 6, 16
-#: More than rounding to single precision can change a cosine by.
-SLACK = 1e-5
+#: More than the order of a sum can change a cosine by.
+SLACK = 1e-9
 THRESHOLD = 0.7
 
 STEMS = re.compile(r"([^\W\d_]{1,5})[^\W\d_]*")
 
 
 def terms_of(text: str | None) -> list[str]:
-    return STEMS.findall(text.lower()) if text else []
+    """In no order; tokens that are all letters, as most are, need no pattern."""
+    tokens = text.lower().split() if text else []
+    return [t[:5] for t in tokens if t.isalpha()] + STEMS.findall(" ".join([t for t in tokens if not t.isalpha()]))
 
 
 class Vocabulary:
@@ -126,13 +128,13 @@ class BlockMaxIndex:
         w /= self.norm[row]
         self.exact = w
         by = np.argsort(self.ids, kind="stable")
-        self.who, self.part = row[by].astype(np.int32), w[by].astype(np.float32)
+        self.who, self.part = row[by], w[by]
         term, block = self.ids[by].astype(np.int64), row[by] // BLOCK
         # postings of one term in one block
         new = np.nonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))[0]
         self.cell = np.append(new, len(term)).astype(np.int64)
-        self.block = block[new].astype(np.int32)
-        self.most = np.maximum.reduceat(self.part, new) if len(new) else np.zeros(0, np.float32)
+        self.block = block[new]
+        self.most = np.maximum.reduceat(self.part, new) if len(new) else np.zeros(0)
         self.first = np.searchsorted(term[new], np.arange(len(weight) + 1)).astype(np.int64)
         self.blocks = -(-self.size // BLOCK)
         self.query = None
@@ -152,7 +154,7 @@ class BlockMaxIndex:
         ids, w = self.vector(counts)
         n = self.first[ids + 1] - self.first[ids]
         cells = _runs(self.first[ids], n)
-        q = np.repeat(w.astype(np.float32), n)
+        q = np.repeat(w, n)
         block = self.block[cells]
         bound = np.bincount(block, q * self.most[cells], self.blocks)
         but = int(self.place[but]) if but >= 0 else -1
@@ -331,7 +333,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, evidence: bool = False) -> Data
             got = [m.score(words.count(x)) for x in batch.column(at).to_pylist()]
             more = [pa.array([s for s, _ in got], pa.float64())]
             if evidence:
-                more.append(pa.array([[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in e] for _, e in got], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))))
+                flat = [x for _, e in got for x in e]
+                parts = [pa.array([x[j] for x in flat], k) for j, k in enumerate((pa.int64(), pa.float64(), pa.int32()))]
+                ends = np.cumsum([0, *(len(e) for _, e in got)])
+                more.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["doc_id", "cosine", "toxic"])))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "toxic_score", *["toxic_evidence"] * evidence])
 
     small_batches(docs.sparkSession)
