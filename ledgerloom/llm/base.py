@@ -5,12 +5,13 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -18,17 +19,6 @@ GAP = r"[\x20\x09-\x0D]+"
 _made: list[str] = []
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  Where none is named, local sessions take a temporary one; on a
-    cluster no folder of one machine will do, so that it has to be named there."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = f"{tempfile.gettempdir()}/ledgerloom-scratch"
-    return found.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared scratch folder and read it back: the lineage ends there,
     so a lost executor costs only the tasks that read its files, not what made them.
