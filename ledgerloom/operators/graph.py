@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
 
 def snapshot(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared checkpoint folder."""
     spark = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/ledgerloom-snapshots").rstrip("/")
-    path = f"{root}/step-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(u, v) undirected to (id, comp): the least id that can be reached, for each id of an edge.
+    """(u, v) undirected to (id, comp): the least id that can be reached, for each id of an edge; an
+    error where that takes more rounds.
     Hubs are pre-aggregated by the grouped minimum, so no neighbourhood is ever gathered."""
     e = snapshot(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
@@ -34,4 +35,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(e.select("v", "v")).distinct()

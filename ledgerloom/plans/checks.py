@@ -212,9 +212,9 @@ def _(spark, sf):
     return spark.createDataFrame([(x["name"], len(x["columns"]), "Physical Plan" in x["plan"])], "name string, columns long, has_plan boolean")
 
 
-@query("SVC06_lots_list", "SELECT part_id, count(*) AS n, CAST(sum(quantity) AS DECIMAL(18,2)) AS quantity FROM line WHERE flag <> 'R' AND part_id <= 50 GROUP BY 1")
+@query("SVC06_lots_list", "SELECT part_id, count(*) AS n, CAST(sum(quantity) AS DECIMAL(18,2)) AS quantity FROM line WHERE flag <> 'R' GROUP BY 1")
 def _(spark, sf):
-    return line(spark, sf).where("flag <> 'R' and part_id <= 50").groupBy("part_id").agg(F.count("*").alias("n"), money(F.sum("quantity")).alias("quantity"))
+    return line(spark, sf).where("flag <> 'R'").groupBy("part_id").agg(F.count("*").alias("n"), money(F.sum("quantity")).alias("quantity"))
 
 
 # ---- sources
@@ -245,9 +245,9 @@ def _(spark, sf):
     return delimited.read_feather(spark, path, "n_nationkey int, n_name string")
 
 
-@query("SRC13_sheet_transactions", "SELECT transaction_id, CASE WHEN transaction_id % 2 = 0 THEN -amount ELSE amount END AS amount FROM txn WHERE transaction_id < 500")
+@query("SRC13_sheet_transactions", "SELECT transaction_id, CASE WHEN transaction_id % 2 = 0 THEN -amount ELSE amount END AS amount FROM txn")
 def _(spark, sf):
-    t = txn(spark, sf).where("transaction_id < 500")
+    t = txn(spark, sf)
     even = t.where("transaction_id % 2 = 0").select("transaction_id", delimited.signed("negative_is_income", F.col("amount")).cast("decimal(18,2)").alias("amount"))
     return even.unionByName(t.where("transaction_id % 2 = 1").select("transaction_id", delimited.signed("negative_is_expense", F.col("amount")).alias("amount")))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,14 +9,13 @@ from pyspark.sql import functions as F
 from .. import sinks, streaming
 from ..operators import identity, quality
 from ..sources import delimited, feeds
-from ..session import table
+from ..session import scratch_dir, table
 from . import adhoc
 from .base import account, line, money, query, txn
 
 
 def _scratch(spark) -> str:
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/ledgerloom-snapshots").rstrip("/")
-    return f"{root}/op-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/op-{uuid.uuid4().hex}"
 
 
 # ---- sources
@@ -52,26 +50,26 @@ def _(spark, sf):
 
 
 def _ofx_text(spark, sf):
-    """Statements of some accounts, a text each."""
-    t = txn(spark, sf).where("account_id <= 40 and account_id % 2 = 1")
+    """Statements of all accounts, a text each."""
+    t = txn(spark, sf)
     one = F.concat(F.lit("<STMTTRN>\n<TRNTYPE>DEBIT\n<DTPOSTED>"), F.date_format("transaction_date", "yyyyMMdd"), F.lit("120000\n<TRNAMT>"), F.col("amount").cast("string"), F.lit("\n<FITID>"), (F.col("transaction_id") % 200).cast("string"), F.lit("\n<NAME>"), "priority", F.lit("\n</STMTTRN>\n"))
     x = t.groupBy("account_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("transaction_id", one.alias("s")))), lambda e: e["s"]), "").alias("b"))
     return x.select(F.concat(F.lit("f"), F.col("account_id").cast("string")).alias("file"), F.concat(F.lit("OFXHEADER:100\n\n<OFX>\n<CURDEF>USD\n<ACCTID>"), F.col("account_id").cast("string"), F.lit("\n"), "b", F.lit("<LEDGERBAL>\n<BALAMT>12.50\n<DTASOF>20010801\n</OFX>")).alias("text"))
 
 
-@query("SRC08_ofx", "SELECT account_id::VARCHAR AS account_id, (transaction_id % 200)::VARCHAR AS fitid, amount::VARCHAR AS amount, strftime(transaction_date, '%Y%m%d') AS date, priority AS name FROM txn WHERE account_id <= 40 AND account_id % 2 = 1")
+@query("SRC08_ofx", "SELECT account_id::VARCHAR AS account_id, (transaction_id % 200)::VARCHAR AS fitid, amount::VARCHAR AS amount, strftime(transaction_date, '%Y%m%d') AS date, priority AS name FROM txn")
 def _(spark, sf):
     return feeds.read_ofx(_ofx_text(spark, sf)).where("kind = 'transaction'").select("account_id", "fitid", "amount", "date", "name")
 
 
-@query("SRC09_id_repair", """WITH x AS (SELECT account_id::VARCHAR AS account_id, (transaction_id % 200)::VARCHAR AS fitid, amount::VARCHAR AS amount, strftime(transaction_date, '%Y%m%d') AS date, priority AS name FROM txn WHERE account_id <= 40 AND account_id % 2 = 1),
+@query("SRC09_id_repair", """WITH x AS (SELECT account_id::VARCHAR AS account_id, (transaction_id % 200)::VARCHAR AS fitid, amount::VARCHAR AS amount, strftime(transaction_date, '%Y%m%d') AS date, priority AS name FROM txn),
 y AS (SELECT *, '["' || date || '","' || amount || '","' || name || '",""]' AS sig FROM x), c AS (SELECT account_id, fitid, count(DISTINCT sig) > 1 AS clash FROM y GROUP BY 1, 2) SELECT y.account_id, CASE WHEN clash THEN y.fitid || '#' || substr(sha256(sig), 1, 8) ELSE y.fitid END AS fitid, amount FROM y JOIN c ON c.account_id = y.account_id AND c.fitid = y.fitid""")
 def _(spark, sf):
     return feeds.repair_ids(feeds.read_ofx(_ofx_text(spark, sf)).where("kind = 'transaction'")).select("account_id", "fitid", "amount")
 
 
 def _statements(spark, sf):
-    x = line(spark, sf).where("transaction_id < 400").groupBy("transaction_id").agg(F.array_sort(F.collect_list(F.struct("line_number", "part_id", "amount"))).alias("s"))
+    x = line(spark, sf).groupBy("transaction_id").agg(F.array_sort(F.collect_list(F.struct("line_number", "part_id", "amount"))).alias("s"))
     rows = F.array_join(F.transform("s", lambda e: F.concat(F.lit("  item "), e["part_id"].cast("string"), F.lit("   "), e["amount"].cast("string"))), "\n")
     return x.select(F.col("transaction_id").cast("string").alias("file"), F.concat(F.lit("item 1 9.99\nBEGIN ITEMS\n"), rows, F.lit("\nEND ITEMS\nitem 2 8.88")).alias("text"))
 
@@ -79,21 +77,21 @@ def _statements(spark, sf):
 _RECIPE = {"start": "^BEGIN", "end": "^END", "row": r"^\s+item (?P<part>\d+)\s+(?P<amount>[\d.]+)$", "fields": {"part": "bigint", "amount": "decimal(18,2)"}}
 
 
-@query("SRC10_recipe", "SELECT transaction_id::VARCHAR AS file, part_id AS part, amount FROM line WHERE transaction_id < 400")
+@query("SRC10_recipe", "SELECT transaction_id::VARCHAR AS file, part_id AS part, amount FROM line")
 def _(spark, sf):
     return feeds.run_recipe(_statements(spark, sf), _RECIPE).select("file", "part", "amount")
 
 
-@query("SRC11_statement_reconciliation", "SELECT transaction_id::VARCHAR AS file, CAST(100 + sum(amount) - (100 + sum(amount) + CASE WHEN transaction_id % 2 = 0 THEN 0 ELSE 1 END) AS DECIMAL(18,2)) AS difference, transaction_id % 2 = 0 AS balanced FROM line WHERE transaction_id < 400 GROUP BY transaction_id")
+@query("SRC11_statement_reconciliation", "SELECT transaction_id::VARCHAR AS file, CAST(100 + sum(amount) - (100 + sum(amount) + CASE WHEN transaction_id % 2 = 0 THEN 0 ELSE 1 END) AS DECIMAL(18,2)) AS difference, transaction_id % 2 = 0 AS balanced FROM line GROUP BY transaction_id")
 def _(spark, sf):
     rows = feeds.run_recipe(_statements(spark, sf), _RECIPE)
-    meta = line(spark, sf).where("transaction_id < 400").groupBy("transaction_id").agg(F.sum("amount").alias("t"))
+    meta = line(spark, sf).groupBy("transaction_id").agg(F.sum("amount").alias("t"))
     meta = meta.select(F.col("transaction_id").cast("string").alias("file"), F.lit(100).cast("decimal(18,2)").alias("opening"), money(F.col("t") + 100 + F.when(F.col("transaction_id") % 2 == 0, 0).otherwise(1)).alias("closing"))
     return feeds.reconcile_statement(rows, meta)
 
 
 def _payloads(spark, sf):
-    t = txn(spark, sf).where("transaction_id < 3000").withColumn("cursor", F.col("transaction_id") % 10)
+    t = txn(spark, sf).withColumn("cursor", F.floor(F.col("transaction_id") / 1000))
     r = F.struct(F.col("transaction_id").alias("id"), F.col("amount"))
     pick = lambda c: F.collect_list(F.when(c, r))
     i = F.col("transaction_id")
@@ -101,7 +99,7 @@ def _payloads(spark, sf):
     return x.select("cursor", F.to_json(F.struct("added", "modified", "removed")).alias("body"))
 
 
-@query("SRC12_sync", "SELECT transaction_id AS id, amount FROM txn WHERE transaction_id < 3000 AND transaction_id % 7 <> 0")
+@query("SRC12_sync", "SELECT transaction_id AS id, amount FROM txn WHERE transaction_id % 7 <> 0")
 def _(spark, sf):
     stored = spark.createDataFrame([], "id long, amount decimal(18,2)")
     return feeds.apply_sync(stored, feeds.sync_rows(_payloads(spark, sf), "id: bigint, amount: decimal(18,2)"), "id")
@@ -197,18 +195,18 @@ def _(spark, sf):
 
 
 def _log(spark, sf):
-    t = txn(spark, sf).where("transaction_id < 500").select("transaction_id", "category")
+    t = txn(spark, sf).select("transaction_id", "category")
     a = t.select(F.lit("op1").alias("operation_id"), (F.col("transaction_id") + 1).alias("seq"), F.lit("txn").alias("entity"), F.col("transaction_id").cast("string").alias("entity_id"), F.lit(None).cast("string").alias("before"), F.lit("first").alias("after"))
-    b = t.where("transaction_id % 2 = 0").select(F.lit("op2").alias("operation_id"), (F.col("transaction_id") + 1000).alias("seq"), F.lit("txn").alias("entity"), F.col("transaction_id").cast("string").alias("entity_id"), F.lit("first").alias("before"), F.when(F.col("transaction_id") % 4 == 0, F.lit("second")).alias("after"))
+    b = t.where("transaction_id % 2 = 0").select(F.lit("op2").alias("operation_id"), (F.col("transaction_id") + 10_000_000_000).alias("seq"), F.lit("txn").alias("entity"), F.col("transaction_id").cast("string").alias("entity_id"), F.lit("first").alias("before"), F.when(F.col("transaction_id") % 4 == 0, F.lit("second")).alias("after"))
     return a.unionByName(b)
 
 
-@query("SNK09_audit_state", "SELECT 'txn' AS entity, transaction_id::VARCHAR AS entity_id, CASE WHEN transaction_id % 4 = 0 THEN 'second' ELSE 'first' END AS image FROM txn WHERE transaction_id < 500 AND transaction_id % 4 <> 2")
+@query("SNK09_audit_state", "SELECT 'txn' AS entity, transaction_id::VARCHAR AS entity_id, CASE WHEN transaction_id % 4 = 0 THEN 'second' ELSE 'first' END AS image FROM txn WHERE transaction_id % 4 <> 2")
 def _(spark, sf):
     return sinks.current_state(_log(spark, sf))
 
 
-@query("SNK09_undo", "SELECT 'txn' AS entity, transaction_id::VARCHAR AS entity_id, 'first' AS image FROM txn WHERE transaction_id < 500")
+@query("SNK09_undo", "SELECT 'txn' AS entity, transaction_id::VARCHAR AS entity_id, 'first' AS image FROM txn")
 def _(spark, sf):
     return sinks.current_state(sinks.undo(_log(spark, sf), "op2"))
 
@@ -265,9 +263,9 @@ def _(spark, sf):
     return e.select("event_id", m.alias("mapped"), m.isNull().alias("review"))
 
 
-@query("DOM13_account_ladder", "SELECT 'k' || account_id AS key, CASE WHEN account_id % 10 = 0 THEN 'pin' WHEN account_id % 2 = 0 THEN 'native' ELSE 'minted' END AS how FROM account WHERE account_id <= 200")
+@query("DOM13_account_ladder", "SELECT 'k' || account_id AS key, CASE WHEN account_id % 10 = 0 THEN 'pin' WHEN account_id % 2 = 0 THEN 'native' ELSE 'minted' END AS how FROM account")
 def _(spark, sf):
-    a = account(spark, sf).where("account_id <= 200")
+    a = account(spark, sf)
     i = F.col("account_id")
     inc = a.select(F.concat(F.lit("k"), i.cast("string")).alias("key"), F.when(i % 2 == 0, F.concat(F.lit("n"), i.cast("string"))).alias("native_ref"), F.lit(None).cast("string").alias("token"), F.lit("bank").alias("slug"), F.right(F.lpad(i.cast("string"), 4, "0"), F.lit(4)).alias("last_four"), F.col("account_name").alias("name"))
     known = a.select(F.concat(F.lit("acc"), i.cast("string")).alias("account_id"), F.concat(F.lit("n"), i.cast("string")).alias("native_ref"), F.lit(None).cast("string").alias("token"), F.lit("bank").alias("slug"), F.right(F.lpad(i.cast("string"), 4, "0"), F.lit(4)).alias("last_four"), F.col("account_name").alias("name"))
@@ -472,7 +470,7 @@ def _(spark, sf):
     return line(spark, sf).groupBy("part_id", "ship_date").agg(F.min_by("amount", F.struct("flag", "line_number", "transaction_id")).alias("close"))
 
 
-@query("SVC08_operations", "SELECT o AS operation_id, n, first_seq FROM (VALUES ('op1', (SELECT count(*) FROM txn WHERE transaction_id < 500), (SELECT min(transaction_id) + 1 FROM txn WHERE transaction_id < 500)), ('op2', (SELECT count(*) FROM txn WHERE transaction_id < 500 AND transaction_id % 2 = 0), (SELECT min(transaction_id) + 1000 FROM txn WHERE transaction_id < 500 AND transaction_id % 2 = 0))) v(o, n, first_seq)")
+@query("SVC08_operations", "SELECT o AS operation_id, n, first_seq FROM (VALUES ('op1', (SELECT count(*) FROM txn), (SELECT min(transaction_id) + 1 FROM txn)), ('op2', (SELECT count(*) FROM txn WHERE transaction_id % 2 = 0), (SELECT min(transaction_id) + 10000000000 FROM txn WHERE transaction_id % 2 = 0))) v(o, n, first_seq)")
 def _(spark, sf):
     return _log(spark, sf).groupBy("operation_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 

@@ -495,11 +495,11 @@ def _(spark, sf):
     return x.select("account_id", money("s").alias("net"), F.row_number().over(W.partitionBy("c").orderBy(F.abs("s").desc(), "account_id")).cast("long").alias("rank"))
 
 
-@query("WIN05_order_by_window", "SELECT account_id, n FROM (SELECT account_id, currency_code, count(*) AS n FROM txn GROUP BY 1, 2) ORDER BY row_number() OVER (PARTITION BY currency_code ORDER BY n DESC, account_id), currency_code NULLS LAST LIMIT 40")
+@query("WIN05_order_by_window", "SELECT account_id, n, row_number() OVER (PARTITION BY currency_code ORDER BY n DESC, account_id) AS r FROM (SELECT account_id, currency_code, count(*) AS n FROM txn GROUP BY 1, 2) ORDER BY r, currency_code NULLS LAST")
 def _(spark, sf):
     x = txn(spark, sf).groupBy("account_id", "currency_code").agg(count_rows())
     x = x.withColumn("r", F.row_number().over(W.partitionBy("currency_code").orderBy(F.desc("n"), "account_id")))
-    return x.orderBy("r", F.col("currency_code").asc_nulls_last()).limit(40).select("account_id", "n")
+    return x.orderBy("r", F.col("currency_code").asc_nulls_last()).select("account_id", "n", F.col("r").cast("long").alias("r"))
 
 
 MONTHLY = "v AS (SELECT currency_code, date_trunc('month', transaction_date)::DATE AS month, sum(amount) AS total FROM txn GROUP BY 1, 2)"
@@ -565,9 +565,9 @@ def _(spark, sf):
 # ---- sorts, limits and sets
 
 
-@query("SRT01_multi_key", "SELECT transaction_id, category FROM txn ORDER BY category DESC NULLS LAST, transaction_date, transaction_id LIMIT 200")
+@query("SRT01_multi_key", "SELECT transaction_id, category FROM txn ORDER BY category DESC NULLS LAST, transaction_date, transaction_id")
 def _(spark, sf):
-    return txn(spark, sf).orderBy(F.col("category").desc_nulls_last(), "transaction_date", "transaction_id").limit(200).select("transaction_id", "category")
+    return txn(spark, sf).orderBy(F.col("category").desc_nulls_last(), "transaction_date", "transaction_id").select("transaction_id", "category")
 
 
 @query("SRT02_limit_offset", "SELECT transaction_id FROM txn ORDER BY transaction_id LIMIT 20 OFFSET 40")
@@ -585,10 +585,10 @@ def _(spark, sf):
     return txn(spark, sf).orderBy((F.col("status") == "P").desc(), "transaction_id").limit(30).select("transaction_id")
 
 
-@query("SRT05_priority_queue", "SELECT transaction_id, CAST(abs(amount) * (DATE '2001-12-31' - transaction_date) AS DECIMAL(18,2)) AS weight FROM txn WHERE category IS NULL ORDER BY weight DESC, transaction_id LIMIT 50")
+@query("SRT05_priority_queue", "SELECT transaction_id, CAST(abs(amount) * (DATE '2001-12-31' - transaction_date) AS DECIMAL(18,2)) AS weight FROM txn WHERE category IS NULL ORDER BY weight DESC, transaction_id")
 def _(spark, sf):
     x = txn(spark, sf).where("category is null").select("transaction_id", money(F.abs("amount") * F.datediff(F.lit("2001-12-31"), "transaction_date")).alias("weight"))
-    return x.orderBy(F.desc("weight"), "transaction_id").limit(50)
+    return x.orderBy(F.desc("weight"), "transaction_id")
 
 
 @query("SET01_union_all", "SELECT account_id, transaction_date AS d, amount FROM txn WHERE status = 'F' UNION ALL SELECT account_id, transaction_date, amount FROM txn WHERE amount < 0 UNION ALL SELECT account_id, NULL, balance FROM account")
