@@ -350,7 +350,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digests, and behind them the text that is left and its code points; a character of which
     only a part is left is replaced by U+FFFD there."""
     x = strip_repeats(table(spark, sf_dir, "documents"), text=True)
-    left = F.decode("kept", "UTF-8")
+    left = F.make_valid_utf8(F.col("kept").cast("string"))
     return x.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", left.alias("text"), F.length(left).cast("long").alias("n_chars"))
 
 

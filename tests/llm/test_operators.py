@@ -112,6 +112,18 @@ def test_suffix_dedup(spark, corpus, hot):
     assert [got[i] for i in range(len(texts))] == brute_spans(texts, 400)
 
 
+def test_suffix_query_shows_what_is_left(spark, tmp_path):
+    """Removal may cut a character in two; its rest shows as U+FFFD."""
+    r = random.Random(13)
+    shared = words(r, 120)
+    one, two = shared + "é" + words(r, 40, 9000), shared + "è" + words(r, 40, 9000)
+    frame(spark, [one, two, "left alone", None]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in suffix.op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i]["n_bytes"] - got[i]["n_removed"] for i in range(2)] == [len(t.encode()) - len(shared) - 1 for t in (one, two)]
+    assert got[0]["text"] == "\ufffd" + one.split("é", 1)[1] and got[1]["text"] == "\ufffd" + two.split("è", 1)[1]
+    assert got[2]["text"] == "left alone" and got[3]["text"] == "" and got[0]["n_chars"] == len(got[0]["text"])
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix.strip_repeats(frame(spark, [])).count() == 0
 
