@@ -116,6 +116,15 @@ def opening_lots(gaps: DataFrame, claims: DataFrame) -> DataFrame:
     return drawn.unionByName(rest.select("account_id", "security_id", "date", F.col("left").cast("decimal(18,2)").alias("quantity"), F.lit(None).cast("decimal(18,2)").alias("basis")))
 
 
+def opening_review(gaps: DataFrame, claims: DataFrame) -> DataFrame:
+    """DOC07: openings that no lot accounts for: the ledger explains more than is held, no claim has a
+    date or quantity to draw on, or the claims do not cover the gap."""
+    c = claims.groupBy("account_id", "security_id").agg(F.sum("lot_quantity").alias("claimed"))
+    x = gaps.join(c, ["account_id", "security_id"], "left")
+    reason = F.when(F.col("gap") < 0, "oversold").when((F.col("gap") > 0) & F.col("claimed").isNull(), "no lots").when(F.col("gap") > F.col("claimed"), "not covered")
+    return x.withColumn("reason", reason).where("reason is not null").select("account_id", "security_id", "reason")
+
+
 def model_freshness(runs: DataFrame, now: str) -> DataFrame:
     """DOM48: the last run of each model and version, and its age in hours."""
     x = runs.groupBy("model").agg(F.max_by("version", "finished_at").alias("version"), F.max("finished_at").alias("finished_at"))

@@ -177,6 +177,12 @@ def lots_and_gains(events: DataFrame, picks: dict | None = None) -> DataFrame:
     return events.groupBy("account_id", "security_id").applyInPandas(run, SCHEMA)
 
 
+def open_lots(events: DataFrame, picks: dict | None = None) -> DataFrame:
+    """SVC06: the lots that still hold something, with what is left of their quantity and basis."""
+    x = lots_and_gains(events, picks).where("kind = 'lot' and remaining > 0")
+    return x.select("account_id", "security_id", "lot_id", "acquired", "remaining", "remaining_basis", "incomplete", "method")
+
+
 def resolve_prices(prices: DataFrame) -> DataFrame:
     """DOM35: (security_id, date, source, close, currency_code): the source of highest rank that agrees
     with itself; one that gives several closes for a day is withheld."""

@@ -121,10 +121,62 @@ def unaudited(rows: DataFrame, log: DataFrame, key: str) -> DataFrame:
 
 
 def bad_json(df: DataFrame, column: str) -> DataFrame:
-    """DOC29, DOC31: texts that are not JSON."""
+    """DOC29: texts that are not JSON."""
     return df.where(F.col(column).isNotNull() & F.try_parse_json(column).isNull())
 
 
+def bad_fingerprints(df: DataFrame, column: str) -> DataFrame:
+    """DOC31: fingerprints that are null or no JSON object."""
+    shape = F.schema_of_variant(F.try_parse_json(column))
+    return df.where(~F.coalesce(F.startswith(shape, F.lit("OBJECT")), F.lit(False)))
+
+
+#: Provider subtypes that the ledger has no legs for.
+UNMODELLED = ("buy to cover", "sell short", "assignment", "exercise", "expire", "adjustment", "loan payment", "rebalance")
+
+
+def unmodelled(df: DataFrame, subtype: str) -> DataFrame:
+    """DOC08: rows of a subtype without legs, letters in either case."""
+    return df.where(F.lower(subtype).isin(*UNMODELLED))
+
+
+def unresolved(ledger: DataFrame, staging: DataFrame, key: str) -> DataFrame:
+    """DOC11: ledger rows without ``security_id`` whose staging row has a ``source_security_key``."""
+    s = staging.where("source_security_key is not null").select(F.col(key).alias("_k")).distinct()
+    return ledger.where("security_id is null").join(s, F.col(key) == F.col("_k"), "left_semi")
+
+
+def unreported(snapshots: DataFrame, holdings: DataFrame) -> DataFrame:
+    """DOC13: (origin, file, taken_at, account_id, security_id, security_key, quantity): what the newest file of
+    each origin holds and the holdings (account_id, security_id) do not; ties go to the greatest file."""
+    newest = snapshots.groupBy(F.col("origin").alias("_o")).agg(F.max_by("file", F.struct("taken_at", "file")).alias("_f"))
+    held = holdings.select(F.col("account_id").alias("_a"), F.col("security_id").alias("_s")).distinct()
+    x = snapshots.where("quantity > 0").join(newest, F.col("origin").eqNullSafe(F.col("_o")) & (F.col("file") == F.col("_f")))
+    x = x.join(held, (F.col("account_id") == F.col("_a")) & (F.col("security_id") == F.col("_s")), "left_anti")
+    return x.select("account_id", F.coalesce(F.col("security_id").cast("string"), "security_key").alias("security_key")).distinct()
+
+
+def format_bounds(formats: DataFrame) -> DataFrame:
+    """DOC30: formats (version, times_used, created_at, last_used_at) out of their bounds."""
+    return formats.where("version < 1 or times_used < 0 or last_used_at < created_at")
+
+
+def count_within(df: DataFrame, expected: DataFrame, percent: float = 0.0) -> DataFrame:
+    """VAL15: rows against the number in ``expected`` (n), and whether they are within the tolerance."""
+    x = df.agg(F.count("*").alias("n_rows")).crossJoin(F.broadcast(expected.select(F.col("n").alias("expected"))))
+    return x.withColumn("ok", F.abs(F.col("n_rows") - F.col("expected")) * 100 <= percent * F.col("expected"))
+
+
+def met(kind: str, expected: DataFrame, found: DataFrame, keys: list[str], value: str | None = None) -> DataFrame:
+    """VAL17: how many expected rows there are, and how many of them are found with an equal value."""
+    f = found.select(*[F.col(k).alias(f"_{k}") for k in keys], *([F.col(value).alias("_value")] if value else [])).distinct()
+    on = F.lit(True)
+    for k in keys + ([value] if value else []):
+        on &= F.col(k).eqNullSafe(F.col("_value" if k == value else f"_{k}"))
+    n = expected.agg(F.count("*").alias("expected"))
+    return n.crossJoin(expected.join(f, on, "left_semi").agg(F.count("*").alias("met"))).select(F.lit(kind).alias("kind"), "expected", "met")
+
+
 def f1(predicted: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     """VAL18: precision, recall and F1 of one set of keys against another, by one full join."""
     p = predicted.select(*keys).distinct().withColumn("p", F.lit(1))

@@ -34,9 +34,24 @@ def report(name: str, grain: tuple[str, ...] = (), **params: type) -> Callable:
     return add
 
 
+def catalogue(spark: SparkSession) -> DataFrame:
+    """All reports: name, what they say of themselves, parameters and grain."""
+    rows = [(r.name, (r.run.__doc__ or "").split("\n")[0], sorted(f"{k}:{t.__name__}" for k, t in r.params.items()), list(r.grain)) for r in REGISTRY.values()]
+    return spark.createDataFrame(rows, "name string, about string, params array<string>, grain array<string>")
+
+
+def resolve(name: str) -> Report:
+    """A report by its name, with or without the namespace, letters in either case; one of several is an error."""
+    wanted = name.strip().lower()
+    found = [r for k, r in REGISTRY.items() if wanted in (k, k.split(":")[1])]
+    if len(found) != 1:
+        raise KeyError(f"{name}: {'several reports' if found else 'no report'}; there are {', '.join(sorted(REGISTRY))}")
+    return found[0]
+
+
 def execute(name: str, *inputs: DataFrame, **params) -> DataFrame:
     """Check the parameters' names and types, then build the report."""
-    r = REGISTRY[name]
+    r = resolve(name)
     for k, v in params.items():
         if k not in r.params or v is not None and not isinstance(v, r.params[k]):
             raise TypeError(f"{name}: {k}={v!r}")
@@ -46,7 +61,7 @@ def execute(name: str, *inputs: DataFrame, **params) -> DataFrame:
 def explain(name: str, *inputs: DataFrame, **params) -> dict:
     """RPT10: columns, grain and the plan of a report."""
     df = execute(name, *inputs, **params)
-    return {"name": name, "grain": REGISTRY[name].grain, "columns": df.dtypes, "plan": df._jdf.queryExecution().toString()}
+    return {"name": name, "grain": resolve(name).grain, "columns": df.dtypes, "plan": df._jdf.queryExecution().toString()}
 
 
 def user_report(spark: SparkSession, sql: str, max_rows: int | None = None, **params) -> DataFrame:
@@ -157,8 +172,11 @@ def large_transactions(txns: DataFrame, top: int = 100) -> DataFrame:
         z = F.when((F.col("mad") > 0) & (F.col("n") >= least), F.round((F.col("size") - F.col("med")) / (1.4826 * F.col("mad")), 4))
         return d, on, z.alias(name), keys
 
+    # only the largest of each task's rows are shuffled: a rank that is filtered at once is limited before it
     rank = F.row_number().over(W.partitionBy("currency_code").orderBy(F.abs("amount").desc(), "transaction_id"))
-    out = x.withColumn("is_top", rank <= top)
+    best = x.select("currency_code", "amount", "transaction_id").withColumn("rank", rank).where(F.col("rank") <= top)
+    best = best.select(F.col("transaction_id").alias("_t")).distinct()
+    out = x.join(best, F.col("transaction_id") == F.col("_t"), "left").withColumn("is_top", F.col("_t").isNotNull()).drop("_t")
     for keys, name, least in ((["account_id", "currency_code"], "amount_zscore_account", 1), (["category", "currency_code"], "amount_zscore_category", 5)):
         d, on, z, _ = score(keys, name, least)
         if "category" in keys:
