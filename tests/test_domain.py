@@ -11,7 +11,7 @@ import pytest
 from ledgerloom import sinks, streaming
 from ledgerloom.functions import text as T
 from ledgerloom.functions import values as V
-from ledgerloom.operators import balances, linkage, lots
+from ledgerloom.operators import balances, identity, linkage, lots, quality, reports
 from ledgerloom.plans import adhoc
 from ledgerloom.sources import delimited, feeds
 from pyspark.sql import functions as F
@@ -220,3 +220,69 @@ def test_lineage_follows_ids(spark, tmp_path):
         ("SELECT e AS c1, c2 FROM wide_t LATERAL VIEW explode(array(c0)) z AS e", ("***", "v2")),
     ):
         assert tuple(adhoc.mask(spark.sql(sql), classes, {"public"}).first()) == want, sql
+
+
+def test_claims_in_rounds_are_those_of_the_walk(spark):
+    random.seed(5)
+    pairs = {(random.randrange(60), 100 + random.randrange(60)) for _ in range(700)}
+    rows = [(a, b, D("5.00") if (a + b) % 2 else D("7.00"), 1, 2, random.randrange(4), random.choice([0.6, 0.8, 1.0])) for a, b in sorted(pairs)]
+    df = spark.createDataFrame(rows, "debit long, credit long, amount decimal(18,2), from_account long, to_account long, days long, score double")
+    want = {(r.debit, r.credit) for r in linkage.claim(df).collect()}
+    assert {(r.debit, r.credit) for r in linkage.claim(df, block=0).collect()} == want
+    assert linkage.claim(df.limit(0), block=0).count() == 0
+
+
+ROW = "id string, source string, origin string, file string, account_id long, amount decimal(18,2), date date, currency_code string, description string"
+
+
+def ledger_rows(spark, *rows):
+    day = date(2024, 5, 1)
+    return spark.createDataFrame([(i, s, o, f, 1, D(a), day + timedelta(days=d), "USD", t) for i, s, o, f, a, d, t in rows], ROW)
+
+
+def test_pairs_of_two_origins_with_one_id(spark):
+    rows = ledger_rows(spark, ("x", "ofx", "bank a", "f1", 5, 0, "STARBUCKS 12"), ("x", "ofx", "bank b", "f2", 5, 0, "STARBUCKS 12"))
+    assert [(r.a, r.b, r.tier) for r in linkage.candidates(rows).collect()] == [("x", "x", "3")]
+
+
+def test_matching_run_over_decisions(spark):
+    rows = ledger_rows(
+        spark,
+        ("a1", "ofx", "bank", "f1", 5, 0, "STARBUCKS STORE"), ("b1", "plaid", "bank", "p", 5, 1, "STARBUCKS STORE"), ("c1", "csv", "bank", "c", 5, 1, "STARBUCKS STORE"),
+        ("a2", "ofx", "bank", "f1", 9, 0, "SHELL OIL"), ("b2", "plaid", "bank", "p", 9, 0, "SHELL OIL"),
+        ("a3", "ofx", "bank", "f1", 7, 0, "WHOLE FOODS"), ("b3", "plaid", "bank", "p", 7, 0, "QQQ"),
+    )
+    made, groups = linkage.match(rows)
+    got = {(r.a, r.b): r.status for r in made.collect()}
+    assert got.pop(("a3", "b3")) == "pending"
+    assert got[("a2", "b2")] == "accepted" and len(got) == 3 and set(got.values()) == {"accepted"}
+    assert {r.id: (r.anchor, r.members) for r in groups.collect()} == {"a1": ("a1", 3), "b1": ("a1", 3), "c1": ("a1", 3), "a2": ("a2", 2), "b2": ("a2", 2), "a3": ("a3", 1), "b3": ("b3", 1)}
+    before = spark.createDataFrame([("b2", "a2", "rejected"), ("a1", "b1", "accepted"), ("a3", "b3", "pending")], "a string, b string, status string")
+    made, groups = linkage.match(rows, before)
+    assert len(got2 := {(r.a, r.b) for r in made.collect()}) == 1 and "c1" in next(iter(got2))
+    assert {r.id: r.members for r in groups.collect()} == {"a1": 3, "b1": 3, "c1": 3, "a2": 1, "b2": 1, "a3": 1, "b3": 1}
+    missing = linkage.unproposed(rows, before)
+    assert {frozenset((r.a, r.b)) for r in missing.collect()} == {frozenset(("a1", "c1")), frozenset(("b1", "c1"))}
+
+
+def test_openings_under_review(spark):
+    gaps = spark.createDataFrame([(1, 1, -5), (2, 1, 5), (3, 1, 50), (4, 1, 10), (5, 1, 0)], "account_id long, security_id long, gap int")
+    claims = spark.createDataFrame([(3, 1, 20), (4, 1, 10)], "account_id long, security_id long, lot_quantity int")
+    assert {r.account_id: r.reason for r in identity.opening_review(gaps, claims).collect()} == {1: "oversold", 2: "no lots", 3: "not covered"}
+
+
+def test_fingerprints(spark):
+    df = spark.createDataFrame([(1, '{"a": 1}'), (2, "[1]"), (3, "{a"), (4, None), (5, "{}")], "i int, f string")
+    assert sorted(r.i for r in quality.bad_fingerprints(df, "f").collect()) == [2, 3, 4]
+
+
+def test_reports_by_name():
+    assert reports.resolve("Cashflow").name == "core:cashflow" == reports.resolve("core:cashflow").name
+    with pytest.raises(KeyError):
+        reports.resolve("nothing")
+
+
+def test_open_lots(spark):
+    rows = [(1, 1, i, date(2020, 1, 1) + timedelta(days=i), t, D(q), D(a), "fifo") for i, (t, q, a) in enumerate([("buy", 3, 100), ("buy", 3, 200), ("sell", 4, 100)])]
+    left = lots.open_lots(spark.createDataFrame(rows, EVENT)).collect()
+    assert [(r.acquired, r.remaining, r.remaining_basis) for r in left] == [(date(2020, 1, 2), D(2), D("133.33"))]
