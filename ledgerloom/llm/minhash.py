@@ -183,7 +183,8 @@ def block_links(mixed: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, perc
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
     sets = cut(texts.mapInArrow(run, "id long, s binary").dropDuplicates(["id"]))
-    parts = mixed.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    # a member weighs its set and its signature, which is the larger part of a short text
+    parts = mixed.groupBy("key").agg(F.ceil(F.sum(F.col("n") + PERMS) / BLOCK).alias("parts"))
     rows = mixed.join(parts, "key").join(sets, "id").join(sigs, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     rows = cut(rows.select("key", "part", "minor", F.struct("id", "comp", "s", "sig").alias("m")))
     whole = rows.groupBy("key", "part").agg(F.collect_list("m").alias("all"))
