@@ -56,39 +56,111 @@ def prefer_exact(fuzzy: DataFrame, exact: DataFrame) -> DataFrame:
     return fuzzy.select("id", F.col("merchant_id").alias("f")).join(e, "id", "full_outer").select("id", F.coalesce("e", "f").alias("merchant_id"), F.col("e").isNotNull().alias("exact"))
 
 
-def resolve_merchants(incoming: DataFrame, bindings: DataFrame, known: DataFrame, bind_at: float = 0.95, propose_at: float = 0.85) -> DataFrame:
-    """DOM20: (ref, name): adopt a binding; bind an equal name; propose a near one; else mint."""
-    x = incoming.join(bindings.select("ref", F.col("merchant_id").alias("bound")), "ref", "left")
+def resolve_merchants(incoming: DataFrame, bindings: DataFrame, known: DataFrame, matches: DataFrame | None = None, pending: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
+    """DOM20: (ref, name) to an action and a merchant: adopt a binding; bind an equal name; propose the
+    weaker match, (ref, merchant_id) in ``matches``, of which the least id counts; else mint.  A ref in ``pending`` is
+    neither bound nor minted: its match is proposed and without one nothing is done.  A match in
+    ``rejected`` (ref, merchant_id) counts as none.  A null ref is left alone."""
+    x = incoming.join(bindings.groupBy("ref").agg(F.min("merchant_id").alias("bound")), "ref", "left")
     k = known.groupBy(T.alias_key(F.col("name")).alias("k_key")).agg(F.min("merchant_id").alias("equal"))
     x = x.withColumn("key", T.alias_key(F.col("name"))).join(k, F.col("key") == F.col("k_key"), "left")
-    open_ = x.where("bound is null and equal is null").select("ref", "key")
-    head = lambda c: F.substring(c, 1, 3)
-    near = open_.join(k.withColumn("h", head("k_key")), head("key") == F.col("h")).withColumn("s", T.jaro_winkler("key", "k_key")).where(F.col("s") >= propose_at)
-    near = near.groupBy("ref").agg(F.max_by(F.struct("equal", "s"), F.struct("s", "equal")).alias("n"))
-    x = x.join(near, "ref", "left")
-    action = F.when(F.col("bound").isNotNull(), "adopt").when(F.col("equal").isNotNull(), "bind").when(F.col("n.s") >= bind_at, "bind").when(F.col("n").isNotNull(), "propose").otherwise("mint")
-    x = x.withColumn("action", action)
-    chosen = F.when(F.col("action") == "mint", F.concat(F.lit("mer_"), T.sha16(F.col("key")))).otherwise(F.coalesce("bound", "equal", F.col("n.equal")))
-    return x.select("ref", "action", chosen.alias("merchant_id"))
-
-
-def resolve_securities(incoming: DataFrame, refs: DataFrame, known: DataFrame) -> DataFrame:
-    """DOM50: (ref, cusip, isin, ticker, mic): a bound reference; then CUSIP, ISIN, and a unique exact ticker
-    whose exchange does not contradict; an identifier that several securities hold is a tie and proves
-    nothing; a contradicting CUSIP or ISIN rules a candidate out; else a provisional one is minted."""
-    x = incoming.join(refs.select("ref", F.col("security_id").alias("bound")), "ref", "left")
-
-    def unique(c: str, name: str) -> DataFrame:
-        return known.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"_{c}")).agg(F.min("security_id").alias(name), F.count("*").alias("n")).where("n = 1").drop("n")
-
-    x = x.join(unique("cusip", "by_cusip"), F.col("cusip") == F.col("_cusip"), "left").join(unique("isin", "by_isin"), F.col("isin") == F.col("_isin"), "left")
-    k = known.select(F.col("ticker").alias("k_ticker"), F.col("security_id").alias("k_id"), F.col("mic").alias("k_mic"), F.col("cusip").alias("k_cusip"), F.col("isin").alias("k_isin"))
-    differ = lambda a, b: F.coalesce(F.col(a) != F.col(b), F.lit(False))
-    t = x.join(k, F.col("ticker") == F.col("k_ticker")).where(~differ("mic", "k_mic") & ~differ("cusip", "k_cusip") & ~differ("isin", "k_isin"))
-    t = t.groupBy("ref").agg(F.min("k_id").alias("by_ticker"), F.count("*").alias("n")).where("n = 1").drop("n")
-    x = x.join(t, "ref", "left")
-    how = F.when(F.col("bound").isNotNull(), "bound").when(F.col("by_cusip").isNotNull(), "cusip").when(F.col("by_isin").isNotNull(), "isin").when(F.col("by_ticker").isNotNull(), "ticker").otherwise("provisional")
-    return x.select("ref", how.alias("how"), F.coalesce("bound", "by_cusip", "by_isin", "by_ticker", F.concat(F.lit("sec_"), T.sha16(F.col("ref")))).alias("security_id"))
+    weak = F.lit(None).cast(known.schema["merchant_id"].dataType).alias("weak")
+    x = x.select("*", weak) if matches is None else x.join(matches.groupBy("ref").agg(F.min("merchant_id").alias("weak")), "ref", "left")
+    x = x.withColumn("match", F.coalesce("equal", "weak")).withColumn("exact", F.col("equal").isNotNull())
+    if rejected is not None:
+        no = rejected.select("ref", F.col("merchant_id").alias("match"), F.lit(True).alias("no")).distinct()
+        x = x.join(no, ["ref", "match"], "left").withColumn("match", F.when(F.col("no").isNull(), F.col("match")))
+    x = x.withColumn("review", F.lit(False)) if pending is None else x.join(pending.select("ref", F.lit(True).alias("review")).distinct(), "ref", "left")
+    review = F.coalesce("review", F.lit(False))
+    action = F.when(F.col("ref").isNull(), "none").when(F.col("bound").isNotNull(), "adopt").when(F.col("match").isNotNull() & F.col("exact") & ~review, "bind")
+    x = x.withColumn("action", action.when(F.col("match").isNotNull(), "propose").when(review, "none").otherwise("mint"))
+    # names of nothing but signs are one placeholder each, never one merchant
+    minted = F.concat(F.lit("mer_"), T.sha16(F.when(F.col("key") != "", F.col("key")).otherwise(F.concat(F.lit("ref "), F.col("ref").cast("string")))))
+    return x.select("ref", "action", F.when(F.col("action") == "mint", minted).when(F.col("action") != "none", F.coalesce("bound", "match")).alias("merchant_id"))
+
+
+def close_names(wanted: DataFrame, known: DataFrame, cutoff: float = 0.85, most: int = 3) -> DataFrame:
+    """The ``most`` names of ``known`` (k_name) nearest to each of ``wanted`` (name), by Ratcliff and Obershelp's ratio, none below
+    the cutoff.
+
+    What matches is a common subsequence: of m characters, of t of both, at least 3 m - t - 1 bigrams are
+    common, which is over 0 for all names if the cutoff is over 5/6.  So only names that share so many are compared, and none is lost."""
+    if cutoff <= 5 / 6:
+        raise ValueError("the bound on common bigrams needs a cutoff above 5/6")
+
+    def grams(t: DataFrame, c: str) -> DataFrame:
+        x = t.select(c).where(F.length(c) > 0).distinct()
+        # the whole name stands for those too short to have a bigram
+        g = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(2)))
+        x = x.select(c, F.posexplode(g).alias("i", "gram"))
+        return x.select(c, "gram", F.row_number().over(W.partitionBy(c, "gram").orderBy("i")).alias("nth"))
+
+    common = grams(wanted, "name").join(grams(known, "k_name"), ["gram", "nth"]).groupBy("name", "k_name").agg(F.count("*").alias("n"))
+    total = F.length("name") + F.length("k_name")
+    short = 2 * F.least(F.length("name"), F.length("k_name")) >= cutoff * total - 1e-9
+    x = common.where(short & (F.col("n") >= F.greatest((1.5 * cutoff - 1) * total - 1 - 1e-9, F.lit(1.0))))
+    x = x.withColumn("ratio", T.ratio("k_name", "name")).where(F.col("ratio") >= cutoff)
+    best = F.row_number().over(W.partitionBy("name").orderBy(F.desc("ratio"), F.desc("k_name")))
+    return x.withColumn("rank", best).where(F.col("rank") <= most).select("name", "k_name")
+
+
+def _plain(c: str) -> Column:
+    return F.nullif(F.upper(F.trim(F.col(c))), F.lit(""))
+
+
+def resolve_securities(incoming: DataFrame, refs: DataFrame, known: DataFrame, pending: DataFrame | None = None, rejected: DataFrame | None = None, unreviewed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """DOM50: (ref, cusip, isin, ticker, mic, name) to (ref, how, security_id) and proposals (ref, security_id, reason).
+
+    A bound reference is adopted; one in ``pending`` waits, with no security; else CUSIP, then ISIN, then a
+    unique equal ticker binds.  An identifier that several securities hold is a tie: it ends the ladder and
+    proposes all of them.  An equal ticker of another exchange, or of the part before the first point or
+    dash, is only proposed.  What binds nothing is minted as provisional, and if nothing of the above is
+    proposed, the three nearest names from 0.85 are.  A security whose CUSIP or ISIN differs is
+    never bound and never proposed; neither are pairs in ``rejected`` (ref, security_id) nor securities in ``unreviewed``
+    proposed.  Refs are expected once each; case and blanks around identifiers do not count."""
+    ids = ("cusip", "isin", "ticker", "mic")
+    named = lambda t: _plain("name") if "name" in t.columns else F.lit(None).cast("string")
+    x = incoming.select("ref", *[_plain(c).alias(c) for c in ids], named(incoming).alias("name"))
+    k = known.select(F.col("security_id").alias("k_id"), *[_plain(c).alias(f"k_{c}") for c in ids], named(known).alias("k_name"))
+    x = x.join(refs.groupBy("ref").agg(F.min("security_id").alias("bound")), "ref", "left")
+    x = x.withColumn("waits", F.lit(False)) if pending is None else x.join(pending.select("ref", F.lit(True).alias("waits")).distinct(), "ref", "left")
+    for c in ids[:3]:
+        hit = k.where(F.col(f"k_{c}").isNotNull()).groupBy(F.col(f"k_{c}").alias(c)).agg(F.count("*").alias(f"{c}_n"), F.min(F.struct("k_id", "k_cusip", "k_isin", "k_mic")).alias(f"{c}_hit"))
+        x = x.join(hit, c, "left")
+    differ = lambda a, b: F.coalesce(a != b, F.lit(False))
+    other = lambda p: differ(F.col("cusip"), F.col(f"{p}k_cusip")) | differ(F.col("isin"), F.col(f"{p}k_isin"))
+    one = lambda c: (F.col(f"{c}_n") == 1) & ~other(f"{c}_hit.")
+    abroad = differ(F.col("mic"), F.col("ticker_hit.k_mic"))
+    rung = F.when(F.col("bound").isNotNull(), "bound").when(F.coalesce("waits", F.lit(False)), "pending")
+    for c in ids[:2]:
+        rung = rung.when(F.col(f"{c}_n") > 1, f"tie {c}").when(one(c), c)
+    rung = rung.when(F.col("ticker_n") > 1, "tie ticker").when(one("ticker"), F.when(abroad, "abroad").otherwise("ticker"))
+    rung = rung.when(F.col("ticker_n").isNull() & F.col("ticker").rlike("[.-]"), "suffix").otherwise("none")
+    x = x.withColumn("rung", rung).withColumn("stem", F.regexp_extract("ticker", r"^[^.-]*", 0))
+
+    def to(rung: str, on: Column, reason: str) -> DataFrame:
+        return x.where(F.col("rung") == rung).join(k, on).where(~other("")).select("ref", F.col("k_id").alias("security_id"), F.lit(reason).alias("reason"))
+
+    def offered(t: DataFrame) -> DataFrame:
+        t = t if rejected is None else t.join(rejected, ["ref", "security_id"], "left_anti")
+        return t if unreviewed is None else t.join(unreviewed, "security_id", "left_anti")
+
+    flagged = to("abroad", F.col("ticker") == F.col("k_ticker"), "exchange_contradiction").unionByName(to("suffix", F.col("stem") == F.col("k_ticker"), "ticker_suffix_strip"))
+    for c in ids[:3]:
+        flagged = flagged.unionByName(to(f"tie {c}", F.col(c) == F.col(f"k_{c}"), "identifier_tie"))
+    flagged = offered(flagged)
+    proposals = flagged
+    if "name" in incoming.columns and "name" in known.columns:
+        open_ = x.where(F.col("rung").rlike("^(tie|abroad|suffix|none)")).join(flagged.select("ref").distinct(), "ref", "left_anti")
+        near = open_.join(close_names(open_, k), "name").join(k, "k_name").where(~other(""))
+        proposals = flagged.unionByName(offered(near.select("ref", F.col("k_id").alias("security_id"), F.lit("fuzzy_name").alias("reason"))))
+    binds = ("bound", "pending", *ids[:3])
+    how = F.when(F.col("rung").isin(*binds), F.col("rung")).otherwise("provisional")
+    chosen = F.when(F.col("rung") == "bound", F.col("bound"))
+    for c in ids[:3]:
+        chosen = chosen.when(F.col("rung") == c, F.col(f"{c}_hit.k_id"))
+    chosen = chosen.when(~F.col("rung").isin(*binds), F.concat(F.lit("sec_"), T.sha16(F.col("ref"))))
+    return x.select("ref", how.alias("how"), chosen.alias("security_id")), proposals.select("ref", "security_id", "reason")
 
 
 def opening_gaps(snapshots: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -286,16 +286,28 @@ def _(spark, sf):
     return identity.resolve_merchants(n.select(F.col("n_name").alias("ref"), F.lower("n_name").alias("name")), n.where("n_nationkey < 5").select(F.col("n_name").alias("ref"), F.lit("b").alias("merchant_id")), known).select("ref", "action")
 
 
-@query("DOM50_security_ladder", "SELECT p_partkey AS ref, CASE WHEN p_partkey % 4 = 0 THEN 'cusip' WHEN p_partkey % 4 = 1 THEN 'ticker' ELSE 'provisional' END AS how FROM part")
-def _(spark, sf):
+def _securities(spark, sf):
     k = F.col("p_partkey")
     s = k.cast("string")
     p = table(spark, sf, "part")
     none = F.lit(None).cast("string")
     known = p.select(F.concat(F.lit("s"), s).alias("security_id"), F.concat(F.lit("c"), s).alias("cusip"), none.alias("isin"), F.concat(F.lit("t"), s).alias("ticker"), F.lit("XNYS").alias("mic"))
-    inc = p.select(k.alias("ref"), F.when(k % 4 == 0, F.concat(F.lit("c"), s)).alias("cusip"), none.alias("isin"), F.when(k % 4 != 3, F.concat(F.lit("t"), s)).alias("ticker"), F.when(k % 4 == 2, "XLON").otherwise("XNYS").alias("mic"))
+    twins = known.where(F.substring("cusip", 2, 20).cast("long") % 8 == 4).withColumn("security_id", F.concat(F.lit("d"), F.col("security_id")))
+    ticker = F.when(k % 4 == 3, F.concat(F.lit("t"), s, F.lit(".l"))).otherwise(F.concat(F.lit("t"), s))
+    inc = p.select(k.alias("ref"), F.when(k % 4 == 0, F.concat(F.lit("c"), s)).alias("cusip"), none.alias("isin"), ticker.alias("ticker"), F.when(k % 4 == 2, "XLON").otherwise("XNYS").alias("mic"))
     refs = spark.createDataFrame([], "ref long, security_id string")
-    return identity.resolve_securities(inc, refs, known).select("ref", "how")
+    return identity.resolve_securities(inc, refs, known.unionByName(twins))
+
+
+@query("DOM50_security_ladder", "SELECT p_partkey AS ref, CASE WHEN p_partkey % 8 = 0 THEN 'cusip' WHEN p_partkey % 4 = 1 THEN 'ticker' ELSE 'provisional' END AS how FROM part")
+def _(spark, sf):
+    return _securities(spark, sf)[0].select("ref", "how")
+
+
+@query("DOM50_security_proposals", """SELECT p_partkey AS ref, 's' || p_partkey AS security_id, CASE WHEN p_partkey % 4 = 2 THEN 'exchange_contradiction' WHEN p_partkey % 4 = 3 THEN 'ticker_suffix_strip' ELSE 'identifier_tie' END AS reason
+  FROM part WHERE p_partkey % 4 IN (2, 3) OR p_partkey % 8 = 4 UNION ALL SELECT p_partkey, 'ds' || p_partkey, 'identifier_tie' FROM part WHERE p_partkey % 8 = 4""")
+def _(spark, sf):
+    return _securities(spark, sf)[1]
 
 
 _OPEN = "h AS (SELECT part_id AS account_id, 1::BIGINT AS security_id, min(ship_date) AS date, CAST(100 AS DECIMAL(18,2)) AS quantity FROM line GROUP BY 1), g AS (SELECT h.*, coalesce((SELECT sum(l.quantity) FROM line l WHERE l.part_id = h.account_id AND l.ship_date <= h.date), 0) AS explained FROM h)"

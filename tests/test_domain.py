@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import random
 from datetime import date, timedelta
 from decimal import Decimal
@@ -286,3 +287,53 @@ def test_open_lots(spark):
     rows = [(1, 1, i, date(2020, 1, 1) + timedelta(days=i), t, D(q), D(a), "fifo") for i, (t, q, a) in enumerate([("buy", 3, 100), ("buy", 3, 200), ("sell", 4, 100)])]
     left = lots.open_lots(spark.createDataFrame(rows, EVENT)).collect()
     assert [(r.acquired, r.remaining, r.remaining_basis) for r in left] == [(date(2020, 1, 2), D(2), D("133.33"))]
+
+
+def test_merchant_ladder(spark):
+    inc = spark.createDataFrame([("a", "Foo"), ("b", "foo!"), ("c", "Bar"), ("d", "Baz"), ("e", "Foo"), ("f", "Baz"), ("g", "Foo"), (None, "Foo"), ("h", None), ("i", "--")], "ref string, name string")
+    bound = spark.createDataFrame([("a", "m9")], "ref string, merchant_id string")
+    known = spark.createDataFrame([("m1", "FOO")], "merchant_id string, name string")
+    weak = spark.createDataFrame([("c", "m2"), ("c", "m3")], "ref string, merchant_id string")
+    review = spark.createDataFrame([("a",), ("e",), ("f",)], "ref string")
+    no = spark.createDataFrame([("g", "m1")], "ref string, merchant_id string")
+    got = {r.ref: (r.action, r.merchant_id) for r in identity.resolve_merchants(inc, bound, known, weak, review, no).collect()}
+    assert got.pop("a") == ("adopt", "m9") and got.pop("b") == ("bind", "m1") and got.pop("c") == ("propose", "m2")
+    assert got.pop("e") == ("propose", "m1") and got.pop("f") == ("none", None) and got.pop(None) == ("none", None)
+    assert {a for a, _ in got.values()} == {"mint"} and got.keys() == {"d", "g", "h", "i"} and len(set(got.values())) == 4
+
+
+def test_close_names_lose_nothing(spark):
+    rng = random.Random(3)
+    make = lambda: "".join(rng.choice("ABC ") for _ in range(rng.randint(1, 14)))
+    known = sorted({make() for _ in range(300)})
+    wanted = sorted({make() for _ in range(60)} | {w[:3] + rng.choice("ABC") + w[4:] for w in known[::3]})
+    for cutoff in (0.85, 0.92):
+        got = identity.close_names(spark.createDataFrame([(w,) for w in wanted], "name string"), spark.createDataFrame([(w,) for w in known], "k_name string"), cutoff)
+        assert {(r.name, r.k_name) for r in got.collect()} == {(w, n) for w in wanted for n in difflib.get_close_matches(w, known, 3, cutoff)}
+
+
+def test_security_ladder(spark):
+    cols = "ref string, cusip string, isin string, ticker string, mic string, name string"
+    inc = spark.createDataFrame([
+        ("bound", None, None, None, None, None), ("waits", "C1", None, None, None, None), ("cusip", " c1 ", None, None, None, None),
+        ("split", "C1", "I9", None, None, None), ("isin", None, "I2", None, None, None), ("tie", None, None, "TT", None, None),
+        ("half", "C8", None, "TT", None, None), ("abroad", None, None, "AAA", "XLON", None), ("home", None, None, "aaa", None, None),
+        ("suffix", None, None, "AAA.L", None, None), ("near", None, None, None, None, "Acme Holdings Inc"), ("far", None, None, None, None, "Zzz"),
+        ("no", "C5", None, None, None, "Acme Holding Inc"),
+    ], cols)
+    known = spark.createDataFrame([
+        ("s1", "C1", "I1", None, None, None), ("s2", None, "I2", None, None, None), ("s3", "C3", None, "TT", None, None), ("s4", None, None, "TT", None, None),
+        ("s5", None, None, "AAA", "XNYS", None), ("s6", "C6", None, None, None, "ACME HOLDING INC"), ("s7", None, None, None, None, "ACME HOLDING INC"),
+    ], cols.replace("ref", "security_id"))
+    refs = spark.createDataFrame([("bound", "s9")], "ref string, security_id string")
+    pending = spark.createDataFrame([("waits",)], "ref string")
+    got, offers = identity.resolve_securities(inc, refs, known, pending)
+    how = {r.ref: (r.how, r.security_id) for r in got.collect()}
+    assert how["bound"] == ("bound", "s9") and how["waits"] == ("pending", None) and how["cusip"] == ("cusip", "s1") and how["isin"] == ("isin", "s2") and how["home"] == ("ticker", "s5")
+    assert {r for r, (h, _) in how.items() if h == "provisional"} == {"split", "tie", "half", "abroad", "suffix", "near", "far", "no"} and len(how) == 13
+    want = {("tie", "s3", "identifier_tie"), ("tie", "s4", "identifier_tie"), ("half", "s4", "identifier_tie"), ("abroad", "s5", "exchange_contradiction"), ("suffix", "s5", "ticker_suffix_strip")}
+    want |= {("near", "s6", "fuzzy_name"), ("near", "s7", "fuzzy_name"), ("no", "s7", "fuzzy_name")}
+    assert {tuple(r) for r in offers.collect()} == want
+    no = spark.createDataFrame([("tie", "s3"), ("near", "s6")], "ref string, security_id string")
+    new = spark.createDataFrame([("s5",), ("s7",)], "security_id string")
+    assert {tuple(r) for r in identity.resolve_securities(inc, refs, known, pending, no, new)[1].collect()} == {("tie", "s4", "identifier_tie"), ("half", "s4", "identifier_tie")}
