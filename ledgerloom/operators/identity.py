@@ -34,20 +34,50 @@ def investment_type(ptype: Column, psub: Column, security: Column, amount: Colum
     return out.when((ptype == "transfer") & psub.isin("transfer", "send", "merger", "spin off", "trade"), moved)
 
 
-def resolve_accounts(incoming: DataFrame, known: DataFrame, pins: DataFrame) -> DataFrame:
-    """DOM13: (key, native_ref, token, slug, last_four, name) to an account: a pin, then a strong reference
-    (native, token), else a new id with proposals: same institution and last four, then an alike name
-    whose last four do not contradict.  Weak signals only propose."""
-    x = incoming.join(pins.select("key", F.col("account_id").alias("pinned")), "key", "left")
-    by = lambda c, n: known.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"_{c}")).agg(F.min("account_id").alias(n), F.count("*").alias(f"{n}_n")).where(f"{n}_n = 1").drop(f"{n}_n")
-    x = x.join(by("native_ref", "native"), F.col("native_ref") == F.col("_native_ref"), "left").join(by("token", "tok"), F.col("token") == F.col("_token"), "left")
-    strong = F.coalesce("pinned", "native", "tok")
-    k = known.select(F.col("account_id").alias("k_id"), F.col("slug").alias("k_slug"), F.col("last_four").alias("k_four"), T.alias_key(F.col("name")).alias("k_name"))
-    four = x.where(strong.isNull()).join(k, (F.col("slug") == F.col("k_slug")) & (F.col("last_four") == F.col("k_four"))).select("key", F.struct(F.lit(0).alias("rank"), "k_id").alias("p"))
-    alike = x.where(strong.isNull()).join(k, (T.alias_key(F.col("name")) == F.col("k_name")) & ~F.coalesce(F.col("last_four") != F.col("k_four"), F.lit(False))).select("key", F.struct(F.lit(1).alias("rank"), "k_id").alias("p"))
-    props = four.union(alike).groupBy("key").agg(F.array_sort(F.collect_set("p")).alias("proposals"))
-    how = F.when(F.col("pinned").isNotNull(), "pin").when(F.col("native").isNotNull(), "native").when(F.col("tok").isNotNull(), "token").otherwise("minted")
-    return x.join(props, "key", "left").select("key", F.coalesce(strong, F.concat(F.lit("acc_"), T.sha16(F.col("key")))).alias("account_id"), how.alias("how"), F.transform("proposals", lambda p: p["k_id"]).alias("proposals"))
+def resolve_accounts(incoming: DataFrame, known: DataFrame, pins: DataFrame, most: int = 25) -> DataFrame:
+    """DOM13: (key, native_ref, token, slug, last_four, name, and number, a full number with its scope) to an
+    account: a pin, then a strong reference (native, token, number), else a new id with proposals of the
+    first signal that has any: ``institution_last4`` (all of the same institution and last four); ``name`` (the first
+    account of that name whose last four do not contradict, and the first at the same institution whose do);
+    ``institution_reissue`` (at most ``most`` accounts of the same institution, the least ids; both state last fours).
+    Weak signals only propose.  Only names that are equal once normalised are alike.  A blank or null
+    reference matches nothing; a key is expected once."""
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    key = lambda c: F.nullif(T.alias_key(F.col(c)), F.lit(""))
+    strongs = [("native_ref", "native"), ("token", "token")] + ([("number", "number")] if "number" in incoming.columns and "number" in known.columns else [])
+    x = incoming.select("key", *[blank(c).alias(c) for c, _ in strongs], key("slug").alias("slug"), blank("last_four").alias("four"), key("name").alias("name"))
+    x = x.join(pins.groupBy("key").agg(F.min("account_id").alias("by_pin")), "key", "left")
+    for c, n in strongs:
+        unique = known.select(blank(c).alias(c), "account_id").where(F.col(c).isNotNull()).groupBy(c).agg(F.min("account_id").alias(f"by_{n}"), F.count("*").alias("n")).where("n = 1").drop("n")
+        x = x.join(unique, c, "left")
+    hows = ["pin", *[n for _, n in strongs]]
+    strong = F.coalesce(*[F.col(f"by_{n}") for n in hows])
+    k = known.select(F.col("account_id").alias("k_id"), key("slug").alias("slug"), blank("last_four").alias("k_four"), key("name").alias("name"))
+    open_ = x.where(strong.isNull()).select("key", "slug", "four", "name")
+
+    last4 = open_.join(k.select("k_id", "slug", F.col("k_four").alias("four")), ["slug", "four"]).select("key", F.lit("institution_last4").alias("signal"), "k_id")
+    open_ = open_.join(last4.select("key"), "key", "left_anti")
+    # of each name the first account of each last four is enough, so no group of equal names multiplies
+    first = k.where("name is not null").groupBy("name", "k_four").agg(F.min("k_id").alias("k_id"))
+    named = [
+        open_.where("four is null").join(first.groupBy("name").agg(F.min("k_id").alias("k_id")), "name"),
+        open_.join(first.withColumnRenamed("k_four", "four"), ["name", "four"]),
+        open_.where("four is not null").join(first.where("k_four is null").drop("k_four"), "name"),
+    ]
+    alike = named[0].select("key", "k_id").unionByName(named[1].select("key", "k_id")).unionByName(named[2].select("key", "k_id")).groupBy("key").agg(F.min("k_id").alias("k_id"))
+    # the two least of different last fours, one of which differs from any
+    w = W.partitionBy("slug", "name").orderBy("k_id")
+    two = k.where("slug is not null and name is not null and k_four is not null").groupBy("slug", "name", "k_four").agg(F.min("k_id").alias("k_id")).withColumn("rn", F.row_number().over(w)).where("rn <= 2")
+    retyped = open_.join(two, ["slug", "name"]).where("four <> k_four").groupBy("key").agg(F.min("k_id").alias("k_id"))
+    names = alike.select("key", F.lit("name").alias("signal"), "k_id").unionByName(retyped.select("key", F.lit("name").alias("signal"), "k_id"))
+    open_ = open_.join(names.select("key"), "key", "left_anti")
+    # equal last fours have been told above, so what is left is the same list for all of an institution
+    listed = k.where("slug is not null and k_four is not null").withColumn("rn", F.row_number().over(W.partitionBy("slug").orderBy("k_id"))).where(F.col("rn") <= most)
+    reissue = open_.where("four is not null").join(listed.select("slug", "k_id"), "slug").select("key", F.lit("institution_reissue").alias("signal"), "k_id")
+    props = last4.unionByName(names).unionByName(reissue).groupBy("key").agg(F.min("signal").alias("signal"), F.array_sort(F.collect_set("k_id")).alias("proposals"))
+
+    how = F.coalesce(*[F.when(F.col(f"by_{n}").isNotNull(), n) for n in hows], F.lit("minted"))
+    return x.join(props, "key", "left").select("key", F.coalesce(strong, F.concat(F.lit("acc_"), T.sha16(F.col("key")))).alias("account_id"), how.alias("how"), "proposals", "signal")
 
 
 def prefer_exact(fuzzy: DataFrame, exact: DataFrame) -> DataFrame:

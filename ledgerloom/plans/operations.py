@@ -263,14 +263,24 @@ def _(spark, sf):
     return e.select("event_id", m.alias("mapped"), m.isNull().alias("review"))
 
 
-@query("DOM13_account_ladder", "SELECT 'k' || account_id AS key, CASE WHEN account_id % 10 = 0 THEN 'pin' WHEN account_id % 2 = 0 THEN 'native' ELSE 'minted' END AS how FROM account")
-def _(spark, sf):
+def _accounts(spark, sf):
     a = account(spark, sf)
     i = F.col("account_id")
     inc = a.select(F.concat(F.lit("k"), i.cast("string")).alias("key"), F.when(i % 2 == 0, F.concat(F.lit("n"), i.cast("string"))).alias("native_ref"), F.lit(None).cast("string").alias("token"), F.lit("bank").alias("slug"), F.right(F.lpad(i.cast("string"), 4, "0"), F.lit(4)).alias("last_four"), F.col("account_name").alias("name"))
     known = a.select(F.concat(F.lit("acc"), i.cast("string")).alias("account_id"), F.concat(F.lit("n"), i.cast("string")).alias("native_ref"), F.lit(None).cast("string").alias("token"), F.lit("bank").alias("slug"), F.right(F.lpad(i.cast("string"), 4, "0"), F.lit(4)).alias("last_four"), F.col("account_name").alias("name"))
     pins = a.where(i % 10 == 0).select(F.concat(F.lit("k"), i.cast("string")).alias("key"), F.concat(F.lit("acc"), i.cast("string")).alias("account_id"))
-    return identity.resolve_accounts(inc, known, pins).select("key", "how")
+    return identity.resolve_accounts(inc, known, pins)
+
+
+@query("DOM13_account_ladder", "SELECT 'k' || account_id AS key, CASE WHEN account_id % 10 = 0 THEN 'pin' WHEN account_id % 2 = 0 THEN 'native' ELSE 'minted' END AS how FROM account")
+def _(spark, sf):
+    return _accounts(spark, sf).select("key", "how")
+
+
+@query("DOM13_account_proposals", """WITH a AS (SELECT account_id, right(lpad(account_id::VARCHAR, 4, '0'), 4) AS four FROM account)
+  SELECT 'k' || account_id AS key, 'institution_last4' AS signal, (SELECT count(*) FROM a b WHERE b.four = a.four)::INTEGER AS n FROM a WHERE account_id % 2 = 1""")
+def _(spark, sf):
+    return _accounts(spark, sf).where("proposals is not null").select("key", "signal", F.size("proposals").alias("n"))
 
 
 @query("DOM16_exact_beats_fuzzy", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'e' ELSE 'f' END AS merchant_id, p_partkey % 3 = 0 AS exact FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")

@@ -337,3 +337,25 @@ def test_security_ladder(spark):
     no = spark.createDataFrame([("tie", "s3"), ("near", "s6")], "ref string, security_id string")
     new = spark.createDataFrame([("s5",), ("s7",)], "security_id string")
     assert {tuple(r) for r in identity.resolve_securities(inc, refs, known, pending, no, new)[1].collect()} == {("tie", "s4", "identifier_tie"), ("half", "s4", "identifier_tie")}
+
+
+def test_account_ladder(spark):
+    cols = "key string, native_ref string, token string, slug string, last_four string, name string, number string"
+    inc = spark.createDataFrame([
+        ("pin", "n1", None, None, None, None, None), ("native", "n1", "t2", None, None, None, None), ("token", " ", "t2", None, None, None, None), ("number", None, None, None, None, None, "021000021:7"),
+        ("twice", None, "t3", None, None, None, None), ("four", None, None, "Big-Bank", "1111", "Savings", None), ("name", None, None, "other", "9999", "my savings", None),
+        ("silent", None, None, None, None, "My-Savings", None), ("retyped", None, None, "bigbank", "2222", "Checking", None), ("reissue", None, None, "bigbank", "2222", "Card", None),
+        ("new", None, None, "far", "1111", "Checking", None), ("blank", "", "", "", "", "", None),
+    ], cols)
+    known = spark.createDataFrame([
+        ("a1", "n1", None, "bigbank", "1111", "Checking", None), ("a2", None, "t2", "bigbank", "3333", "Checking", "021000021:7"), ("a3", None, "t3", "x", None, "My Savings", None),
+        ("a4", None, "t3", "x", "9999", "My Savings", None), ("a5", None, None, "", "", "", None),
+    ], cols.replace("key", "account_id"))
+    pins = spark.createDataFrame([("pin", "a9")], "key string, account_id string")
+    got = {r.key: (r.how, r.account_id, r.signal, r.proposals) for r in identity.resolve_accounts(inc, known, pins).collect()}
+    assert [got[k][:2] for k in ("pin", "native", "token", "number")] == [("pin", "a9"), ("native", "a1"), ("token", "a2"), ("number", "a2")]
+    assert {k for k, v in got.items() if v[0] == "minted"} == {"twice", "four", "name", "silent", "retyped", "reissue", "new", "blank"} and len(got) == 12
+    offers = {k: v[2:] for k, v in got.items() if v[3]}
+    assert offers == {"four": ("institution_last4", ["a1"]), "name": ("name", ["a3"]), "silent": ("name", ["a3"]), "retyped": ("name", ["a1"]), "reissue": ("institution_reissue", ["a1", "a2"]), "new": ("name", ["a1"])}
+    few = {r.key: r.proposals for r in identity.resolve_accounts(inc, known, pins, 1).collect()}
+    assert few["reissue"] == ["a1"] and few["four"] == ["a1"]
