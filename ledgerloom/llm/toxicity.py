@@ -77,8 +77,10 @@ class Vocabulary:
 
 def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1 and so on, size[0] of them, then those of start[1]."""
-    end = np.cumsum(size)
-    return np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)
+    end = size.cumsum()
+    out = (start - end + size).repeat(size)
+    out += np.arange(len(out))
+    return out
 
 
 def alike(x: np.ndarray, groups: int = GROUPS, rounds: int = ROUNDS) -> np.ndarray:
@@ -152,11 +154,12 @@ class BlockMaxIndex:
     def nearest(self, counts: tuple[np.ndarray, np.ndarray], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k best by cosine, then number; ``but`` is left out."""
         ids, w = self.vector(counts)
-        n = self.first[ids + 1] - self.first[ids]
-        cells = _runs(self.first[ids], n)
-        q = np.repeat(w, n)
-        block = self.block[cells]
-        bound = np.bincount(block, q * self.most[cells], self.blocks)
+        a = self.first.take(ids)
+        n = self.first.take(ids + 1) - a
+        cells = _runs(a, n)
+        q = w.repeat(n)
+        block = self.block.take(cells)
+        bound = np.bincount(block, q * self.most.take(cells), self.blocks)
         but = int(self.place[but]) if but >= 0 else -1
         got = np.zeros(self.blocks * BLOCK)
         todo = np.zeros(self.blocks, bool)
@@ -165,10 +168,14 @@ class BlockMaxIndex:
         for last in (False, True):
             if last:
                 todo = ~todo & (bound > 0) & (bound >= least - SLACK)
-            use = cells[todo[block]], q[todo[block]]
-            size = self.cell[use[0] + 1] - self.cell[use[0]]
-            at = _runs(self.cell[use[0]], size)
-            got += np.bincount(self.who[at], self.part[at] * np.repeat(use[1], size), len(got))
+            use = todo.take(block).nonzero()[0]
+            of = cells.take(use)
+            a = self.cell.take(of)
+            size = self.cell.take(of + 1) - a
+            at = _runs(a, size)
+            x = self.part.take(at)
+            x *= q.take(use).repeat(size)
+            got += np.bincount(self.who.take(at), x, len(got))
             if but >= 0:
                 got[but] = 0
             seen = got[got > 0] if last else got.reshape(-1, BLOCK)[todo].ravel()
@@ -187,9 +194,9 @@ class BlockMaxIndex:
         size = self.start[rows + 1] - self.start[rows]
         at = _runs(self.start[rows], size)
         self.query[ids] = w
-        x = self.query[self.ids[at]]
+        x = self.query.take(self.ids.take(at))
         self.query[ids] = 0
-        x *= self.exact[at]
+        x *= self.exact.take(at)
         return np.add.reduceat(x, np.cumsum(size) - size)
 
 
