@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Symbols and codes that may stand about an amount.
+# What may stand about an amount, and date formats in order of preference.
 CURRENCY_SIGNS = r"(?i)[$€£¥₩₹₽₺₫]|CHF|R\$|kr\b|SEK|NOK|DKK"
-#: Date formats in order of preference.
 DATE_FORMATS = ("MM/dd/yyyy", "yyyy-MM-dd", "MM/dd/yy", "MM-dd-yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "dd-MMM-yyyy", "dd-MMMM-yyyy", "MMM dd, yyyy")
 
 
