@@ -41,7 +41,7 @@ from .base import cut, small_batches
 EXAMPLES = (1_500, 1_000)
 NEAREST = 15
 #: Examples in a block; blocks that are scored before the bounds are asked.
-BLOCK, FIRST = 64, 8
+BLOCK, FIRST = 128, 4
 #: Terms and rounds by which similar examples are brought together, and into how many groups.
 COMMON, ROUNDS, GROUPS = 256, 6, 16
 #: More than the order of a sum can change a cosine by.
