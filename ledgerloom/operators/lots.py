@@ -11,6 +11,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -330,10 +331,232 @@ WALKED = """kind string, account_id long, security_id long, event_id long, lot_e
 basis decimal(18,2), remaining_basis decimal(18,2), proceeds decimal(18,2), gain decimal(18,2), long_term boolean, incomplete boolean, method string"""
 
 
-def lots_and_gains(events: DataFrame, picks: dict | None = None) -> DataFrame:
+#: Groups of more events are walked one by one.
+WIDE = 512
+BUY, SELL, OUT, OTHER = 1, 2, 3, 4
+KINDS = {"buy": BUY, "transfer_in": BUY, "reinvest": BUY, "sell": SELL, "transfer_out": OUT, "split": OTHER, "return_of_capital": OTHER}
+
+
+def _longs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Unscaled values of decimals of up to 38 digits, nulls as 0, and which of them no long holds."""
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    low, high = np.frombuffer(column.buffers()[1], np.int64)[2 * column.offset :][: 2 * len(column)].reshape(-1, 2).T
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    return np.where(valid, low, 0), valid & ((low >> 63) != high)
+
+
+def _decimal_array(values: np.ndarray, digits: int, scale: int) -> pa.Array:
+    return pa.Array.from_buffers(pa.decimal128(digits, scale), len(values), [None, pa.py_buffer(np.stack([values, values >> 63], 1).tobytes())])
+
+
+def _half_up(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """a * b / c, half up; none is negative."""
+    return (2 * a * b + c) // (2 * c)
+
+
+class _Many:
+    """Many groups of purchases and sales walked side by side, as ``_walk`` does each: the nth sale of all of them
+    in one step, in integers.  ``bad`` are the groups that are left to ``_walk``: those that hold anything else, more
+    events than ``WIDE``, products beyond 62 bits, lots of one day or, where the order
+    hangs on the last digits of a ratio, lots of one price."""
+
+    def __init__(self, start: np.ndarray, kind: np.ndarray, event: np.ndarray, day: np.ndarray, quantity: np.ndarray, amount: np.ndarray, method: np.ndarray, odd: np.ndarray):
+        n = len(kind)
+        self.event, self.day, self.amount = event, day, np.abs(amount)
+        self.size = np.diff(start, append=n)
+        self.group = np.repeat(np.arange(len(start)), self.size)
+        self.method = method
+        self.how = np.where(method == "average", 1, np.where(method == "hifo", 2, 0))
+        quantity = np.abs(quantity)
+        kind = np.where((quantity == 0) & (kind != OTHER), 0, kind)
+        odd = odd | (kind == OTHER) | (quantity > PLAIN * 100) | (self.amount > PLAIN) | (quantity < 0) | (self.amount < 0)  # the least long has no absolute value
+        self.bad = np.logical_or.reduceat(odd, start) | (self.size > WIDE) | (method == "specific")
+        self.unit = np.maximum(np.gcd.reduceat(quantity, start), 1)
+        self.quantity = quantity // self.unit[self.group]
+        total = np.add.reduceat(self.quantity.astype(float), start) * np.maximum(np.add.reduceat(self.amount.astype(float), start), 1.0)
+        self.bad |= total > 2.0**59
+        self.kind = np.where(self.bad[self.group], 0, kind)
+
+        self.row = np.flatnonzero(self.kind == BUY)
+        own = self.group[self.row]
+        same = (own[1:] == own[:-1]) & (day[self.row][1:] == day[self.row][:-1]) & (self.how[own[1:]] != 2)
+        if same.any():
+            self.bad[own[1:][same]] = True
+            self.kind[self.bad[self.group]] = 0
+            self.row = np.flatnonzero(self.kind == BUY)
+        self.whole, self.cost = self.quantity[self.row], self.amount[self.row]
+        self.left, self.basis = self.whole.copy(), self.cost.copy()
+        self.upto = np.concatenate([[0], np.cumsum(self.kind == BUY)])  # lots before each row
+        self.first = self.upto[start]
+        self.units, self.costs = np.concatenate([[0], np.cumsum(self.whole)]), np.concatenate([[0], np.cumsum(self.cost)])
+        self.slices: list[tuple] = []
+        self.pooled = np.zeros(n, np.int64)
+
+        sale = np.flatnonzero(self.kind > BUY)
+        how, size = self.how[self.group[sale]], self.size[self.group[sale]]
+        self.paid = np.zeros(len(start), np.int64)
+        for one in range(3):
+            for least, most in ((0, 16), (16, 48), (48, WIDE)):
+                self._sales(sale[(how == one) & (size > least) & (size <= most)], one)
+        self._settle()
+
+    def _sales(self, sale: np.ndarray, how: int) -> None:
+        """The sales of some groups, in rounds: each group's first, second and so on."""
+        if not len(sale):
+            return
+        own = self.group[sale]
+        new = np.concatenate([[True], own[1:] != own[:-1]])
+        begin = np.flatnonzero(new)
+        nth = np.arange(len(sale)) - np.repeat(begin, np.diff(begin, append=len(sale)))
+        order = np.argsort(nth, kind="stable")
+        head, matched, paid = self.first.copy(), np.zeros(len(self.size), np.int64), np.zeros(len(self.size), np.int64)
+        for rows in np.split(sale[order], np.cumsum(np.bincount(nth))[:-1]):
+            need, got = self.quantity[rows].copy(), self.group[rows]
+            end = self.upto[rows]
+            at = np.arange(len(rows))
+            while True:
+                if how == 2:
+                    lot = self._dearest(got[at], end[at])
+                    at, lot = at[lot >= 0], lot[lot >= 0]
+                else:
+                    at = at[head[got[at]] < end[at]]
+                    lot = head[got[at]]
+                if not len(at):
+                    break
+                rest, held = self.left[lot], self.basis[lot]
+                q = np.minimum(need[at], rest)
+                all_ = q == rest
+                part = np.where(all_, held, _half_up(held, q, rest))
+                self.left[lot] = rest - q
+                self.basis[lot] = held - part
+                need[at] -= q
+                head[got[at][all_]] += 1
+                self.slices.append((rows[at], lot, q, part))
+                at = at[need[at] > 0]
+            short = (need > 0) & (self.kind[rows] == SELL)
+            if how == 1:
+                took = self.quantity[rows] - need
+                units = self.units[end] - self.units[self.first[got]] - matched[got]
+                cost = self.costs[end] - self.costs[self.first[got]] - paid[got]
+                pool = np.where(took == units, cost, np.minimum(cost, self._pool(got, took, cost, np.maximum(units, 1))))
+                pool[took == 0] = 0
+                self.pooled[rows] = pool
+                matched[got] += took
+                paid[got] += pool
+            if short.any():
+                self.slices.append((rows[short], np.full(short.sum(), -1), need[short], np.zeros(short.sum(), np.int64)))
+        self.paid += paid
+
+    def _pool(self, own: np.ndarray, part: np.ndarray, cost: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """part / units of the cost, half cents as Decimal's 28 digits of the cost a unit have them."""
+        out = _half_up(part, cost, units)
+        for k in np.flatnonzero((2 * part * cost + units) % (2 * units) == 0).tolist():
+            unit = int(self.unit[own[k]])
+            each = Decimal(int(cost[k])).scaleb(-2) / Decimal(int(units[k]) * unit).scaleb(-10)
+            out[k] = int((Decimal(int(part[k]) * unit).scaleb(-10) * each).quantize(CENT, ROUND_HALF_UP).scaleb(2))
+        return out
+
+    def _dearest(self, own: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of each group the open lot of the highest basis a unit, -1 where none is open."""
+        if not len(own) or not len(self.row):
+            return np.full(len(own), -1)
+        first = self.first[own]
+        lots = first[:, None] + np.arange(max(1, int((end - first).max())))
+        lots = np.minimum(lots, end[:, None] - 1)  # the last one again, which argmax passes by
+        none = end == first
+        lots[none] = 0
+        left = self.left[lots]
+        ratio = np.where(left > 0, self.basis[lots] / np.maximum(left, 1), -1.0)
+        best = ratio.argmax(1)
+        at = np.arange(len(own))
+        lot, top = lots[at, best], ratio[at, best]
+        near = (ratio >= (top * (1 - 1e-12))[:, None]) & (lots != lot[:, None])
+        self.bad[own[near.any(1) & (top >= 0) & ~none]] = True
+        return np.where(none | (top < 0), -1, lot)
+
+    def _settle(self) -> None:
+        """Under average cost the open lots share what the pool holds, the last one taking the rest."""
+        own = self.group[self.row]
+        average = self.how[own] == 1
+        open_ = np.flatnonzero(average & (self.left > 0))
+        self.basis[average] = 0
+        if not len(open_):
+            return
+        g, left = own[open_], self.left[open_]
+        begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        size = np.diff(begin, append=len(g))
+        units = np.repeat(np.add.reduceat(left, begin), size)
+        last = np.cumsum(size) - 1
+        cost = (self.costs[np.append(self.first, len(self.row))[g + 1]] - self.costs[self.first[g]]) - self.paid[g]
+        share = self._pool(g, left, cost, units)
+        share[last] = 0
+        share[last] = cost[last] - np.add.reduceat(share, begin)
+        self.basis[open_] = share
+
+    def tables(self, account: np.ndarray, security: np.ndarray):
+        """Lots and gains of all groups that are not bad, as record batches of ``WALKED``."""
+        names = [n.split()[0] for n in WALKED.replace("\n", " ").replace("(28,10)", "").replace("(18,2)", "").split(", ")]
+        days = lambda x, **o: pa.array(x.astype(np.int32), pa.int32(), **o).cast(pa.date32())
+        unit = self.unit[self.group]
+
+        def batch(kind, rows, lot_event, acquired, disposed, quantity, remaining, basis, kept, proceeds, gain, long_term, incomplete):
+            n = len(rows)
+            cents, none = lambda x: pa.nulls(n, pa.decimal128(18, 2)) if x is None else _decimal_array(x, 18, 2), pa.nulls
+            how = pa.DictionaryArray.from_arrays(pa.array(codes[self.group[rows]]), pa.array(names_of)).cast(pa.string())
+            cols = [pa.repeat(kind, n), pa.array(account[rows]), pa.array(security[rows]), pa.array(self.event[rows]), lot_event, acquired, disposed if disposed is not None else none(n, pa.date32()),
+                    _decimal_array(quantity, 28, 10), none(n, pa.decimal128(28, 10)) if remaining is None else _decimal_array(remaining, 28, 10), cents(basis), cents(kept), cents(proceeds), cents(gain),
+                    none(n, pa.bool_()) if long_term is None else pa.array(long_term), pa.array(incomplete), how]
+            return pa.RecordBatch.from_arrays(cols, names=names)
+
+        kinds = [None if m is None else str(m) for m in self.method.tolist()]
+        names_of = list(dict.fromkeys(kinds))
+        codes = np.array([names_of.index(k) for k in kinds], np.int32)
+
+        good = ~self.bad[self.group[self.row]]
+        rows = self.row[good]
+        u = unit[rows]
+        if len(rows):
+            yield batch("lot", rows, pa.array(self.event[rows]), days(self.day[rows]), None, self.whole[good] * u, self.left[good] * u, self.cost[good], self.basis[good], None, None, None, np.zeros(len(rows), bool))
+        if not self.slices:
+            return
+        rows, lot, q, basis = (np.concatenate(x) for x in zip(*self.slices, strict=True))
+        keep = np.flatnonzero((self.kind[rows] == SELL) & ~self.bad[self.group[rows]])
+        keep = keep[np.argsort(rows[keep], kind="stable")]
+        rows, lot, q, basis = rows[keep], lot[keep], q[keep], basis[keep]
+        if not len(rows):
+            return
+        begin = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        last = np.append(begin[1:], len(rows)) - 1
+        open_ = lot < 0
+        average = self.how[self.group[rows]] == 1
+        if average.any():
+            size = np.diff(begin, append=len(rows))
+            matched = np.repeat(np.add.reduceat(np.where(open_, 0, q), begin), size)
+            share = np.where(open_, 0, _half_up(self.pooled[rows], q, np.maximum(matched, 1)))
+            final = last - open_[last]  # the last that is matched
+            final = final[final >= begin]
+            first = begin[~open_[begin]]
+            share[final] = 0
+            share[final] = self.pooled[rows[final]] - np.add.reduceat(share, begin)[~open_[begin]] if len(first) else 0
+            basis = np.where(average, share, basis)
+        amount = self.amount[rows]
+        proceeds = _half_up(amount, q, self.quantity[rows])
+        proceeds[last] = 0
+        proceeds[last] = amount[last] - np.add.reduceat(proceeds, begin)
+        of = self.row[np.maximum(lot, 0)] if len(self.row) else rows
+        acquired = np.where(open_, self.day[rows], self.day[of])
+        known, back = np.unique(acquired, return_inverse=True)
+        year_on = np.array([_year_on(d) for d in known.tolist()], np.int64)[back]
+        u = unit[rows]
+        yield batch("gain", rows, pa.array(self.event[of], mask=open_), days(acquired), days(self.day[rows]), q * u, None, basis, None, proceeds, proceeds - basis, self.day[rows] > year_on, open_)
+
+
+
+def lots_and_gains(events: DataFrame, picks: dict | None = None, chunk_rows: int = 1 << 16) -> DataFrame:
     """DOM30: (account_id, security_id, event_id, date, type, quantity, amount, method) to lots and
     realized gains in one table, ``kind`` telling which.  A group is one account's one security; an event id
-    counts once in it.  Groups lie in order side by side and are walked in Arrow batches, so that a group costs no call."""
+    counts once in it.  Groups lie in order side by side; some ``chunk_rows`` of their events are walked at once."""
     picks = picks or {}
 
     def table(rows: list) -> pa.RecordBatch:
@@ -344,32 +567,79 @@ def lots_and_gains(events: DataFrame, picks: dict | None = None) -> DataFrame:
         to = [pa.array, *[lambda x: pa.array(x, pa.int64())] * 4, days, days, quantity, quantity, cents, cents, cents, cents, lambda x: pa.array(x, pa.bool_()), lambda x: pa.array(x, pa.bool_()), lambda x: pa.array(x, pa.string())]
         return pa.RecordBatch.from_arrays([f(x) for f, x in zip(to, c, strict=True)], names=[n.split()[0] for n in WALKED.replace("\n", " ").replace("(28,10)", "").replace("(18,2)", "").split(", ")])
 
-    def run(batches):
+    def slowly(chunk: pa.Table) -> list:
+        """Whole groups one by one."""
         account, security, method, held, seen, rows = None, None, None, [], set(), []
 
         def close():
             if held and not (method != "specific" and _walk(method, held, rows.append)):
                 _by_book(method, held, picks, rows.append)
 
-        for b in batches:
-            c = {n: b.column(n) for n in b.schema.names}
-            ids = [_list(c[n]) for n in ("account_id", "security_id", "event_id")]
-            days = _list(c["date"].cast(pa.int32()))
-            for a, s, e, d, t, q, m, how in zip(*ids, days, _list(c["type"]), _integers(c["quantity"]), _integers(c["amount"]), _list(c["method"]), strict=True):
-                if a != account or s != security or not held:
-                    close()
-                    account, security, method, held, seen = a, s, how, [], set()
-                if e in seen:
-                    continue
-                seen.add(e)
-                held.append((a, s, (e, d), t, q, m))
-            while len(rows) >= 10_000:
-                yield table(rows[:10_000])
-                del rows[:10_000]
+        c = {n: chunk[n].combine_chunks() for n in chunk.column_names}
+        ids = [_list(c[n]) for n in ("account_id", "security_id", "event_id")]
+        days = _list(c["date"].cast(pa.int32()))
+        for a, s, e, d, t, q, m, how in zip(*ids, days, _list(c["type"]), _integers(c["quantity"]), _integers(c["amount"]), _list(c["method"]), strict=True):
+            if a != account or s != security or not held:
+                close()
+                account, security, method, held, seen = a, s, how, [], set()
+            if e in seen:
+                continue
+            seen.add(e)
+            held.append((a, s, (e, d), t, q, m))
         close()
+        return rows
+
+    def walk(chunk: pa.Table):
+        c = {n: chunk[n].combine_chunks() for n in chunk.column_names}
+        rest = chunk
+        if not any(c[n].null_count for n in ("account_id", "security_id", "event_id", "date")):
+            account, security, event = (c[n].to_numpy().astype(np.int64) for n in ("account_id", "security_id", "event_id"))
+            start = np.concatenate([[True], (account[1:] != account[:-1]) | (security[1:] != security[:-1])])
+            group = np.cumsum(start) - 1
+            order = np.lexsort((event, group))
+            again = order[1:][(group[order[1:]] == group[order[:-1]]) & (event[order[1:]] == event[order[:-1]])]
+            once = np.ones(len(group), bool)
+            once[again] = False
+            once = np.flatnonzero(once)
+            code = lambda n: (lambda x: (np.array([*x.dictionary.to_pylist(), None], object), x.indices.fill_null(len(x.dictionary)).to_numpy()))(c[n].dictionary_encode())
+            names, at = code("type")
+            kind = np.array([KINDS.get(n, 0) for n in names], np.int8)[at]
+            names, at = code("method")
+            quantity, odd_q = _longs(c["quantity"])
+            amount, odd_m = _longs(c["amount"])
+            day = c["date"].cast(pa.int32()).to_numpy().astype(np.int64)
+            starts = np.flatnonzero(start[once])
+            many = _Many(starts, kind[once], event[once], day[once], quantity[once], amount[once], names[at[once][starts]], (odd_q | odd_m)[once])
+            yield from many.tables(account[once], security[once])
+            rest = chunk.filter(pa.array(many.bad[group])) if many.bad.any() else None
+        rows = slowly(rest) if rest is not None else []
         for k in range(0, len(rows), 10_000):
             yield table(rows[k : k + 10_000])
 
+    def run(batches):
+        """Groups that end are walked as soon as there are enough of them."""
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += b.num_rows
+            if n < chunk_rows:
+                continue
+            same = np.ones(b.num_rows, bool)
+            for k in ("account_id", "security_id"):
+                final = b.column(k)[b.num_rows - 1]
+                equal = b.column(k).is_null() if not final.is_valid else pc.equal(b.column(k), final).fill_null(False)
+                same &= equal.to_numpy(zero_copy_only=False)
+            keep = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if not keep:  # one group fills the batch
+                continue
+            whole = pa.Table.from_batches([*held[:-1], b.slice(0, keep)])
+            held, n = [b.slice(keep)], b.num_rows - keep
+            yield from walk(whole)
+        if held:
+            yield from walk(pa.Table.from_batches(held))
+
     order = F.lit(1)
     for kind, rank in DAY_ORDER.items():
         order = F.when(F.col("type") == kind, rank).otherwise(order)

@@ -8,6 +8,7 @@ from datetime import date, timedelta
 from decimal import Decimal
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 
 from ledgerloom import sinks, streaming
@@ -419,6 +420,36 @@ def test_walk_in_integers_is_that_of_the_book(spark, method):
     assert got == want
 
 
+@pytest.mark.parametrize("method", ["fifo", "hifo", "average", "specific"])
+def test_groups_side_by_side_are_walked_like_the_book(spark, method):
+    """Ties of price, days and cents, oversold and long groups, in small chunks; few groups are left to the slow walk."""
+    r, events, want = random.Random(method), [], {}
+    for account in range(400):
+        group = []
+        for i in range(r.choice([1, 2, 5, 12, 40]) if account % 50 else 700):
+            t = r.choice(["buy", "buy", "sell", "sell", "transfer_in", "transfer_out", "reinvest"])
+            q = D(r.choice([0, 1, 2, 3, 4, 6])) if account % 4 == 0 else D(r.randrange(1, 5000)) / 100
+            a = D(r.randrange(1, 4)) / 100 if account % 4 == 0 else D(r.randrange(1, 999999)) / 100
+            group.append((account, 7, account * 1000 + i, date(2019, 1, 1) + timedelta(days=r.randrange(4000)), t, q, a, method))
+        events += group
+        want |= booked(group)
+    df = lots.lots_and_gains(spark.createDataFrame(events + events[:50], EVENT), chunk_rows=500)
+    got = {x["id"]: (x["remaining"], x["basis"], x["remaining_basis"]) if x["kind"] == "lot" else (x["lot_id"], x["acquired"], x["quantity"], x["basis"], x["proceeds"], x["gain"], x["term"], x["incomplete"]) for x in df.collect()}
+    assert got == want
+
+
+def test_most_groups_are_walked_side_by_side():
+    """Without ties a group is never left to the walk of its own."""
+    n, per = 3000, 12
+    r = np.random.default_rng(1)
+    kind = np.where(r.random(n * per) < 0.3, lots.SELL, lots.BUY).astype(np.int8)
+    day = np.tile(np.arange(per) * 30, n) + 9000
+    quantity, amount = r.integers(1, 50, n * per) * 10**10, r.integers(10**5, 10**7, n * per)
+    for method in ("fifo", "hifo", "average"):
+        many = lots._Many(np.arange(n) * per, kind, np.arange(n * per), day, quantity, amount, np.full(n, method, object), np.zeros(n * per, bool))
+        assert many.bad.mean() < 0.02
+
+
 @pytest.mark.parametrize("long", [64, 3])
 def test_overlaps_against_brute_force(spark, long):
     """Copies, several priorities on one day, long accounts; no plan holds the join of all rows of a day."""
