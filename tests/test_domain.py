@@ -378,6 +378,19 @@ def test_matching_scores_pairs_once(spark, sf):
     assert len(got) == 5001 and ("a00000", "b99999") not in got and ("a00001", "b99998") in got
 
 
+def test_unproposed_duplicates_score_pairs_once(spark, sf):
+    """The rows are those of a second scoring; the plan reads finished tables, no orders."""
+    from ledgerloom.plans import catalog
+    from ledgerloom.plans.domain import _rows
+
+    got = catalog.queries()["DOC03_unproposed_duplicates"](spark, sf)
+    assert "orders.parquet" not in got._jdf.queryExecution().toString()
+    rows = _rows(spark, sf)
+    made, _ = linkage.decide(rows)
+    want = linkage.unproposed(rows, made.where(F.pmod(F.xxhash64("a"), F.lit(2)) == 0))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
 def test_pairs_across_bands(spark):
     rows = ledger_rows(spark, *[(f"{s}{d}", s, "bank", s, 5, d, "STARBUCKS 12") for s in ("ofx", "plaid") for d in range(60)])
     got = {(r.a, r.b) for r in linkage.candidates(rows).collect()}
