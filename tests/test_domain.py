@@ -391,6 +391,52 @@ def test_unproposed_duplicates_score_pairs_once(spark, sf):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
 
 
+def test_scoring_stands_once_in_the_plan(spark, sf):
+    """A filter on the scores does not have them worked out again, nor each text made canonical for each use."""
+    from ledgerloom.plans.domain import _rows
+
+    plan = linkage.classify(linkage.candidates(_rows(spark, sf)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("jaro_winkler(") == 1 and plan.count("regexp_replace(") == 4
+
+
+def test_agreement_by_patterns_and_by_words(spark):
+    """The patterns on canonical texts say what ``names_a_merchant`` says of their words."""
+    texts = ["", "ACH", "POS 12", "ACH1", "ACH X", "X ACH", "12 34", "A", "CARD SHELL", "CARD SHELL 9", "CHECK CHECK", "CHECK ÉTÉ 1", "FEES", "AFEE", "1A CARD", "ACH 1B"]
+    x = spark.createDataFrame([(t,) for t in texts], "t string")
+    words = F.split("t", " ")
+    head = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
+    got = x.select("t", linkage._names(F.col("t")), linkage.names_a_merchant(words), linkage._names(F.col("t"), " "), linkage.names_a_merchant(head)).collect()
+    assert all(r[1] == r[2] and r[3] == r[4] for r in got) and len({r[1:] for r in got}) == 3
+
+
+@pytest.mark.parametrize("nodes", [4, 1 << 18])
+def test_components_by_tasks_and_by_rounds(spark, monkeypatch, nodes):
+    monkeypatch.setattr(graph, "NODES", nodes)
+    r = random.Random(nodes)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)]
+    up = {i: i for e in edges if e[0] != e[1] for i in e}
+    for _ in edges:
+        for a, b in edges:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    df = spark.createDataFrame([*edges, (None, 1)], "u long, v long").repartition(5)
+    got = graph.components(df).collect()
+    assert {x.id: x.comp for x in got} == up and len(got) == len(up)
+    # edges that are dealt by component take no round
+    stars = spark.createDataFrame([(f"x{i}", f"y{i}") for i in range(50)] + [(f"y{i}", f"z{i}") for i in range(50)], "u string, v string")
+    if nodes > 4:
+        got = graph.components(stars.repartition(5, F.substring("u", 2, 2)), rounds=0).collect()
+        assert {(x.id, x.comp) for x in got} == {(f"{c}{i}", f"x{i}") for c in "xyz" for i in range(50)}
+
+
+def test_tiers_in_one_walk(spark):
+    """The lesser tier is taken first, and the next one's forest grows on it."""
+    rows = [(f"a{i}", f"b{i}", t, c, fa, fb) for i in range(3) for t, c, fa, fb in [("2b", 0.96, "f", "g")]] + [("b0", "c0", "3", 0.99, "g", "f"), ("b1", "c1", "3", 0.99, "g", "h")]
+    pairs = spark.createDataFrame(rows, "a string, b string, tier string, confidence double, file_a string, file_b string")
+    got = {(r.a, r.b, r.tier) for r in linkage.assign(pairs, tiers=True).collect()}
+    assert got == {("a0", "b0", "2b"), ("a1", "b1", "2b"), ("a2", "b2", "2b"), ("b1", "c1", "3")}
+
+
 def test_pairs_across_bands(spark):
     rows = ledger_rows(spark, *[(f"{s}{d}", s, "bank", s, 5, d, "STARBUCKS 12") for s in ("ofx", "plaid") for d in range(60)])
     got = {(r.a, r.b) for r in linkage.candidates(rows).collect()}
