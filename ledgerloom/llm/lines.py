@@ -35,8 +35,9 @@ KEY_BITS = 40
 BAND = 1.25
 #: Words from which a line's sketch has 128 bits.
 WIDE = 64
-#: Keys of about HOT sets or more are hot, by one in SAMPLED sets.
-HOT, SAMPLED = 1024, 32
+#: Keys of about HOT sets or more are hot, by one in SAMPLED sets.  Groups of near copies grow with the input: what a
+#: group's first set does not settle is joined with all of the group.
+HOT, SAMPLED = 16, 8
 
 
 def _slot(word: Column) -> Column:

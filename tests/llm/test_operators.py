@@ -453,6 +453,29 @@ def test_line_dedup(spark, monkeypatch):
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_of_near_copies_is_linear(spark, monkeypatch):
+    """Groups of near copies are settled by their first lines, before all pairs of a group are made."""
+    sizes, cut = [], lines.cut
+
+    def counted(df):
+        out = cut(df)
+        if out.columns == ["a", "b"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "cut", counted)
+    r = random.Random(17)
+    texts = []
+    for base in [words(r, 40, 10**6).split(" ") for _ in range(5)]:
+        for i in range(60):
+            w = list(base)
+            w[r.randrange(len(w))] = f"z{i}"
+            texts.append(" ".join(w))
+    got = {x["doc_id"]: x["n_removed"] for x in lines.dedup_lines(frame(spark, texts)).collect()}
+    assert got == {i: int(i % 60 > 0) for i in range(300)}
+    assert 0 < max(sizes) <= 600
+
+
 def test_line_dedup_repeated_rows(spark):
     """Rows that share id and text are one document."""
     text = "one two three four five\nsix seven eight nine ten"
