@@ -8,9 +8,9 @@ similar; lines without words stay.  Any order of the words gives the same lines;
 the candidates few.
 
 Scale: equal sets are one class, known by its first line, before anything is joined.  Each set
-with a prefix word that many sets have first meets one other of similar length with that word, which
+first meets the first one of similar length with a common prefix word, which
 settles the members of large groups of copies in linear time; only sets not settled so go through
-the full join.  Rows that are shuffled hold hashes and numbers, not words; a sketch of 64 bits
+the full join.  Lines are numbered in order by arithmetic on doc_id where it can be.  Rows that are shuffled hold hashes and numbers, not words; a sketch of 64 bits
 among them rules out most pairs before any word is fetched.  What goes to the driver is the
 table of word counts, of fixed size.
 
@@ -21,7 +21,7 @@ document and all come out the same; a null doc_id comes first in order; an empty
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -35,9 +35,38 @@ KEY_BITS = 40
 BAND = 1.25
 #: Words from which a line's sketch has 128 bits.
 WIDE = 64
-#: Keys of about HOT sets or more are hot, by one in SAMPLED sets.  Groups of near copies grow with the input: what a
-#: group's first set does not settle is joined with all of the group.
+#: Without effect since groups of every size are held against their first lines; the tests set them.
 HOT, SAMPLED = 16, 8
+#: Settled sets up to which they are broadcast to the second round's rows.
+SETTLED = 1 << 20
+#: Columns of the document's place in order and of its lines' numbers.
+NO, ID = "document_no", "id"
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, int, bool]:
+    """docs with a long ``NO`` for each different document, in the order of (doc_id, text hash), null where the text is; the
+    bits that hold a line's number; and whether rows may share a document.  Where no doc_id stands for two texts this is arithmetic; else the documents are sorted."""
+    x = docs.where("text is not null")
+    th = F.xxhash64("text")
+    per = x.groupBy("doc_id").agg(F.min(th).alias("a"), F.max(th).alias("b"), F.max(F.octet_length("text")).alias("o"), F.count("*").alias("c"))
+    s = per.agg(F.max(F.col("a") != F.col("b")).alias("mixed"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("o").alias("o"), F.max("c").alias("c")).first()
+    bits, again = ((s["o"] or 0) + 1).bit_length(), (s["c"] or 0) > 1
+    if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint") and not s["mixed"]:
+        lo, hi = s["lo"] or 0, s["hi"] or 0
+        if (hi - lo + 2).bit_length() + bits < 63:
+            place = F.coalesce(F.col("doc_id").cast("long") - F.lit(lo) + 1, F.lit(0).cast("long"))
+            return docs.withColumn(NO, F.when(F.col("text").isNotNull(), place)), bits, again
+    known = x.select(F.col("doc_id").alias("known_id"), th.alias("known_th")).distinct()
+    known = cut(known.repartitionByRange("known_id", "known_th").sortWithinPartitions("known_id", "known_th").withColumn("m", F.monotonically_increasing_id()))
+    part = F.shiftright("m", 33).cast("int")
+    counts = {r["p"]: r["c"] for r in known.groupBy(part.alias("p")).agg(F.count("*").alias("c")).collect()}
+    before, total = [], 0
+    for i in range(max(counts, default=-1) + 1):
+        before.append(str(total))
+        total += counts.get(i, 0)
+    first = F.get(F.expr(f"cast(split('{','.join(before) or 0}', ',') as array<bigint>)"), part)
+    known = known.select("known_id", "known_th", (first + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias(NO))
+    return cut(docs.join(known, docs["doc_id"].eqNullSafe(F.col("known_id")) & (F.xxhash64(docs["text"]) == F.col("known_th")), "left").drop("known_id", "known_th")), bits, again
 
 
 def _slot(word: Column) -> Column:
@@ -58,14 +87,14 @@ def _words(line: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(line), " "), ""))
 
 
-def keys_of(docs: DataFrame, classes: Column) -> DataFrame:
-    """doc_id, th (hash of the text), line number and sorted keys of each line.  A word's key is its
+def keys_of(docs: DataFrame, bits: int, classes: Column) -> DataFrame:
+    """id (the document's number, then the line's) and sorted keys of each line.  A word's key is its
     rarity class above 58 bits of its hash, so the rarest words come first."""
-    x = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.split(F.lower("text"), "\n").alias("lines"))
-    x = x.select("doc_id", "th", F.posexplode_outer("lines").alias("line", "words"))
+    x = docs.where("text is not null").select(NO, F.posexplode_outer(F.split(F.lower("text"), "\n")).alias("line", "words"))
     hashes = F.array_distinct(F.array_remove(F.transform(F.split("words", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
-    key = lambda h: F.get(classes, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 6))
-    return x.select("doc_id", "th", "line", F.sort_array(F.transform(hashes, key)).alias("keys"))
+    # without nulls Spark sorts the longs as such
+    key = lambda h: F.coalesce(F.get(classes, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 6))
+    return x.select(F.shiftleft(NO, bits).bitwiseOR(F.col("line").cast("long")).alias(ID), F.sort_array(F.transform(hashes, key)).alias("keys"))
 
 
 def _parity(hashes: Column) -> Column:
@@ -92,15 +121,13 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _words_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """id and words of the classes asked for, read again from the texts.  Of the documents only
-    those that a Bloom filter of the ids lets through are shuffled."""
-    at = classes.select("id", "at").join(ids, "id", "left_semi")
-    want = cut(at.groupBy(F.col("at.th").alias("t"), F.col("at.doc_id").alias("d")).agg(F.collect_list(F.struct("id", F.col("at.line").alias("line"))).alias("want")))
-    x = only(docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines")), want.select(F.col("t").alias("th")), "th")
-    # the ids are compared in the join but are no keys of it, as the texts are dealt by their hash already
-    same = F.hash("doc_id").cast("long") - F.hash("d").cast("long") == 0
-    x = x.join(want, (F.col("th") == F.col("t")) & same).where(F.col("doc_id").eqNullSafe(F.col("d")))
+def _words_of(ids: DataFrame, docs: DataFrame, bits: int) -> DataFrame:
+    """id and words of the lines asked for, read again from the texts.  Of the documents only
+    those that a Bloom filter of their numbers lets through are shuffled."""
+    line = F.col("id").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    want = cut(ids.groupBy(F.shiftright("id", bits).alias("no")).agg(F.collect_list(F.struct("id", line.alias("line"))).alias("want")))
+    x = only(docs.where("text is not null").select(F.col(NO).alias("no"), F.split("text", "\n").alias("lines")), want.select("no"), "no")
+    x = x.join(want, "no")
     # the lines asked for only, before the rows are multiplied
     x = x.select(F.transform("want", lambda w: F.struct(w["id"].alias("id"), F.get("lines", w["line"]).alias("text"))).alias("want"))
     x = x.select(F.explode_outer("want").alias("w"))
@@ -112,34 +139,33 @@ def _words_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, th and line of each line that goes."""
+def repeated_lines(docs: DataFrame, bits: int, percent: int = PERCENT) -> DataFrame:
+    """id of each line that goes, of documents as ``numbered`` gives them."""
     mask = F.lit((1 << KEY_BITS) - 1)
     n = F.size("keys")
     most = (n - F.ceil(n * percent / 100.0 - 1e-9) + 1).cast("int")
+    # a sketch of 64 bits, of 128 for long lines, whose second half is 0 for short ones
     low, high = (_parity(F.filter("keys", lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(1)) == j)) for j in (0, 1))
+    sketch, more = F.when(n >= WIDE, low).otherwise(_parity(F.col("keys"))), F.when(n >= WIDE, high).otherwise(F.lit(0).cast("long"))
     pre = F.when(n >= 4, F.transform(F.slice("keys", F.lit(1), most), lambda k: k.bitwiseAND(mask)))
-    x = keys_of(docs, rarity(docs))
-    lines = cut(x.select("doc_id", "th", "line", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), n.alias("n"), low.alias("low"), high.alias("high"), pre.alias("pre")))
+    x = keys_of(docs, bits, rarity(docs))
+    lines = cut(x.select("id", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), n.alias("n"), sketch.alias("sketch"), more.alias("more"), pre.alias("pre")).where("n > 0"))
+
+    # equal sets are one class, known by its first line; the other lines of a class go
+    first = lines.groupBy("h1", "h2").agg(F.min("id").alias("first")).select("first")
+    x = lines.drop("h1", "h2").join(first, F.col("id") == F.col("first"), "left").withColumn("later", F.col("first").isNull()).drop("first")
+    classes = cut(x.withColumn("pre", F.when(~F.col("later"), F.col("pre"))))
+    drop(lines)
+    again, classes_ = classes.where("later").select("id"), classes.where("not later and n >= 4").drop("later")
 
-    classes = lines.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "line", "n", "low", "high", "pre")).alias("f"), F.count("*").alias("c"))
-    at = F.struct("f.doc_id", "f.th", "f.line").alias("at")
-    # a sketch of 64 bits, of 128 for long lines, whose second half is 0 for short ones
-    wide = F.col("f.n") >= WIDE
-    sketch = F.when(wide, F.col("f.low")).otherwise(F.col("f.low").bitwiseXOR(F.col("f.high"))).alias("sketch")
-    found = cut(classes.select("h1", "h2", at, "f.n", sketch, F.when(wide, F.col("f.high")).otherwise(F.lit(0).cast("long")).alias("more"), "f.pre", "c"))
-    # ids in the order of the classes' first lines
-    classes = cut(found.repartitionByRange("at").sortWithinPartitions("at").select(F.monotonically_increasing_id().alias("id"), "*"))
-    named = cut(lines.where("n > 0").select("doc_id", "th", "line", "h1", "h2"))
-    drop(found, lines)
     def prefixes(t: DataFrame) -> DataFrame:
         """key, id, np (set size, whether settled, and place, in one long) and sketch for each prefix word."""
-        x = t.select("id", "n", "sketch", "more", "done", F.posexplode_outer("pre").alias("pos", "key")).where("key is not null")
+        x = t.select("id", "n", "sketch", "more", "done", F.posexplode("pre").alias("pos", "key"))
         np = F.shiftleft(F.col("n").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("done").cast("long"), 32)).bitwiseOR(F.col("pos").cast("long"))
         return x.select("key", "id", np.alias("np"), "sketch", "more")
 
     def side(t: DataFrame, s: str) -> DataFrame:
-        return t.select("key", *[F.col(c).alias(f"{c}_{s}") for c in t.columns if c not in ("key", "band")], *[c for c in ("band",) if c in t.columns])
+        return t.select("key", *[F.col(c).alias(f"{c}_{s}") for c in t.columns if c != "key"])
 
     size = lambda s: F.shiftright(f"np_{s}", 33)
     place = lambda s: F.col(f"np_{s}").bitwiseAND(F.lit((1 << 32) - 1))
@@ -152,56 +178,50 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     near &= (100 + percent) * differ <= (100 - percent) * total
     near &= 100 * F.least(size("a"), size("b")) >= percent * F.greatest(size("a"), size("b"))
 
-    p = prefixes(classes.withColumn("done", F.lit(0)))
-    # keys that many sets have, by a sample of the sets; this decides on the order of work only
-    some = p.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("c"))
-    hot = cut(some.where(F.col("c") >= HOT // SAMPLED).select("key"))
-    band = F.floor(F.log(F.shiftright("np", 33).cast("double")) / F.log(F.lit(BAND))).cast("int")
-    many = cut(p.join(hot, "key", "left_semi").withColumn("band", band))
-    heads = many.groupBy("key", "band").agg(F.min(F.struct("id", "np", "sketch", "more")).alias("h")).select("key", "band", "h.*")
-    star = side(many, "b").join(side(heads, "a"), ["key", "band"]).where(near)
-    star = cut(star.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
-    sets = _words_of(_ids(star), classes, docs)
+    # sets of similar size with a common prefix word first meet the first of them, in one sorted pass
+    band = F.floor(F.log(F.shiftright("np", 33).cast("double")) / F.log(F.lit(BAND))).cast("long")
+    p = prefixes(classes_.withColumn("done", F.lit(0))).withColumn("key", F.shiftleft("key", 8).bitwiseOR(band))
+    group = Window.partitionBy("key").orderBy("id_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    star = side(p, "b").withColumn("h", F.first(F.struct(*[F.col(f"{c}_b").alias(f"{c}_a") for c in ("id", "np", "sketch", "more")])).over(group))
+    star = cut(star.select("id_b", "np_b", "sketch_b", "more_b", "h.*").where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+    sets = _words_of(_ids(star), docs, bits)
     settled = _similar(star, sets, percent)
-    drop(sets, hot, many, star)
+    drop(sets, star)
 
     # sets that are not settled meet all earlier ones with a common prefix word; both sides of the join
     # are one shuffled table, as what is settled is told by a bit and asked only in the join
-    p = prefixes(classes.join(settled.withColumn("done", F.lit(1)), "id", "left").withColumn("done", F.coalesce("done", F.lit(0))))
+    done = settled.withColumn("done", F.lit(1))
+    done = F.broadcast(done) if settled.count() <= SETTLED else done
+    p = prefixes(classes_.join(done, "id", "left").withColumn("done", F.coalesce("done", F.lit(0))))
     open_ = (F.shiftright("np_b", 32).bitwiseAND(F.lit(1)) == 0) | (F.col("id_b") < F.col("id_a"))
     pairs = side(p, "a").join(side(p, "b"), "key").where(near & open_)
     pairs = cut(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
-    named_classes = cut(classes.select("id", "h1", "h2", "at", "c"))
+    later = cut(again)
     drop(classes)
-    classes = named_classes
 
     # one earlier match is enough, so each set is first held against its earliest candidate alone
     first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    sets = _words_of(_ids(pairs), classes, docs)
+    sets = _words_of(_ids(pairs), docs, bits)
     early = _similar(first, sets, percent)
     rest = cut(pairs.join(early.withColumnRenamed("id", "b"), "b", "left_anti").join(first, ["a", "b"], "left_anti").select("a", "b"))
     late = _similar(rest, sets, percent)
     drop(sets, pairs, first, rest)
-    gone = settled.unionByName(early).unionByName(late).distinct().withColumn("gone", F.lit(True))
-
-    # of a class that goes all lines, of another all but the first
-    verdict = cut(classes.select("id", "h1", "h2", "at", "c").join(gone, "id", "left").where("gone or c > 1").select("h1", "h2", F.col("at").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")))
-    out = named.join(verdict, ["h1", "h2"])
-    out = cut(out.where(F.col("gone") | (F.struct("doc_id", "th", "line") != F.col("first"))).select("doc_id", "th", "line"))
-    drop(named, classes, settled, early, late, verdict)
+    out = cut(later.union(settled).union(early).union(late).distinct())
+    drop(later, settled, early, late)
     return out
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """All rows and columns of docs, the text without the lines that go, with n_lines and n_removed."""
-    gone = repeated_lines(docs, percent).select("doc_id", "th", "line").distinct()
-    gone = gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone_lines"))
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), "gone_lines")
-    x = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_th")), "left")
+    named, bits, again = numbered(docs)
+    x = named.select(NO, "text")
+    gone = repeated_lines(x.dropDuplicates([NO]) if again else x, bits, percent)
+    gone = gone.groupBy(F.shiftright("id", bits).alias("gone_no")).agg(F.collect_list(F.col("id").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")).alias("gone_lines"))
+    x = named.join(gone, F.col(NO) == F.col("gone_no"), "left")
     lines = F.split("text", "\n")
     keep = F.filter(lines, lambda _, i: ~F.array_contains("gone_lines", i))
     text = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
-    cols = [text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")]
+    cols = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return x.select(*cols, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("n_removed"))
 
 

@@ -484,6 +484,35 @@ def test_line_dedup_repeated_rows(spark):
     assert got == [(0, "alpha beta gamma", 0), (0, "delta beta gamma", 0), (1, text, 0), (1, text, 0), (2, "", 2)]
 
 
+def test_line_dedup_writes_no_prefix_rows(spark, monkeypatch):
+    """The rows of all prefix words, many times the lines, are shuffled but never stored beside that."""
+    made, cut = [], lines.cut
+    monkeypatch.setattr(lines, "cut", lambda df: made.append(df.columns) or cut(df))
+    r = random.Random(23)
+    base = words(r, 30, 10**6).split(" ")
+    texts = [" ".join([*base[:i], "z", *base[i + 1 :]]) for i in range(20)]
+    got = {x["doc_id"]: x["n_removed"] for x in lines.dedup_lines(frame(spark, texts)).collect()}
+    assert got == {i: int(i > 0) for i in range(20)}
+    assert made and not any({"key", "sketch"} <= set(c) for c in made)
+
+
+@pytest.mark.parametrize("ids", [[5, -3, None, 0], [2**62, -(2**62), None, 0], [7, 7, None, None]])
+def test_line_dedup_order_of_documents(spark, ids):
+    """The first line stays by doc_id, null first, also where ids are far apart or stand for two texts."""
+    text = ["one two three four five {}", "six seven eight nine ten {}"]
+    rows = [(d, "\n".join(t.format(i) if i == 3 - k else t.format("same") for k, t in enumerate(text))) for i, d in enumerate(ids)]
+    docs = spark.createDataFrame([*rows, (1, None)], "doc_id long, text string")
+    got = lines.dedup_lines(docs).collect()
+    total = sum(r["n_lines"] for r in got if r["text"] is not None)
+    assert total == 8 and [r["text"] for r in got if r["doc_id"] == 1] == [None]
+    kept = [(r["doc_id"], r["text"].split("\n")) for r in got if r["text"]]
+    # an edited word leaves 5 of 7 words common: such lines stay, the others once, in the first document that holds them
+    assert sorted(x for _, t in kept for x in t) == sorted({x for _, t in rows for x in t.split("\n")})
+    order = lambda d: (d is not None, d or 0)
+    for x in {x for _, t in rows for x in t.split("\n")}:
+        assert [d for d, t in kept if x in t] == [min((d for d, t in rows if x in t.split("\n")), key=order)]
+
+
 # ---- 9
 
 
