@@ -38,6 +38,27 @@ def test_odd_rows(spark, tmp_path):
     assert p.run(spark, str(empty)).count() == 0
 
 
+def test_decontamination_moves_no_texts(spark, tmp_path, monkeypatch):
+    """Ids beyond Spark's own bound of broadcasts do not make it shuffle all texts; above FOUND the rows are the same."""
+    item = " ".join(f"b{i}" for i in range(20))
+    rows = [(i, f"{item} of {i}" if i % 3 == 0 else f"text {i}", "en", "a", 1) for i in range(60)] + [(None, item, "en", "a", 1), (None, "no id", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = p.decontaminate_documents(spark, docs, str(tmp_path))
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        got = sorted(x["doc_id"] for x in few.collect())
+        monkeypatch.setattr(p, "FOUND", 0)
+        many = p.decontaminate_documents(spark, docs, str(tmp_path))
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+        assert got == sorted(x["doc_id"] for x in many.collect()) == [i for i in range(60) if i % 3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_threshold_is_that_of_the_operator():
     assert toxicity.THRESHOLD == 0.7
 
