@@ -1,8 +1,8 @@
 """Operator 8: line dedup by an exact set-similarity join.
 
 A line's set holds its distinct words (lower-cased, split at blanks).  Words are ordered by rarity,
-from counts of all words of the corpus in a table of fixed size, and then by hash.  Two sets with Jaccard similarity of 0.8 or more share one of their first
-``n - ceil(0.8 n) + 1`` words; pairs found so pass the length and positional filters, and the
+from counts of all words of the corpus in a table of fixed size, and then by hash.  Two sets with Jaccard similarity of 0.8 or more share one of the larger one's first
+``n - ceil(0.8 n) + 1`` and the smaller one's first ``n - ceil(8 n / 9) + 1`` words; pairs found so pass the length and positional filters, and the
 whole sets are compared.  A line goes if an earlier one, by (doc_id, line number), is that
 similar; lines without words stay.  Any order of the words gives the same lines; rarity only keeps
 the candidates few.
@@ -88,9 +88,10 @@ def _words(line: Column) -> Column:
 
 
 def keys_of(docs: DataFrame, bits: int, classes: Column) -> DataFrame:
-    """id (the document's number, then the line's) and sorted keys of each line.  A word's key is its
+    """id (the document's number, then the line's) and sorted keys of each line with words.  A word's key is its
     rarity class above 58 bits of its hash, so the rarest words come first."""
-    x = docs.where("text is not null").select(NO, F.posexplode_outer(F.split(F.lower("text"), "\n")).alias("line", "words"))
+    # lines without words go here: a condition on the size of the keys would be moved below them and have them made twice
+    x = docs.where("text is not null").select(NO, F.posexplode_outer(F.split(F.lower("text"), "\n")).alias("line", "words")).where(F.trim("words") != "")
     hashes = F.array_distinct(F.array_remove(F.transform(F.split("words", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
     # without nulls Spark sorts the longs as such
     key = lambda h: F.coalesce(F.get(classes, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 6))
@@ -115,8 +116,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     total = F.col("na") + F.col("nb")
     x = cut(pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * differ <= (100 - percent) * total).select("a", "b"))
     y = x.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+    # the intersection stands once in the condition, as it is worked out each time that it does
     both = F.size(F.array_intersect("wa", "wb"))
-    out = cut(y.where(100 * both >= percent * (F.size("wa") + F.size("wb") - both)).select(F.col("b").alias("id")).distinct())
+    out = cut(y.where((100 + percent) * both >= percent * (F.size("wa") + F.size("wb"))).select(F.col("b").alias("id")).distinct())
     drop(x)
     return out
 
@@ -149,7 +151,7 @@ def repeated_lines(docs: DataFrame, bits: int, percent: int = PERCENT) -> DataFr
     sketch, more = F.when(n >= WIDE, low).otherwise(_parity(F.col("keys"))), F.when(n >= WIDE, high).otherwise(F.lit(0).cast("long"))
     pre = F.when(n >= 4, F.transform(F.slice("keys", F.lit(1), most), lambda k: k.bitwiseAND(mask)))
     x = keys_of(docs, bits, rarity(docs))
-    lines = cut(x.select("id", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), n.alias("n"), sketch.alias("sketch"), more.alias("more"), pre.alias("pre")).where("n > 0"))
+    lines = cut(x.select("id", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), n.alias("n"), sketch.alias("sketch"), more.alias("more"), pre.alias("pre")))
 
     # equal sets are one class, known by its first line; the other lines of a class go
     first = lines.groupBy("h1", "h2").agg(F.min("id").alias("first")).select("first")
@@ -158,9 +160,12 @@ def repeated_lines(docs: DataFrame, bits: int, percent: int = PERCENT) -> DataFr
     drop(lines)
     again, classes_ = classes.where("later").select("id"), classes.where("not later and n >= 4").drop("later")
 
-    def prefixes(t: DataFrame) -> DataFrame:
+    # of two similar sets the smaller one has the first common word among so many of its first
+    few = F.slice("pre", F.lit(1), (F.col("n") - F.floor((2 * percent * F.col("n") + 99 + percent) / (100 + percent)) + 1).cast("int"))
+
+    def prefixes(t: DataFrame, words: Column) -> DataFrame:
         """key, id, np (set size, whether settled, and place, in one long) and sketch for each prefix word."""
-        x = t.select("id", "n", "sketch", "more", "done", F.posexplode("pre").alias("pos", "key"))
+        x = t.select("id", "n", "sketch", "more", "done", F.posexplode(words).alias("pos", "key"))
         np = F.shiftleft(F.col("n").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("done").cast("long"), 32)).bitwiseOR(F.col("pos").cast("long"))
         return x.select("key", "id", np.alias("np"), "sketch", "more")
 
@@ -170,32 +175,33 @@ def repeated_lines(docs: DataFrame, bits: int, percent: int = PERCENT) -> DataFr
     size = lambda s: F.shiftright(f"np_{s}", 33)
     place = lambda s: F.col(f"np_{s}").bitwiseAND(F.lit((1 << 32) - 1))
     total = size("a") + size("b")
-    near = F.col("id_a") < F.col("id_b")
     # similar sets pass this at the first key they share: nothing before it is common, so what is left bounds the overlap
+    near = 100 * F.least(size("a"), size("b")) >= percent * F.greatest(size("a"), size("b"))
     near &= (100 + percent) * F.least(size("a") - place("a"), size("b") - place("b")) >= percent * total
     folded = lambda s: F.col(f"sketch_{s}").bitwiseXOR(F.col(f"more_{s}"))
     differ = F.when((size("a") >= WIDE) & (size("b") >= WIDE), F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) + F.bit_count(F.col("more_a").bitwiseXOR(F.col("more_b")))).otherwise(F.bit_count(folded("a").bitwiseXOR(folded("b"))))
     near &= (100 + percent) * differ <= (100 - percent) * total
-    near &= 100 * F.least(size("a"), size("b")) >= percent * F.greatest(size("a"), size("b"))
 
     # sets of similar size with a common prefix word first meet the first of them, in one sorted pass
     band = F.floor(F.log(F.shiftright("np", 33).cast("double")) / F.log(F.lit(BAND))).cast("long")
-    p = prefixes(classes_.withColumn("done", F.lit(0))).withColumn("key", F.shiftleft("key", 8).bitwiseOR(band))
+    p = prefixes(classes_.withColumn("done", F.lit(0)), few).withColumn("key", F.shiftleft("key", 8).bitwiseOR(band))
     group = Window.partitionBy("key").orderBy("id_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     star = side(p, "b").withColumn("h", F.first(F.struct(*[F.col(f"{c}_b").alias(f"{c}_a") for c in ("id", "np", "sketch", "more")])).over(group))
-    star = cut(star.select("id_b", "np_b", "sketch_b", "more_b", "h.*").where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+    star = cut(star.select("id_b", "np_b", "sketch_b", "more_b", "h.*").where(F.col("id_a") < F.col("id_b")).where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
     sets = _words_of(_ids(star), docs, bits)
     settled = _similar(star, sets, percent)
     drop(sets, star)
 
-    # sets that are not settled meet all earlier ones with a common prefix word; both sides of the join
-    # are one shuffled table, as what is settled is told by a bit and asked only in the join
+    # sets that are not settled meet all others with a common prefix word, of which the smaller set (a) brings fewer; what is
+    # settled is told by a bit and asked of the later set of a pair.
     done = settled.withColumn("done", F.lit(1))
     done = F.broadcast(done) if settled.count() <= SETTLED else done
-    p = prefixes(classes_.join(done, "id", "left").withColumn("done", F.coalesce("done", F.lit(0))))
-    open_ = (F.shiftright("np_b", 32).bitwiseAND(F.lit(1)) == 0) | (F.col("id_b") < F.col("id_a"))
-    pairs = side(p, "a").join(side(p, "b"), "key").where(near & open_)
-    pairs = cut(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+    x = classes_.join(done, "id", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    settled_ = lambda s: F.shiftright(f"np_{s}", 32).bitwiseAND(F.lit(1)) == 1
+    earlier = F.col("id_a") < F.col("id_b")
+    once = (size("a") < size("b")) | ((size("a") == size("b")) & earlier)
+    pairs = side(prefixes(x, F.col("pre")), "b").join(side(prefixes(x, few), "a"), "key").where(once & near & ~F.when(earlier, settled_("b")).otherwise(settled_("a")))
+    pairs = cut(pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
     later = cut(again)
     drop(classes)
 

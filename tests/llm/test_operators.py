@@ -496,6 +496,30 @@ def test_line_dedup_writes_no_prefix_rows(spark, monkeypatch):
     assert made and not any({"key", "sketch"} <= set(c) for c in made)
 
 
+def test_line_dedup_makes_keys_once(spark, monkeypatch):
+    """The sorted sets are the dearest step; a condition moved below them would have them made twice."""
+    plans, cut = [], lines.cut
+    monkeypatch.setattr(lines, "cut", lambda df: plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or cut(df))
+    assert [r["n_removed"] for r in lines.dedup_lines(frame(spark, ["a b c d e\n\n  \na b c d", " \nf"])).orderBy("doc_id").collect()] == [1, 0]
+    made = [p for c, p in plans if {"h1", "sketch"} <= set(c)]
+    assert made and all(p.count("sort_array") == 1 for p in made)
+
+
+def test_line_dedup_at_the_threshold(spark):
+    """Sets of different sizes exactly at 0.8 and just below it, the smaller one first and last, whichever words they lack."""
+    r = random.Random(29)
+    texts, want = [], []
+    for n in range(4, 45):
+        for m, near in ((-(-4 * n // 5), True), (-(-4 * n // 5) - 1, False)):
+            for first in (True, False):
+                w = [f"w{len(texts)}x{r.randrange(10**6)}y{i}" for i in range(n)]
+                pair = [" ".join(w), " ".join(r.sample(w, m))]
+                texts += pair[::-1] if first else pair
+                want += [0, int(near)]
+    got = lines.dedup_lines(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [x["n_removed"] for x in got] == want
+
+
 @pytest.mark.parametrize("ids", [[5, -3, None, 0], [2**62, -(2**62), None, 0], [7, 7, None, None]])
 def test_line_dedup_order_of_documents(spark, ids):
     """The first line stays by doc_id, null first, also where ids are far apart or stand for two texts."""
